@@ -1,3 +1,56 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+WORD = r"[^\x20\x09-\x0D]+"
+
+OP7 = f"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS h
+  FROM documents),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+weighted AS (
+  SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight,
+         source_size::DOUBLE * 3.0::DOUBLE AS cap
+  FROM sizes),
+levels AS (
+  SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighted WINDOW o AS (ORDER BY cap / weight, source ASC NULLS LAST)),
+capped AS (SELECT *, level * weight >= cap AS is_capped FROM levels),
+free AS (SELECT arg_min(level, cap / weight) AS level FROM capped WHERE NOT is_capped),
+plan AS (
+  SELECT source, source_size, CASE WHEN is_capped THEN cap ELSE (SELECT level FROM free) * weight END AS target FROM capped),
+budgets AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies,
+         target - CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END * source_size AS budget
+  FROM plan),
+alike AS (SELECT source, h, doc_id, size, sum(size) AS words FROM docs GROUP BY ALL),
+running AS (
+  SELECT *, sum(words) OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, size) - words AS before_ FROM alike)
+SELECT d.doc_id, d.size, b.source_size, b.target,
+       (d.size * (b.copies + CASE WHEN 2 * r.before_ + r.words <= 2 * b.budget THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM docs d JOIN budgets b ON d.source IS NOT DISTINCT FROM b.source
+JOIN running r ON d.source IS NOT DISTINCT FROM r.source AND d.h = r.h AND d.doc_id IS NOT DISTINCT FROM r.doc_id AND d.size = r.size
+"""
+
+OP9 = """
+WITH pages AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines, text FROM documents),
+keyed AS (SELECT doc_id, source, text, lines, [trim(l, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) FOR l IN lines] AS bare FROM pages),
+seen AS (SELECT source, unnest(list_distinct([b FOR b IN bare IF b <> ''])) AS line FROM keyed),
+often AS (
+  SELECT s.source, s.line FROM (SELECT source, line, count(*) AS n FROM seen GROUP BY ALL) s
+  JOIN (SELECT source, count(*) AS total FROM documents GROUP BY source) t ON s.source IS NOT DISTINCT FROM t.source
+  WHERE s.n >= 5 AND s.n > 0.05 * t.total),
+hosts AS (SELECT source, list(line) AS drops FROM often GROUP BY source),
+kept AS (
+  SELECT k.doc_id, k.text, len(k.lines) AS n, list_filter(k.lines, lambda l : NOT list_contains(coalesce(h.drops, []), trim(l, ' ' || chr(9) || chr(11) || chr(12) || chr(13)))) AS rest
+  FROM keyed k LEFT JOIN hosts h ON k.source IS NOT DISTINCT FROM h.source)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(n - len(rest), 0)::BIGINT AS n_dropped,
+       CASE WHEN text IS NULL THEN NULL ELSE sha256(coalesce(array_to_string(rest, chr(10)), '')) END AS kept_sha256
+FROM kept
+"""
+
+ORACLES: dict[str, str] = {
+    "op7_mixing": OP7,
+    "op9_line_dedup": OP9,
+}

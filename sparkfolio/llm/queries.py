@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkfolio.llm import sentencepiece_codec
+from sparkfolio.llm import boilerplate, mixing, sentencepiece_codec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,17 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), piece_model()))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), cap=3.0)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = boilerplate.drop_boilerplate(table(spark, sf_dir, "documents"))
+    return kept.selectExpr("doc_id", "n_lines", "n_dropped", "sha2(cast(text as binary), 256) as kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op7_mixing": op7_mixing,
+    "op9_line_dedup": op9_line_dedup,
 }
