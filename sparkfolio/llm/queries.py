@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkfolio.llm import boilerplate, html_blocks, mixing, quality, sentencepiece_codec
+from sparkfolio.llm import boilerplate, html_blocks, mixing, quality, sentencepiece_codec, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,10 +45,16 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.selectExpr("doc_id", "n_lines", "n_dropped", "sha2(cast(text as binary), 256) as kept_sha256")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.selectExpr("doc_id", "lpad(lower(hex(fp)), 16, '0') as fingerprint", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op5_quality": op5_quality,
     "op6_html_text": op6_html_text,
     "op7_mixing": op7_mixing,
     "op9_line_dedup": op9_line_dedup,
+    "op10_simhash": op10_simhash,
 }
