@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkfolio.llm import boilerplate, html_blocks, mixing, quality, sentencepiece_codec, simhash
+from sparkfolio.llm import archive, boilerplate, html_blocks, mixing, quality, sentencepiece_codec, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), piece_model()))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.round_trip(table(spark, sf_dir, "pages"), min_bytes=0).drop("url")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_quality(table(spark, sf_dir, "documents"), piece_model(), carry=["doc_id"])
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -52,6 +56,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_warc": op3_warc,
     "op5_quality": op5_quality,
     "op6_html_text": op6_html_text,
     "op7_mixing": op7_mixing,
