@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkfolio.llm import archive, boilerplate, html_blocks, mixing, quality, sentencepiece_codec, simhash
+from sparkfolio.llm import archive, boilerplate, html_blocks, mixing, quality, sentencepiece_codec, simhash, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), piece_model()))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.deduplicate(table(spark, sf_dir, "documents"), window=50)
+    return kept.selectExpr("doc_id", "n_words", "n_removed", "sha2(cast(kept as binary), 256) as kept_sha256")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.round_trip(table(spark, sf_dir, "pages"), min_bytes=0).drop("url")
 
@@ -56,6 +61,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_warc": op3_warc,
     "op5_quality": op5_quality,
     "op6_html_text": op6_html_text,
