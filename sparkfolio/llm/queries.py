@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkfolio.llm import archive, boilerplate, html_blocks, mixing, quality, sentencepiece_codec, simhash, substring_dedup
+from sparkfolio.llm import archive, boilerplate, html_blocks, mixing, quality, sentencepiece_codec, simhash, substring_dedup, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), cap=3.0)
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = boilerplate.drop_boilerplate(table(spark, sf_dir, "documents"))
     return kept.selectExpr("doc_id", "n_lines", "n_dropped", "sha2(cast(text as binary), 256) as kept_sha256")
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_html_text": op6_html_text,
     "op7_mixing": op7_mixing,
+    "op8_embeddings": op8_embeddings,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
 }
