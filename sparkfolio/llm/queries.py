@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkfolio.llm import archive, boilerplate, html_blocks, mixing, quality, sentencepiece_codec, simhash, substring_dedup, vector_dedup
+from sparkfolio.llm import archive, boilerplate, html_blocks, licenses, mixing, quality, sentencepiece_codec, simhash, substring_dedup, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.round_trip(table(spark, sf_dir, "pages"), min_bytes=0).drop("url")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a tree per source, a folder per hundred ids and one per ten; every tenth file is its folder's licence file."""
+    docs = table(spark, sf_dir, "documents")
+    part, folder = "concat(source, '/part', doc_id div 1000)", "concat(source, '/part', doc_id div 1000, '/set', doc_id div 100)"
+    path = f"case when doc_id % 100 = 0 then concat({part}, '/LICENSE') when doc_id % 10 = 0 then concat({folder}, '/LICENSE') else concat({folder}, '/', doc_id, '.txt') end"
+    return licenses.scan(docs.selectExpr("doc_id", "text", f"{path} as path"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_quality(table(spark, sf_dir, "documents"), piece_model(), carry=["doc_id"])
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -67,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_warc": op3_warc,
+    "op4_licenses": op4_licenses,
     "op5_quality": op5_quality,
     "op6_html_text": op6_html_text,
     "op7_mixing": op7_mixing,
