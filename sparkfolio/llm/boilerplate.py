@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkfolio.llm.shared import staged
+
+#: Tasks that share a host's pages in a join.
+SALTS = 32
 BLANK = " \t\x0b\x0c\r"
 
 
@@ -34,10 +38,13 @@ def drop_boilerplate(df: DataFrame, max_ratio: float = 0.05, min_pages: int = 5,
     lines; it counts as a page of its host.  A null host is a host.  A line that a page repeats counts once for the page and
     is removed each time.  An empty table gives an empty table; other columns, whatever their names, are carried along.
     Only hashes of lines are shuffled, counted before the shuffle; texts move only if the hosts' table is too large for
-    Spark to broadcast, and then a hot host's pages are split.
+    Spark to broadcast, and then a hot host's pages are dealt to several tasks.
     """
-    table = boilerplate_lines(df, host_col, text_col, max_ratio, min_pages).select(F.col("host").alias("_host"), F.col("keys").alias("_keys"))
-    joined = df.join(table, F.col(host_col).eqNullSafe(F.col("_host")), "left")
+    # Written first: the join is planned with the table's size known, so that pages aren't dealt by host to find it small.
+    table = staged(boilerplate_lines(df, host_col, text_col, max_ratio, min_pages), "boilerplate").select(F.col("host").alias("_host"), F.col("keys").alias("_keys"))
+    table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = df.withColumn("_row_salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+    joined = salted.join(table, F.col(host_col).eqNullSafe(F.col("_host")) & (F.col("_row_salt") == F.col("_salt")), "left")
     lines = F.split(F.col(text_col), "\n")
     kept = F.when(F.col("_keys").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_keys"), _key(x))))
     total = F.coalesce(F.size(lines), F.lit(0))
