@@ -17,6 +17,8 @@ from sparkfolio.llm.shared import staged, word_count
 
 #: Bits of the hash: the first 12 hexadecimal digits of the id's MD5. Each level of buckets takes 12 of them.
 HASH_BITS, LEVEL_BITS = 48, 12
+#: Tasks that share a source's rows in a join.
+SALTS = 32
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
@@ -69,9 +71,11 @@ def mix(df: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), cap: float =
     )
 
     def with_source(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
-        # One row per source on the right: its size decides whether it is broadcast; a hot source's rows are split otherwise.
-        table = table.withColumnRenamed("source", "source_")
-        return rows.join(table, F.col("source").eqNullSafe(F.col("source_")), how).drop("source_")
+        # One row per source on the right: its size decides whether it is broadcast; otherwise a hot source's rows are dealt
+        # to SALTS tasks by their hash, each with its copy of the source's row.
+        table = table.withColumnRenamed("source", "source_").withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.col("h") if "h" in rows.columns else F.hash(*rows.columns), F.lit(SALTS)).cast("int")
+        return rows.join(table, F.col("source").eqNullSafe(F.col("source_")) & (salt == F.col("salt_")), how).drop("source_", "salt_")
 
     rows, end = docs.where("size > 0"), plan.select("source", "budget")
     for bits in range(HASH_BITS - LEVEL_BITS, HASH_BITS - 3 * LEVEL_BITS, -LEVEL_BITS):
@@ -87,7 +91,7 @@ def mix(df: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), cap: float =
     # is taken up to that bucket's start.
     start = F.shiftleft("bucket", HASH_BITS - 2 * LEVEL_BITS)
     ends = with_source(found.select("source", start.alias("start")), last, "left")
-    full = with_source(plan, ends, "left")
+    full = staged(with_source(plan, ends, "left"), "thresholds")
     once_more = F.when(F.col("start").isNull(), F.col("budget") > 0).otherwise((F.col("h") < F.col("start")) | (F.struct("h", "id", "size") <= F.col("last")))
     taken = F.col("size") * (F.col("copies") + F.coalesce(once_more, F.lit(False)).cast("long"))
     return with_source(docs, full).select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
