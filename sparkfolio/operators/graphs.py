@@ -169,7 +169,7 @@ def duplicate_tags(units: DataFrame, threshold: float = TAG_MERGE, vector_col: s
         return pa.table({"tag_id": pa.array(ids), "keep_id": pa.array([ids[k] for k in keep])})
 
     kind = units.schema["tag_id"].dataType.simpleString()
-    return rows.groupBy(F.lit(1)).applyInArrow(group, f"tag_id {kind}, keep_id {kind}")
+    return rows.withColumn("_all", F.lit(1)).groupBy("_all").applyInArrow(group, f"tag_id {kind}, keep_id {kind}")
 
 
 def merge_tags(paper_tags: DataFrame, merged: DataFrame) -> DataFrame:

@@ -90,10 +90,11 @@ def fuse(*ranked: DataFrame, k: int = RRF_K, take: int = FUSED) -> DataFrame:
 
 
 def cap_papers(chunks: DataFrame, max_papers: int = MAX_PAPERS, paper_col: str = "paper_id") -> DataFrame:
-    """Chunks of the first ``max_papers`` papers of each query in rank order; all chunks of an admitted paper stay."""
+    """Chunks of the first ``max_papers`` papers of each query in rank order; all chunks of an admitted paper stay. ``place`` is
+    the paper's, from 1."""
     first = F.min("rank").over(Window.partitionBy("query_id", paper_col))
     place = F.dense_rank().over(Window.partitionBy("query_id").orderBy("first_rank"))
-    return chunks.withColumn("first_rank", first).withColumn("place", place).where(F.col("place") <= max_papers).drop("first_rank", "place")
+    return chunks.withColumn("first_rank", first).withColumn("place", place).where(F.col("place") <= max_papers).drop("first_rank")
 
 
 def pick_diverse(query: np.ndarray, vectors: np.ndarray, limit: int, weight: float = MMR_LAMBDA, duplicate: float = DUPLICATE) -> list[int]:
@@ -158,7 +159,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, max_chun
     loaded = fused.join(chunks.select("id", "paper_id"), "id").join(vectors.select("id", "embedding"), "id", "left").select("query_id", "id", "paper_id", F.col("rank").cast("int").alias("rank"), "embedding")
     with_vector = diversify(loaded, queries.where("embedding is not null"), max_chunks)
     without = loaded.join(queries.where("embedding is null").select("query_id"), "query_id", "left_semi").where(F.col("rank") <= max_chunks)
-    return cap_papers(with_vector.unionByName(without), max_papers).drop("embedding")
+    return cap_papers(with_vector.unionByName(without), max_papers).drop("embedding", "place")
 
 
 def hits(chunks: DataFrame, papers: DataFrame, fallback: str = "Untitled") -> DataFrame:

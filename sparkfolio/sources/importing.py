@@ -17,7 +17,7 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFr
 
 def rejection(content: Column) -> Column:
     """Why a file is no usable PDF, in the order of the checks, or null."""
-    text = F.decode(content, F.lit("ISO-8859-1"))
+    text = F.decode(content, "ISO-8859-1")
     end = F.substring(text, -TAIL, TAIL)
     return (
         F.when(content.isNull(), "unreadable")
