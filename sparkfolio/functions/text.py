@@ -164,9 +164,9 @@ def ends_sentence(c: Column) -> Column:
 
 def strip_code_fence(c: Column) -> Column:
     """JSON out of a fenced block."""
-    bare = F.trim(c)
-    inner = F.regexp_replace(F.regexp_replace(bare, r"^```(json)?", ""), r"```$", "")
-    return F.when(bare.startswith("```"), F.trim(inner)).otherwise(bare)
+    bare = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    inner = F.regexp_replace(F.regexp_replace(bare, r"(?U)^```(json)?\s*", ""), r"(?U)\s*```$", "")
+    return F.when(bare.startswith("```"), inner).otherwise(bare)
 
 
 def backoff_seconds(attempts: Column, most: int = 300) -> Column:
@@ -236,4 +236,4 @@ def rect_clamp(r: Column) -> Column:
 
 def usable_rects(rects: Column) -> Column:
     """Rectangles clamped to the page, without those that nothing is left of."""
-    return F.filter(F.transform(rects, rect_clamp), rect_valid)
+    return F.filter(F.transform(rects, rect_clamp), lambda r: rect_valid(r))

@@ -37,7 +37,7 @@ def validate(answers: DataFrame, json_col: str = "json", page_count: str = "page
     pages = lambda x, text: F.struct(x[text].alias(text), clean_pages(x["evidencePages"], n).alias("evidencePages"))
     insights = F.filter(F.coalesce("_a.tagInsights", F.expr("cast(array() as array<struct<tag:string,insight:string,evidencePages:array<bigint>>>)")), lambda i: tag_is_reasonable(i["tag"]) & (F.trim(i["insight"]) != ""))
     insights = F.transform(insights, lambda i: F.struct(i["tag"].alias("tag"), i["insight"].alias("insight"), clean_pages(i["evidencePages"], n).alias("evidencePages")))
-    tags = F.filter("_a.suggestedTags", tag_is_reasonable)
+    tags = F.filter("_a.suggestedTags", lambda t: tag_is_reasonable(t))
     # Explained tags in order, each added if no earlier one equals it without regard to ASCII case.
     all_tags = F.aggregate(F.transform(insights, lambda i: i["tag"]), tags, lambda have, t: F.when(F.exists(have, lambda h: ascii_lower(h) == ascii_lower(t)), have).otherwise(F.concat(have, F.array(t))))
     fields = {

@@ -59,11 +59,12 @@ def reading_columns(items: DataFrame) -> DataFrame:
 
 
 def _per_page(df: DataFrame, keys: list[str], fn: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
-    names = [s.strip().split(" ")[0] for s in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    fields = {name: kinds[kind] for name, kind in (s.split(" ") for s in schema.split(", "))}
 
     def run(table: pa.Table) -> pa.Table:
         rows = fn(table.to_pylist())
-        return pa.table({n: [r[n] for r in rows] for n in names}) if rows else pa.table({n: pa.nulls(0) for n in names})
+        return pa.table({n: pa.array([r[n] for r in rows], k) for n, k in fields.items()})
 
     return df.groupBy(*keys).applyInArrow(run, schema)
 

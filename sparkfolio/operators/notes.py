@@ -22,7 +22,7 @@ class Markers:
     file_key: str = "paper_pdf"
     clock_key: str = "paper_updated_at"
     related: str = "## Related papers"
-    empty_user: str = "## My Notes\n"
+    empty_user: str = "## My Notes"
 
 
 @dataclass

@@ -54,7 +54,7 @@ def usable_sentences(sentences: DataFrame) -> DataFrame:
 
 
 def all_valid(rects: Column) -> Column:
-    return F.forall(rects, rect_valid)
+    return F.forall(rects, lambda r: rect_valid(r))
 
 
 def replace_partitions(df: DataFrame, path: str, *keys: str) -> None:

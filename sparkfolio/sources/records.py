@@ -55,7 +55,8 @@ def translation_segments(rows: DataFrame, json_col: str = "json") -> DataFrame:
     """Rows (…, segment_no, translated, original): the first list of a translation answer, pair by pair."""
     pairs = F.from_json(F.get_json_object(json_col, "$[0]"), "array<string>")
     seg = rows.select("*", F.posexplode(pairs).alias("segment_no", "_pair"))
-    return seg.withColumn("translated", F.get_json_object("_pair", "$[0]")).withColumn("original", F.get_json_object("_pair", "$[1]")).where("translated is not null and original is not null").drop("_pair")
+    pair = F.from_json("_pair", "array<string>")
+    return seg.withColumn("translated", F.try_element_at(pair, F.lit(1))).withColumn("original", F.try_element_at(pair, F.lit(2))).where("translated is not null and original is not null").drop("_pair")
 
 
 def text_models(ids: DataFrame, id_col: str = "id") -> DataFrame:
