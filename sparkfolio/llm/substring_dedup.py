@@ -210,7 +210,11 @@ def deduplicate(df: DataFrame, window: int = 50, id_col: str = "doc_id", text_co
             ids = batch.column(0).to_numpy()
             for a, b, texts in _chunks(batch, 1):
                 s = Segments(texts, window)
-                yield pa.RecordBatch.from_arrays([pa.array(s.anchor), pa.array(s.hash), pa.array(ids[a:b][s.text])], names=["anchor", "seg", "doc"])
+                # A text that repeats itself has equal segments: one of them stands for all.
+                order = np.lexsort((s.hash, s.text))
+                text, seg = s.text[order], s.hash[order]
+                order = order[np.append(True, (text[1:] != text[:-1]) | (seg[1:] != seg[:-1]))[: len(order)]]
+                yield pa.RecordBatch.from_arrays([pa.array(s.anchor[order]), pa.array(s.hash[order]), pa.array(ids[a:b][s.text[order]])], names=["anchor", "seg", "doc"])
 
     every = staged(docs.where("doc is not null").mapInArrow(anchors, "anchor long, seg long, doc long"), "anchors")
     shared = staged(every.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select(F.col("anchor").alias("anchor_")), "shared")
