@@ -100,7 +100,7 @@ def members(read, size: int) -> dict[str, tuple[int, int]]:
     tail_at = max(0, size - 65_557 - 20)  # end record with the longest comment, and the ZIP64 locator before it
     tail = read(tail_at, size - tail_at)
     end = tail.rfind(b"PK\5\6")
-    while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
+    while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
         end = tail.rfind(b"PK\5\6", 0, end)
     if end < 0:
         raise ValueError("no end of a central directory")
