@@ -30,10 +30,10 @@ class Band:
 
 #: Bands by language code.
 LANGUAGES: dict[str, Band] = {
-    "en": Band((2.1, 7.0), 0.10),
-    "de": Band((2.1, 7.0), 0.10),
-    "fr": Band((1.8, 7.0), 0.10),
-    "es": Band((1.9, 7.0), 0.10),
+    "en": Band((1.9, 7.0), 0.10),
+    "de": Band((1.9, 7.0), 0.10),
+    "fr": Band((1.7, 7.0), 0.10),
+    "es": Band((1.8, 7.0), 0.10),
 }
 
 #: Bands by script, for other languages.
