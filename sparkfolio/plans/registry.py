@@ -476,7 +476,11 @@ def similarity_pairs(spark, sf):
 _PAIRS = "pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)"
 
 
-@query("WITH " + _PAIRS + ", top AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 12) DESC, b) AS rank FROM pairs QUALIFY rank <= 5) SELECT a AS source, b AS target, round(s, 6) AS score, rank FROM top WHERE s >= 0.3 AND a % 100 = 0")
+_NEAR = """near_ AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 12) DESC, b) AS rank FROM pairs WHERE a % 100 = 0 QUALIFY rank <= {k}),
+near AS (SELECT a AS centre, b AS id, s, row_number() OVER (PARTITION BY a ORDER BY round(s, 12) DESC, b) AS rank FROM near_ WHERE s >= {tau} AND b IN (SELECT doc_id FROM documents))"""
+
+
+@query("WITH " + _PAIRS + ", " + _NEAR.format(k=5, tau=0.3) + " SELECT centre AS source, id AS target, round(s, 6) AS score, rank FROM near")
 def knn_neighbours(spark, sf):
     v = M.vectors(spark, sf)
     return graphs.semantic_neighbours(v.where("id % 100 = 0"), v, M.papers(spark, sf), TAU).select("source", "target", F.round("score", 6).alias("score"), "rank")
@@ -521,7 +525,9 @@ _REL = "rel AS (SELECT doc_id AS source, (doc_id * 7 + 1) % 1000 AS target, 'cit
     + _PAIRS
     + ", "
     + _REL
-    + """, near AS (SELECT a AS centre, b AS id, s FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 12) DESC, b) AS rank FROM pairs QUALIFY rank <= 16) WHERE s >= 0.2 AND a % 100 = 0),
+    + ", "
+    + _NEAR.format(k=16, tau=0.2)
+    + """,
 cited AS (SELECT source AS centre, target AS id FROM rel WHERE relation_type = 'citation' AND source % 100 = 0 UNION SELECT target, source FROM rel WHERE relation_type = 'citation' AND target % 100 = 0),
 nodes AS (SELECT coalesce(n.centre, c.centre) AS centre, coalesce(n.id, c.id) AS id, n.s AS similarity, c.id IS NOT NULL AS cited FROM near n FULL JOIN (SELECT * FROM cited WHERE id IN (SELECT id FROM papers)) c ON n.centre = c.centre AND n.id = c.id)
 SELECT n.centre, n.id, round(similarity, 6) AS similarity, cited, CASE WHEN p.year < q.year THEN 'precedent' WHEN p.year > q.year THEN 'derivative' ELSE 'concurrent' END AS lineage
