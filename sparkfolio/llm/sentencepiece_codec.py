@@ -55,7 +55,7 @@ class Codec:
     ``cache_words`` bounds the words whose ids are kept.
     """
 
-    def __init__(self, model: bytes, cache_words: int = 1_000_000):
+    def __init__(self, model: bytes, cache_words: int = 500_000):
         import struct
 
         import ahocorasick
@@ -160,7 +160,7 @@ class Codec:
         if self.kinds[left] == 6 or self.kinds[right] == 6:
             return True  # a byte is no piece that merges
         if (known := self._fits.get((left << 20) + right)) is None:
-            if len(self._fits) > 600_000:
+            if len(self._fits) > 400_000:
                 self._fits.clear()
             a, b = self.pieces[left], self.pieces[right]
             known = self._fits[(left << 20) + right] = self.merge(a + b) == [a, b]

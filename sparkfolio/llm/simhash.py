@@ -171,7 +171,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated rows share a fingerprint and so a component; an empty table gives an empty table; further columns are ignored.
     Copies meet in their fingerprint, so pairs are sought between distinct fingerprints only.
     """
-    prints = staged(fingerprints(df, id_col, text_col), "fingerprints")
+    return _classes(staged(fingerprints(df, id_col, text_col), "fingerprints"), id_col)
+
+
+def _classes(prints: DataFrame, id_col: str) -> DataFrame:
+    """Fingerprints (id, fp) with their components."""
     distinct = staged(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")), "distinct")
     roots = components(near_links(distinct.select("fp")))
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
@@ -181,6 +185,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that name their component: one document of each group. Rows equal in id and text stay once."""
-    kept = near_duplicates(df, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col, text_col])
+    """The rows of ``df`` that name their component: one document of each group. Rows equal in id and text stay once.
+
+    A null id names a component only where no other id does.  Texts are dealt by id once; only if ids repeat are they dealt
+    again, to drop repeated rows.
+    """
+    prints = staged(fingerprints(df, id_col, text_col), "fingerprints")
+    classes = staged(_classes(prints, id_col), "classes")
+    named = classes.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
+    kept = df.join(named, F.col(id_col) == F.col("_kept"), "left_semi")
+    if classes.where(F.col("component_id").isNull()).head(1):
+        kept = kept.unionByName(_of_null_ids(df, classes, id_col, text_col))
+    if prints.groupBy(id_col).count().where("count > 1").head(1):
+        kept = kept.dropDuplicates([id_col, text_col])
+    return kept
+
+
+def _of_null_ids(df: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of components without any id, the rows of the least text."""
+    lonely = classes.where(F.col("component_id").isNull()).select("fp").distinct()
+    rows = df.where(F.col(id_col).isNull())
+    marked = fingerprints(rows.select(F.col(text_col).alias(id_col), F.col(text_col).alias("_text")), id_col, "_text").join(lonely, "fp", "left_semi")
+    roots = components(near_links(lonely))
+    placed = marked.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.coalesce(F.col(id_col), F.lit(""))).alias("_least"))
+    return rows.join(placed.select("_least").distinct(), F.coalesce(F.col(text_col), F.lit("")) == F.col("_least"), "left_semi").dropDuplicates([text_col])

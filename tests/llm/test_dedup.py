@@ -154,6 +154,8 @@ def test_fingerprint_edges(spark):
     assert simhash.fingerprint("ÀB c d e") == brute_fingerprint("ÀB c d e")
     assert simhash.near_duplicates(df.limit(0)).count() == 0
     assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == [3, 7, 9]
+    lonely = spark.createDataFrame([(None, "p q r s t u"), (None, "p q r s t u"), (None, "quite another text here"), (1, "x")], "doc_id long, text string")
+    assert sorted(r.text for r in simhash.keep_first(lonely).collect()) == ["p q r s t u", "quite another text here", "x"]
 
 
 # -- embeddings -------------------------------------------------------------------------------------------------------
