@@ -26,13 +26,15 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a new block ends if they are open.
 ENDED_BY_BLOCK = frozenset("p".split())
-#: Words of class, id and role that name what is no part of an article.
+#: Words of class, id and role that name what is no part of an article; "has-", "with-" and "no-" before them say nothing.
 FURNITURE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|widget\w*|related|recommend\w*|share|sharing|social|footer|header|masthead|toolbar|pagination|pager|"
-    r"comments?|commentlist|respond|replies|disqus|search|complementary|contentinfo|dialog)(?=$|[\s_-])",
+    r"(?:^|(?<!\bhas)(?<!\bwith)(?<!\bno)[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|newsletter|subscribe|signup|nav|navbar|navigation|menu|breadcrumbs?|"
+    r"sidebar|aside|related|recommend\w*|share|sharing|social|footer|pagination|pager|comments?|commentlist|respond|replies|disqus|complementary|contentinfo)(?=$|[\s_-])",
     re.I,
 )
+#: Words that do so where no other word names the article's own parts ("post-header").
+WEAK_NAME = re.compile(r"(?:^|[\s_-])(?:banner|notice|notification|alert|popup|modal|overlay|login|side|widget\w*|header|masthead|toolbar|search|dialog)(?=$|[\s_-])", re.I)
+OWN_NAME = re.compile(r"(?:^|[\s_-])(?:content|main|article|post|entry|story|title|body)(?=$|[\s_-])", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
@@ -48,8 +50,8 @@ def _furniture(name: str, attributes: str, inside_article: bool) -> bool:
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
-        elif name not in ("html", "body", "article", "main") and FURNITURE_NAME.search(value):
-            return True
+        elif name not in ("html", "body", "main") and (FURNITURE_NAME.search(value) or (WEAK_NAME.search(value) and not OWN_NAME.search(value))):
+            return name != "article" or "comment" in value.lower()
     return False
 
 

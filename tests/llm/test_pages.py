@@ -22,6 +22,7 @@ from sparkfolio.llm.html_blocks import extract_pages, main_text
         ("<article><h1>T</h1><p>One&nbsp; two\n three<br>four<p>Five</article><footer>F</footer>", "T\nOne two three four\nFive"),
         ("<article><p>Keep.</p><div class='ad'>Buy</div><aside>Side</aside><form><p>Name</p></form><p>Also.</p><script>var t='</p>';</script></article>", "Keep.\nAlso."),
         ("<body><!-- <p>no</p> --><nav><p>" + "menu " * 30 + "</p></nav><main><p>Short.</p></main></body>", "Short."),
+        ("<div class='content has-sidebar'><div class='entry-header'><h1>Title of it all</h1></div><div role=alert>Warning!</div><p>" + "Words. " * 20 + "</p></div><div id='comments'><p>" + "said " * 40 + "</p></div>", "Title of it all\n" + ("Words. " * 20).strip()),
         ("<article><p>Text.</p></article><div id='comments'><article class='comment'><p>" + "said " * 40 + "</p></article></div>", "Text."),
     ],
 )
