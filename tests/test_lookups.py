@@ -7,7 +7,7 @@ from sparkfolio.sources import schemas
 RECTS = schemas.RECTS
 
 
-def test_schemas():
+def test_schemas(spark):
     assert "title_source" in schemas.schema("papers").names and "title_source" not in schemas.schema("papers", 5).names
     assert schemas.schema("sentences").names[-1] == "paragraph_index"
     with pytest.raises(KeyError):
