@@ -30,7 +30,11 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-FOLD = "strip_accents(lower({}))"
+def with_long(df: DataFrame, *columns: str) -> DataFrame:
+    """Ranks as SQL counts them."""
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
 TOKENS = "list_filter(regexp_split_to_array(strip_accents(lower({})), '[^\\p{{L}}\\p{{N}}]+'), lambda t : t <> '')"
 
 # -- search -----------------------------------------------------------------------------------------------------------
@@ -58,7 +62,7 @@ def document_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH questions AS (SELECT item_id AS query_id, text AS question FROM benchmark),\n" + _DOC_BM25 + "\nSELECT query_id, id, score, rank FROM bm")
 def bm25_topk(spark, sf):
-    return search.bm25(benchmark_questions(spark, sf), M.table(spark, sf, "documents"))
+    return with_long(search.bm25(benchmark_questions(spark, sf), M.table(spark, sf, "documents")), "rank")
 
 
 _COS = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 0),
@@ -69,7 +73,7 @@ SELECT query_id, id, round(s, 6) AS score, row_number() OVER (PARTITION BY query
 @query(_COS)
 def cosine_topk(spark, sf):
     v = M.vectors(spark, sf)
-    return blocks.top_k(v.where("id % 100 = 0"), v, 40, "id", "embedding").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return with_long(blocks.top_k(v.where("id % 100 = 0"), v, 40, "id", "embedding"), "rank").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 def _legs(spark, sf):
@@ -92,7 +96,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 @query(_RRF + "\nSELECT query_id, id, score, rank FROM ranked")
 def rrf_hybrid(spark, sf):
-    return search.fuse(*_legs(spark, sf))
+    return with_long(search.fuse(*_legs(spark, sf)), "rank")
 
 
 @query(
@@ -103,7 +107,7 @@ SELECT query_id, id, rank, paper_id, dense_rank() OVER (PARTITION BY query_id OR
 )
 def rrf_paper_cap(spark, sf):
     fused = search.fuse(*_legs(spark, sf)).join(M.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("paper_id")), "id")
-    return search.cap_papers(fused).select("query_id", "id", "rank", "paper_id", "place")
+    return with_long(search.cap_papers(fused), "rank", "place").select("query_id", "id", "rank", "paper_id", "place")
 
 
 @query()
@@ -280,7 +284,7 @@ def content_hash_dedupe(spark, sf):
     from pyspark.sql import Window
 
     p = M.papers(spark, sf)
-    return p.select("id", "sha256", F.row_number().over(Window.partitionBy("sha256").orderBy("id")).alias("copy"))
+    return p.select("id", "sha256", F.row_number().over(Window.partitionBy("sha256").orderBy("id")).cast("long").alias("copy"))
 
 
 @query("WITH " + _LINES + " SELECT doc_id, i, 's' || substr(sha256(doc_id || '|1|' || i || '|' || line), 1, 32) AS sentence_id FROM lines_")
@@ -483,7 +487,7 @@ near AS (SELECT a AS centre, b AS id, s, row_number() OVER (PARTITION BY a ORDER
 @query("WITH " + _PAIRS + ", " + _NEAR.format(k=5, tau=0.3) + " SELECT centre AS source, id AS target, round(s, 6) AS score, rank FROM near")
 def knn_neighbours(spark, sf):
     v = M.vectors(spark, sf)
-    return graphs.semantic_neighbours(v.where("id % 100 = 0"), v, M.papers(spark, sf), TAU).select("source", "target", F.round("score", 6).alias("score"), "rank")
+    return with_long(graphs.semantic_neighbours(v.where("id % 100 = 0"), v, M.papers(spark, sf), TAU), "rank").select("source", "target", F.round("score", 6).alias("score"), "rank")
 
 
 @query("WITH " + _PAIRS + ", top AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 12) DESC, b) AS rank FROM pairs WHERE s >= 0.3 QUALIFY rank <= 3) SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, round(s, 6) AS score FROM top")
