@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +25,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _local_folder is None:
-        _local_folder = "file://" + tempfile.mkdtemp(prefix="sparkfolio-")
+        folder = tempfile.mkdtemp(prefix="sparkfolio-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _local_folder = "file://" + folder
     return _local_folder
 
 
