@@ -32,13 +32,13 @@ def manual_relations(spark, sf):
 
 @query(
     """WITH e AS (SELECT user_id AS tag_id, event_id % 100 AS paper_id, max(event_id) AS insight, max(event_id) AS updated_at FROM events GROUP BY ALL),
-t AS (SELECT DISTINCT user_id AS tag_id, upper(event_type) AS label FROM events WHERE user_id < 50)
+t AS (SELECT DISTINCT user_id AS tag_id, upper(event_type) AS label FROM events)
 SELECT label, e.paper_id, insight, row_number() OVER (PARTITION BY label ORDER BY updated_at DESC, e.tag_id, e.paper_id) AS place FROM e JOIN (SELECT tag_id, lower(label) AS label FROM t) USING (tag_id) JOIN documents d ON d.doc_id = e.paper_id"""
 )
 def tag_note_lookup(spark, sf):
     e = M.table(spark, sf, "events")
     entries = e.groupBy(F.col("user_id").alias("tag_id"), (F.col("event_id") % 100).alias("paper_id")).agg(F.max("event_id").alias("insight"), F.max("event_id").alias("updated_at"))
-    tags = e.where("user_id < 50").select(F.col("user_id").alias("tag_id"), F.upper("event_type").alias("label")).distinct()
+    tags = e.select(F.col("user_id").alias("tag_id"), F.upper("event_type").alias("label")).distinct()
     return lookups.tag_notes(entries, tags, M.papers(spark, sf), e.select(F.col("event_type").alias("label")).distinct()).select("label", "paper_id", "insight", F.col("place").cast("long").alias("place"))
 
 
@@ -58,11 +58,11 @@ def chat_deltas(spark, sf):
 
 
 @query(
-    """WITH h AS (SELECT doc_id // 7 AS paper_id, doc_id AS id, trim(left(text, doc_id % 9), ' ') AS t FROM documents),
+    """WITH h AS (SELECT doc_id // 7 AS paper_id, doc_id AS id, trim(string_split(text, chr(10))[-1], ' ') AS t FROM documents),
 k AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY id) AS no FROM h WHERE strlen(t) > 2) SELECT paper_id, string_agg(no || '. ' || t, chr(10) ORDER BY no) AS source FROM k GROUP BY 1"""
 )
 def highlight_summary(spark, sf):
-    h = M.table(spark, sf, "documents").select(F.expr("doc_id div 7").alias("paper_id"), F.col("doc_id").alias("id"), F.lit(1).alias("page_number"), F.col("doc_id").alias("created_at"), F.expr("substring(text, 1, cast(doc_id % 9 as int))").alias("selected_text"))
+    h = M.table(spark, sf, "documents").select(F.expr("doc_id div 7").alias("paper_id"), F.col("doc_id").alias("id"), F.lit(1).alias("page_number"), F.col("doc_id").alias("created_at"), F.element_at(F.split("text", "\n"), -1).alias("selected_text"))
     return library.numbered_highlights(h)
 
 
@@ -88,14 +88,14 @@ def footnote_band(spark, sf):
 
 
 @query(
-    """WITH items AS (SELECT l_suppkey AS paper_id, (l_partkey % 97) / 100.0::DOUBLE AS x FROM lineitem WHERE l_partkey % 97 NOT BETWEEN 40 AND 49), n AS (SELECT paper_id, count(*) AS n FROM items GROUP BY 1 HAVING count(*) >= 12),
+    """WITH items AS (SELECT l_suppkey AS paper_id, (CASE WHEN l_partkey % 97 BETWEEN 40 AND 49 THEN 50 ELSE l_partkey % 97 END) / 100.0::DOUBLE AS x FROM lineitem), n AS (SELECT paper_id, count(*) AS n FROM items GROUP BY 1 HAVING count(*) >= 12),
 g AS (SELECT unnest(range(42, 63)) / 100.0::DOUBLE AS gutter),
 s AS (SELECT paper_id, gutter, sum((x >= gutter - 0.045 AND x < gutter - 0.005)::INT) AS band, sum((x < gutter)::INT) AS l FROM items, g GROUP BY ALL),
 b AS (SELECT paper_id, n, arg_min(gutter, (band, gutter)) AS gutter, min(band) AS band FROM s JOIN n USING (paper_id) WHERE l >= n * 0.25 AND n - l >= n * 0.25 GROUP BY ALL)
 SELECT paper_id, gutter FROM b WHERE band < n * 0.03"""
 )
 def column_gutters(spark, sf):
-    items = M.table(spark, sf, "lineitem").where("l_partkey % 97 not between 40 and 49").select(F.col("l_suppkey").alias("paper_id"), F.lit(1).alias("page_number"), F.lit("t").alias("text"), ((F.col("l_partkey") % 97) / F.lit(100.0)).alias("x"))
+    items = M.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("paper_id"), F.lit(1).alias("page_number"), F.lit("t").alias("text"), F.expr("(case when l_partkey % 97 between 40 and 49 then 50 else l_partkey % 97 end) / 100.0D").alias("x"))
     return layout.column_gutters(items).select("paper_id", "gutter")
 
 

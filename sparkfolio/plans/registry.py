@@ -345,12 +345,12 @@ def citation_allowlist(spark, sf):
 
 
 @query(
-    r"""WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(left(text, 200), '[/\\:*?"<>|\x00-\x1f\x7f-\x9f]', '-', 'g'), '\.\.', '-', 'g')) AS t FROM documents),
+    r"""WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(string_split(text, chr(10))[1], '[/\\:*?"<>|\x00-\x1f\x7f-\x9f]', '-', 'g'), '\.\.', '-', 'g')) AS t FROM documents),
 b AS (SELECT doc_id, trim(left(trim(regexp_replace(regexp_replace(t, '^[.\- ]+', ''), '[.\- ]+$', '')), 80)) AS t FROM c)
 SELECT doc_id, CASE WHEN t = '' THEN 'untitled' ELSE t END AS name FROM b"""
 )
 def safe_file_names(spark, sf):
-    return M.table(spark, sf, "documents").select("doc_id", X.safe_file_name(F.substring("text", 1, 200)).alias("name"))
+    return M.table(spark, sf, "documents").select("doc_id", X.safe_file_name(F.split("text", "\n")[0]).alias("name"))
 
 
 @query(
@@ -495,13 +495,13 @@ def or_knn_union(spark, sf):
     return graphs.peer_edges(M.vectors(spark, sf), TAU, 3).select("a", "b", F.round("score", 6).alias("score"))
 
 
-_CITE = r"""t AS (SELECT item_id AS target, trim(regexp_replace(lower(left(text, 60)), '[^\p{L}\p{N}]+', ' ', 'g')) AS title FROM benchmark),
+_CITE = r"""t AS (SELECT item_id AS target, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS title FROM benchmark),
 d AS (SELECT doc_id AS source, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS plain, text FROM documents)"""
 
 
 @query("WITH " + _CITE + " SELECT source, target, 'title' AS provenance FROM d, t WHERE strlen(title) >= 20 AND contains(plain, title)  AND source <> target")
 def citation_containment(spark, sf):
-    targets = M.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 60).alias("title"), F.lit(None).cast("string").alias("doi"))
+    targets = M.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("title"), F.lit(None).cast("string").alias("doi"))
     return graphs.citations(M.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), targets)
 
 
