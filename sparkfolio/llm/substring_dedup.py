@@ -230,10 +230,13 @@ def deduplicate(df: DataFrame, window: int = 50, id_col: str = "doc_id", text_co
 
     def of_docs(rows: DataFrame) -> DataFrame:
         wanted = rows.groupBy(F.col("lo").alias("doc_")).agg(F.collect_list("seg").alias("segs"))
-        return dealt.join(wanted, F.col("doc") == F.col("doc_")).select("doc", "text", "segs")
+        # A left join leaves the documents' exchange as the removal needs it, so that both read one; rows without segments are
+        # passed over where segments are cut.
+        return dealt.join(wanted, F.col("doc") == F.col("doc_"), "left").select("doc", "text", "segs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column(2).is_valid())
             ids, wanted = batch.column(0).to_pylist(), batch.column(2)
             for a, b, texts in _chunks(batch, 1):
                 s = Segments(texts, window)
@@ -341,6 +344,7 @@ def _hot_answers(docs: DataFrame, distinct: DataFrame, window: int) -> DataFrame
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column(2).is_valid())
             ids = batch.column(0).to_numpy()
             for a, b, texts in _chunks(batch, 1):
                 s = Segments(texts, window)
