@@ -1,6 +1,7 @@
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +64,31 @@ def test_fertility_bands():
     assert quality.script_of("Пример текста".encode()) == "greek_cyrillic" and quality.script_of("日本語".encode()) == "cjk" and quality.script_of(b"123") == "none"
 
 
+def test_joint_limits_on_labelled_rows(spark, sf_dir):
+    """All labelled junk that passes the base rules is rejected in each language, and at most 1 % of the clean rows."""
+    large = Path(sf_dir).parent / "sf0.1"
+    docs, labels = (spark.read.parquet(f"{large}/{t}.parquet") for t in ("documents", "labels"))
+    scored = quality.score_quality(docs.join(labels, "doc_id").repartition(8), piece_model(), carry=["lang", "quality"], out="q")
+    rows = scored.where("not q.base_failed").groupBy("lang", "quality").agg(F.count("*").alias("n"), F.count_if("q.kept").alias("kept")).collect()
+    found = {(r.lang, r.quality): (r.n, r.kept) for r in rows}
+    assert set(found) == {(x, q) for x in quality.LANGUAGES for q in (0, 1)}
+    for (_, good), (n, kept) in found.items():
+        assert n - kept <= 0.01 * n if good else kept == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "The committee met again in the spring and agreed that the new bridge should be built of stone, since timber had failed twice within living memory; the cost would be shared among the villages on both banks, each according to its means.",
+        "Is and retitioning ouen the of, nterti thorreou ndernt. Is ndble whst the by for and threea. Ores the oredat the, anntly re.\nErtion on the it is onenerth edonre ontiatth ederat as on oransh of shat erre rely thha eresinger. Attireheerstsh nd lytionat edhain of hetian a estiin ndeawhst. Theastou with erhesh. Oforlyhe the atedtion hablees.",
+    ],
+)
+def test_symbol_noise_is_rejected(text):
+    model, words = piece_model(), text.split() + "and so on until all of them had gone home".split()
+    kept = [quality.measure(t, "en", model, min_words=20)["kept"] for t in (" ".join(words), " ".join(w + ("%%%", "***", "###", "&&&", "$$$")[i % 5] for i, w in enumerate(words)), " | ".join(words))]
+    assert kept == [True, False, False]
+
+
 def test_quality_edges(spark):
     df = spark.createDataFrame([(1, None, None, "q"), (2, "x " * 60, "en", "q"), (None, "", "xx", None)], "doc_id long, text string, lang string, quality string")
     out = quality.score_quality(df, piece_model())
