@@ -3,7 +3,8 @@
 Markup is stripped so that each block-level element leaves its text on a line of its own; what markup names as no part of
 an article (menus, footers, adverts, forms, scripts, link lists) leaves blank lines.  The text lengths of each window of
 neighbouring lines are summed; the text begins where the sum surges and ends where it dives to nothing, and what lies
-between is kept, short paragraphs included.
+between is kept, short paragraphs included.  Surge and dive decide inside article and main elements too; what lies outside is
+left out only if such an element holds enough text beside the densest run outside.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,20 +57,24 @@ def _furniture(name: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """Lines of a page in order: text (blank for furniture), characters of it inside links, inside an article element."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(html: str) -> list[tuple[str, int, int]]:
+    """Lines of a page in order: text (blank for furniture), characters of it inside links, number of the outermost article or
+    main element around it (0 outside)."""
+    out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # name, starts furniture, is article
-    furniture = article = links = 0
+    furniture = article = links = element = block = blank = 0
     at = 0
 
     def close_line() -> None:
-        nonlocal linked
+        nonlocal linked, blank
         text = SPACE.sub(" ", unescape("".join(parts))).strip()
-        if text or furniture:  # each block of furniture leaves a blank line, so that a menu makes a wide gap and an advert a narrow one
-            out.append((text, linked, article > 0))
+        # Each block of furniture leaves a blank line, so that a menu makes a wide gap and an advert a narrow one; inside an
+        # article, which a short line ends as often as not, an element of furniture leaves one.
+        if text or (furniture and not (article and blank == block)):
+            blank = 0 if text else block
+            out.append((text, linked, element if article else 0))
         parts.clear()
         linked = 0
 
@@ -121,34 +127,62 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         starts = _furniture(name, attributes, article > 0)
         is_article = name in ("article", "main")
         stack.append((name, starts, is_article))
+        block += starts and not furniture
         furniture += starts
+        element += is_article and not article
         article += is_article
         links += name == "a"
     close_line()
     return out
 
 
-def main_text(html: str | None, window: int = 3, surge: int = 60, link_share: float = 0.5) -> str:
-    """The text between surge and dive points. window: lines of a sum; surge: characters in a window that begin a text."""
-    lines = lines_of(html or "")
-    marked = any(inside and text for text, _, inside in lines)
-    length = [len(t) if t and (inside or not marked) and not (k > link_share * len(t) and not inside) else 0 for t, k, inside in lines]
-    n = len(lines)
+def _runs(length: list[int], window: int) -> list[tuple[int, int, int, int]]:
+    """Runs of windows that hold text, from where the sum leaves nothing to where it dives to nothing again: start, end, highest
+    sum, characters."""
+    n = len(length)
     sums = [sum(length[i : i + window]) for i in range(n)]
-    # A run of windows that hold text: from where the sum leaves nothing to where it dives to nothing again.
     runs, start = [], -1
     for i in range(n + 1):
         if i < n and sums[i]:
             start = i if start < 0 else start
         elif start >= 0:
-            runs.append((start, i, max(sums[start:i])))
+            runs.append((start, i, max(sums[start:i]), sum(length[start:i])))
             start = -1
-    if not runs:
-        return ""
-    peak = max(r[2] for r in runs)
-    # Inside an element that names the article, every run is text; elsewhere a run must surge.
-    least = 0 if marked else min(peak, surge)
-    kept = [t for a, b, p in runs if p >= least for (t, _, _), size in zip(lines[a:b], length[a:b]) if size]
+    return runs
+
+
+def main_text(html: str | None, window: int = 3, surge: int = 60, link_share: float = 0.5) -> str:
+    """The text between surge and dive points. window: lines of a sum; surge: characters in a window that begin a text.
+
+    An article or main element names the text unless the densest run outside has both a higher sum than it and more than twice
+    its characters; if no element does, as where the elements are teasers beside a story, the runs outside are the text.
+    """
+    lines = lines_of(html or "")
+    links = [k > link_share * len(t) for t, k, _ in lines]
+    length = [0 if link else len(t) for (t, _, _), link in zip(lines, links)]
+    outside = _runs([0 if e else size for (_, _, e), size in zip(lines, length)], window)
+    inside = _runs([size if e else 0 for (_, _, e), size in zip(lines, length)], window)
+    if inside and outside:
+        densest = max(outside, key=lambda r: r[2])
+        elements = [_runs([length[i] for i in at], window) for e, at in groupby(range(len(lines)), key=lambda i: lines[i][2]) if e]
+        marked = any(max(r[2] for r in e) >= densest[2] or 2 * sum(r[3] for r in e) >= densest[3] for e in elements if e)
+    else:
+        marked = bool(inside)
+    runs = inside if marked else outside
+    least = min(max((r[2] for r in runs), default=0), surge)
+    kept = []
+    for a, b, peak, _ in runs:
+        if peak < least:
+            continue
+        begun = False
+        for i in range(a, b):
+            text, _, element = lines[i]
+            if not text or bool(element) != marked:
+                continue
+            # Inside, a link on a line of its own stays between lines of text, or alone before them, as a linked title does.
+            if not links[i] or (marked and (begun or not (i and links[i - 1]) and not links[i + 1])):
+                kept.append(text)
+            begun = begun or not links[i]
     return "\n".join(kept)
 
 

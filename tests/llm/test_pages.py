@@ -37,6 +37,26 @@ def test_text_between_surge_and_dive():
     assert main_text(page).split("\n") == [x for _ in range(5) for x in (("A paragraph of the article. " * 4).strip(), "Short one.")]
 
 
+STORY = [f"Paragraph {i} of the story, which goes on for a while and says what happened next to all of them." for i in range(6)]
+STORY_HTML = "".join(f"<p>{x}</p>" for x in STORY)
+LINKS = "<ul>" + "".join(f"<li><a href='/{i}'>Another page {i}</a></li>" for i in range(8)) + "</ul>"
+
+
+def test_surge_and_dive_decide_inside_marked_elements():
+    assert main_text(f"<main><p>Edition 7</p>{LINKS}{STORY_HTML}{LINKS}<p>Print</p></main>").split("\n") == STORY
+    assert main_text(f"<article>{STORY_HTML}<div class=ad>{LINKS}</div><p>The end.</p></article>").split("\n") == [*STORY, "The end."]
+    linked = f"<article><h1><a href='/1'>A linked title</a></h1>{STORY_HTML}<p><a href='/2'>A linked line between</a></p><p>The end.</p></article>"
+    assert main_text(linked).split("\n") == ["A linked title", *STORY, "A linked line between", "The end."]
+
+
+def test_story_beside_marked_teasers():
+    teasers = "".join(f"<article><h3>Teaser {i}</h3><p>A card that says in a few words what page {i} holds for its readers.</p></article>" for i in range(20))
+    for page in (f"<body><div>{STORY_HTML}</div>{teasers}</body>", f"<body>{teasers}<div>{STORY_HTML}</div></body>"):
+        assert main_text(page).split("\n") == STORY
+    assert main_text(f"<body>{teasers}</body>").count("Teaser") == 20
+    assert main_text(f"<article>{STORY_HTML}</article><div><p>{'A note below the story. ' * 8}</p></div>").split("\n") == STORY
+
+
 def test_pages_query_equals_articles(spark, sf_dir):
     from sparkfolio.llm.queries import op6_html_text
 
