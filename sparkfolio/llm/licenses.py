@@ -1,13 +1,16 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest
 ancestor directory by path joins.  DataFrame functions only.
 
-Terms are weighed by how many files of the whole scan hold them.  A line, or a licence file as a whole, is compared with
-the templates it can reach: a cosine of at least the threshold needs one of a template's rarest terms, whose absence alone
-would keep the cosine below it, so only units with such a term are built up into vectors.
+Terms are weighed by how many files of the whole scan hold them.  A line, a run of neighbouring lines, or a licence file as
+a whole, is compared with the templates it can reach: a cosine of at least the threshold needs one of a template's rarest
+terms, whose absence alone would keep the cosine below it, so only units with such a term are built up into vectors.
+Licence files as a whole are also compared with full licence texts.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +37,12 @@ TEMPLATES: dict[str, list[str]] = {
     "LicenseRef-Proprietary": ["All rights reserved."],
 }
 
+#: Full texts, without copyright lines, for licence files as a whole.
+TEXTS: dict[str, list[str]] = {p.stem: [p.read_text()] for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+#: Lines of the longest run: the longest notice wrapped at 32 columns.
+RUN = 8
+
 #: Base names of licence files.
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
 
@@ -43,11 +52,12 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(\d+(?:\.\d+)*|[\p{L}\p{N}]+)"), F.lit(1))
 
 
-def scan(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, list[str]] | None = None) -> DataFrame:
+def scan(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, list[str]] | None = None, texts: dict[str, list[str]] | None = None) -> DataFrame:
     """Rows (id, path, license, score, declared, inherited_from), one per row of ``df``.
 
-    ``license`` is the template's with the highest cosine among the file's lines, or, for a licence file, also of its text as
-    a whole, if that is at least ``threshold`` (the first name among equals); ``declared`` is then true. A file without one
+    ``license`` is the template's with the highest cosine among the file's lines and its runs of up to ``RUN`` lines (a header
+    wrapped over lines; comment marks are no terms), or, for a licence file, also of its text as a whole, to notices and to full
+    ``texts``, if that is at least ``threshold`` (the first name among equals); ``declared`` is then true. A file without one
     inherits from the nearest directory at or above its own that holds a licence file with one (the highest score there, then
     the first name), and ``inherited_from`` is that directory. The root directory is the empty string.
 
@@ -60,7 +70,10 @@ def scan(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", path_col
     # Terms of the templates: a table as large as the templates are, whatever the scan.
     weights = template.select("template", "license", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
     vocabulary = sorted({r.term for r in weights.select("term").distinct().collect()})
-    known = F.array(*[F.lit(t) for t in vocabulary])
+    full = [(f"{n}#{i}", n, t) for n, found in sorted((TEXTS if texts is None else texts).items()) for i, t in enumerate(found)]
+    full_tf = spark.createDataFrame(full, "template string, license string, notice string").select("template", "license", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
+    full_vocabulary = sorted({r.term for r in full_tf.select("term").distinct().collect()})
+    known = F.split(F.lit(" ".join(sorted({*vocabulary, *full_vocabulary}))), " ")
 
     files = df.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     held = files.select(F.explode(F.array_intersect(_terms(F.col("text")), known)).alias("term"))
@@ -88,7 +101,18 @@ def scan(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", path_col
     # Whole texts without any key term are left alone before their lines are told apart.
     candidates = files.where(F.arrays_overlap(_terms(F.col("text")), F.array(*[F.lit(k) for k in sorted(keys)])))
     unit = candidates.select("id", "path", is_license.alias("is_license"), F.explode(F.array_distinct(reachable)).alias("unit"))
-    unit = unit.withColumn("terms", _terms(F.col("unit"))).withColumn("distinct", F.array_distinct("terms"))
+    unit = unit.select("id", "path", "is_license", _terms(F.col("unit")).alias("terms"))
+    # Runs of two lines or more around a line with a key term; each line's terms are found once.
+    lines = candidates.select("id", "path", is_license.alias("is_license"), F.transform(F.split("text", "\n"), _terms).alias("lines"))
+    lines = lines.withColumn("hits", F.transform("lines", lambda t: F.arrays_overlap(t, F.array(*[F.lit(k) for k in sorted(keys)]))))
+    spans = lines.select("*", F.explode(F.sequence(F.lit(1), F.size("lines"))).alias("at")).where(F.exists(F.slice("hits", F.col("at"), F.lit(RUN)), lambda h: h))
+    spans = spans.select("id", "path", "is_license", F.slice("lines", F.col("at"), F.lit(RUN)).alias("lines"), F.slice("hits", F.col("at"), F.lit(RUN)).alias("hits"))
+    spans = spans.where(F.size("lines") > 1).select("*", F.explode(F.sequence(F.lit(2), F.size("lines"))).alias("n"))
+    # A line without a term of the templates at either end only lowers a run's cosines.
+    ends = lambda at: F.arrays_overlap(F.element_at("lines", at), F.array(*[F.lit(t) for t in vocabulary]))
+    spans = spans.where(F.exists(F.slice("hits", F.lit(1), F.col("n")), lambda h: h) & ends(F.lit(1)) & ends(F.col("n")))
+    runs = spans.select("id", "path", "is_license", F.flatten(F.slice("lines", F.lit(1), F.col("n"))).alias("terms"))
+    unit = unit.unionByName(runs).withColumn("distinct", F.array_distinct("terms"))
     tf = lambda t: F.size(F.filter("terms", lambda x: x == t)).cast("double")
     unit = unit.withColumn("vector", F.transform("distinct", lambda t: F.struct(t.alias("t"), (tf(t) * F.coalesce(F.try_element_at(idf, t), rarest)).alias("w"))))
     unit = unit.withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v["w"] * v["w"])))
@@ -100,6 +124,8 @@ def scan(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", path_col
     scores = F.array(*[F.struct(F.round(cosine(w), 9).alias("score"), F.lit(name).alias("license")) for _, name, w in table])
     best = F.filter(scores, lambda s: s["score"] >= threshold)
     declared = unit.select("id", "path", "is_license", F.explode(best).alias("b")).select("id", "path", "is_license", "b.score", "b.license")
+    if full:
+        declared = declared.unionByName(_whole_files(files.where(is_license), full_tf, full_vocabulary, df_counts, total, threshold))
     rank = Window.partitionBy("id", "path").orderBy(F.col("score").desc(), "license")
     declared = staged(declared.withColumn("rank", F.row_number().over(rank)).where("rank = 1").drop("rank"), "declared")
 
@@ -126,3 +152,22 @@ def scan(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", path_col
         F.col("own").isNotNull().alias("declared"),
         F.when(F.col("own").isNull(), F.col("up")).alias("inherited_from"),
     )
+
+
+def _whole_files(files: DataFrame, tf: DataFrame, vocabulary: list[str], df_counts: dict[str, int], total: int, threshold: float) -> DataFrame:
+    """Licence files (id, path, text) whose whole text has a cosine of at least the threshold to a full text."""
+    rarest = F.log(F.lit(1.0 + total)) + 1.0
+    counts = files.sparkSession.createDataFrame([(t, df_counts.get(t, 0)) for t in vocabulary], "term string, df long")
+    idf = counts.select("term", "df", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    vectors = tf.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    vectors = vectors.withColumn("v", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))).select("template", "license", "term", "df", "v")
+    # Terms in fewest files first: a text without all of those that hold more than the rest may lack cannot reach the threshold.
+    before = F.coalesce(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("template").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    keys = sorted({r.term for r in vectors.withColumn("before", before).where(F.col("before") <= 1.001 - threshold * threshold).select("term").distinct().collect()})
+    reached = files.where(F.arrays_overlap(_terms(F.col("text")), F.split(F.lit(" ".join(keys)), " ")))
+    terms = reached.select("id", "path", F.sha2("text", 256).alias("sha"), F.explode(_terms(F.col("text"))).alias("term")).groupBy("id", "path", "sha", "term").agg(F.count("*").alias("n"))
+    weighed = terms.join(F.broadcast(idf.select("term", "idf")), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", rarest))
+    weighed = weighed.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id", "path", "sha"))))
+    products = weighed.join(F.broadcast(vectors.select("template", "license", "term", "v")), "term").groupBy("id", "path", "sha", "norm", "template", "license").agg(F.sum(F.col("w") * F.col("v")).alias("s"))
+    scored = products.select("id", "path", F.lit(True).alias("is_license"), F.round(F.col("s") / F.col("norm"), 9).alias("score"), "license")
+    return scored.where(F.col("score") >= threshold)

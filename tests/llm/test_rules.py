@@ -201,6 +201,33 @@ def test_inheritance(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+GPL_HEADER = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+"""
+BSD_HEADER = """/*
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:
+ */
+"""
+
+
+def test_full_texts_and_wrapped_headers(spark):
+    rows = [(i, f"{name}/LICENSE", f"{name} licence\n\nCopyright (c) 2020 Jane Doe\n\n" + texts[0]) for i, (name, texts) in enumerate(sorted(licenses.TEXTS.items()))]
+    names = [r[1].split("/")[0] for r in rows]
+    assert names == ["Apache-2.0", "BSD-3-Clause", "GPL-3.0", "MIT", "MPL-2.0"]
+    rows += [(10 + i, f"{name}/src/x.py", "code") for i, name in enumerate(names)]
+    rows += [(20, "a/gpl.py", "#!/bin/python\n# Copyright 2020 Jane Doe\n" + GPL_HEADER + "\nimport os\n"), (21, "a/bsd.c", BSD_HEADER + "int main() { return 0; }\n")]
+    rows += [(100 + i, f"b/{i}.txt", f"some words of file {i} that say nothing of the terms on which the work is given to others") for i in range(200)]
+    out = {r.doc_id: (r.license, r.declared, r.inherited_from) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for i, name in enumerate(names):
+        assert out[i] == (name, True, None) and out[10 + i] == (name, False, name)
+    assert out[20] == ("GPL-3.0", True, None) and out[21] == ("BSD-3-Clause", True, None)
+    assert all(out[100 + i][0] is None for i in range(200))
+
+
 # -- pipeline ---------------------------------------------------------------------------------------------------------
 
 
