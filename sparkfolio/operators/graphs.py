@@ -58,10 +58,12 @@ def citations(texts: DataFrame, targets: DataFrame, least_title_bytes: int = 20,
     by the start of its second word or the end of its first; and one word, which must be long, among texts' long words.
     """
     dois = targets.where(F.octet_length("doi") >= least_doi_bytes).select(F.col("id").alias("target"), "doi")
+    longest = dois.agg(F.coalesce(F.max(F.length("doi")), F.lit(0)).alias("longest"))
     run = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(10\.[^\s]*)"), F.lit(1))))
     runs = texts.select(F.col("id").alias("source"), run.alias("run"))
     inner = F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.length("run")), lambda i: F.substring(F.col("run"), i, F.length("run"))), lambda s: s.startswith("10.")))
-    starts = runs.select("source", inner.alias("s")).select("source", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("s"), F.lit(200))), lambda n: F.substring("s", F.lit(1), n))).alias("doi"))
+    starts = runs.select("source", inner.alias("s")).crossJoin(F.broadcast(longest)).where("longest > 0")
+    starts = starts.select("source", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("s"), F.col("longest"))), lambda n: F.substring("s", F.lit(1), n))).alias("doi"))
     by_doi = starts.join(dois, "doi").where("source <> target").select("source", "target", F.lit(0).alias("kind"))
 
     titles = targets.select(F.col("id").alias("target"), normalize_title(F.col("title")).alias("title")).where(F.octet_length("title") >= least_title_bytes)

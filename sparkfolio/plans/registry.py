@@ -501,7 +501,7 @@ d AS (SELECT doc_id AS source, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+'
 
 @query("WITH " + _CITE + " SELECT source, target, 'title' AS provenance FROM d, t WHERE strlen(title) >= 20 AND contains(plain, title)  AND source <> target")
 def citation_containment(spark, sf):
-    targets = M.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("title"), F.lit(None).cast("string").alias("doi"))
+    targets = M.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("title"), F.concat(F.lit("10.1000/"), F.col("item_id")).alias("doi"))
     return graphs.citations(M.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), targets)
 
 

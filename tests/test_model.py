@@ -115,6 +115,14 @@ def test_citations(spark):
     assert found == {(1, 10, "doi"), (2, 10, "title"), (3, 10, "title"), (4, 12, "title"), (6, 13, "title")}
 
 
+def test_long_dois_are_found(spark):
+    doi = "10.1000/" + "a1" * 150
+    texts = spark.createDataFrame([(1, f"see {doi}."), (2, f"see {doi[:-1]}."), (3, "see 10.1000/short")], "id long, text string")
+    targets = spark.createDataFrame([(10, "x", doi), (11, "y", "10.1000/short")], "id long, title string, doi string")
+    assert {(r.source, r.target, r.provenance) for r in graphs.citations(texts, targets).collect()} == {(1, 10, "doi"), (3, 11, "doi")}
+    assert graphs.citations(texts, targets.withColumn("doi", graphs.F.lit(None).cast("string"))).count() == 0
+
+
 def test_neighbourhood_keeps_the_distant_that_cite(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.43]), (3, [0.0, 1.0]), (99, [1.0, 0.0])], "id long, embedding array<float>")
     papers = spark.createDataFrame([(1, 2010), (2, 2005), (3, None)], "id long, year long")
