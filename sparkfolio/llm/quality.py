@@ -39,8 +39,8 @@ class Band:
         return chars_per_token + a * entropy - b * log2(max(tokens, 1)) >= least
 
 
-#: Bands by language code.  Joint limits: logistic regression of the quality label, classes of equal weight, on all labelled rows
-#: of sf0.1 that pass the base rules; the least value lies halfway between the highest junk and the next clean row above it.
+#: Bands by language code.  Joint limits: logistic regression of the quality label on all labelled rows of sf0.1 that pass the base
+#: rules, of four class weights the one that loses fewest clean rows; the least value lies halfway between the highest junk and the next clean row above it.
 LANGUAGES: dict[str, Band] = {
     "en": Band((1.9, 7.0), 0.10, joint=(0.90, 0.20, 6.22)),
     "de": Band((1.9, 7.0), 0.10, joint=(0.49, 0.09, 4.66)),
