@@ -10,6 +10,7 @@ left out only if such an element holds enough text beside the densest run outsid
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from itertools import groupby
@@ -37,34 +38,58 @@ FURNITURE_NAME = re.compile(
 #: Words that do so where no other word names the article's own parts ("post-header").
 WEAK_NAME = re.compile(r"(?:^|[\s_-])(?:banner|notice|notification|alert|popup|modal|overlay|login|side|widget\w*|header|masthead|toolbar|search|dialog)(?=$|[\s_-])", re.I)
 OWN_NAME = re.compile(r"(?:^|[\s_-])(?:content|main|article|post|entry|story|title|body)(?=$|[\s_-])", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Names that as the whole id of a div say the same inside an article.
+FURNITURE_ID = frozenset("comments disqus_thread respond sidebar related-posts share-buttons newsletter".split())
+#: Elements whose class or role may name them furniture inside an article; headings and inline elements are its own there.
+BOXES = frozenset("div section p ul ol dl table span figure center article".split())
+#: A comment, a declaration or a tag.  Quantifiers never give back, and what is cut off runs to the end of the page, so that
+#: no part of a page is read twice.  A quotation mark counts after an equals sign only, and only if it is closed.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s]*+)))?")
 SPACE = re.compile(r"\s+")
+#: Elements without text of the page that run to the page's end if they are left open.
+RAW = frozenset("script style noscript iframe".split())
 
 
-def _furniture(name: str, attributes: str, inside_article: bool) -> bool:
+def attributes_of(raw: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name; the first of a name counts, one without a value is empty."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(raw):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _furniture(name: str, raw: str, inside_article: bool) -> bool:
+    """Whether an element is no part of an article: by its name, because it is hidden, or by the names its author gave it."""
     if name in FURNITURE and not (name == "header" and inside_article):
         return True
-    for m in ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), next((x for x in m.groups()[1:] if x is not None), "")
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
-        if key == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        elif name not in ("html", "body", "main") and (FURNITURE_NAME.search(value) or (WEAK_NAME.search(value) and not OWN_NAME.search(value))):
-            return name != "article" or "comment" in value.lower()
-    return False
+    if not raw.strip(" \t\n\r\f/"):
+        return False
+    given = attributes_of(raw)
+    if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", ""), re.I):
+        return True
+    if name in ("html", "body", "main"):
+        return False
+    if inside_article and name == "div" and given.get("id", "").lower() in FURNITURE_ID:
+        return True
+    if inside_article and name not in BOXES:
+        return False
+    values = [given.get(k, "") for k in (("class", "role") if inside_article else ("class", "role", "id"))]
+    named = next((v for v in values if FURNITURE_NAME.search(v) or (WEAK_NAME.search(v) and not OWN_NAME.search(v))), None)
+    return named is not None and (name != "article" or "comment" in named.lower())
 
 
 def lines_of(html: str) -> list[tuple[str, int, int]]:
     """Lines of a page in order: text (blank for furniture), characters of it inside links, number of the outermost article or
-    main element around it (0 outside)."""
+    main element around it (0 outside).  The time grows with the page's length, however its tags are nested or left open."""
     out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # name, starts furniture, is article
+    blocks: list[int] = []  # places in the stack of elements that end a line
+    opened: Counter[str] = Counter()
     furniture = article = links = element = block = blank = 0
+    never_closed: set[str] = set()
     at = 0
 
     def close_line() -> None:
@@ -78,12 +103,16 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
         parts.clear()
         linked = 0
 
-    def pop() -> None:
+    def pop() -> str:
         nonlocal furniture, article, links
         name, starts, is_article = stack.pop()
+        if blocks and blocks[-1] == len(stack):
+            blocks.pop()
+        opened[name] -= 1
         furniture -= starts
         article -= is_article
         links -= name == "a"
+        return name
 
     while at < len(html):
         m = TAG.search(html, at)
@@ -96,37 +125,36 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
         at = m.end()
         if not m[2]:
             continue
-        closing, name, attributes = bool(m[1]), m[2].lower(), m[3] or ""
+        closing, name, raw = bool(m[1]), m[2].lower(), m[3] or ""
         if name not in INLINE:
             close_line()
         elif name == "br" and not furniture:
             parts.append(" ")
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    while len(stack) > depth:
-                        pop()
-                    break
+            while opened[name] and pop() != name:
+                pass
             continue
-        if name in UNSEEN and not attributes.rstrip().endswith("/"):
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            if end or name != "title":
-                at = end.end() if end else (len(html) if name != "head" else at)
+        if name in UNSEEN and not raw.rstrip().endswith("/"):
+            if name not in never_closed:
+                end = re.compile(rf"</{name}\s*+>", re.I).search(html, at)
+                if end or name in RAW:
+                    at = end.end() if end else len(html)
+                else:
+                    never_closed.add(name)
             continue
-        if name in VOID or attributes.rstrip().endswith("/"):
+        if name in VOID or raw.rstrip().endswith("/"):
             continue
         if name not in INLINE:
             # A block ends an open paragraph, and with it the inline elements that were left open in it.
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in ENDED_BY_BLOCK:
-                    while len(stack) > depth:
-                        pop()
-                    break
-                if stack[depth][0] not in INLINE:
-                    break
-        starts = _furniture(name, attributes, article > 0)
+            if blocks and stack[blocks[-1]][0] in ENDED_BY_BLOCK:
+                place = blocks[-1]
+                while len(stack) > place:
+                    pop()
+            blocks.append(len(stack))
+        starts = _furniture(name, raw, article > 0)
         is_article = name in ("article", "main")
         stack.append((name, starts, is_article))
+        opened[name] += 1
         block += starts and not furniture
         furniture += starts
         element += is_article and not article

@@ -4,6 +4,7 @@ import html
 import io
 import re
 import struct
+import time
 import zipfile
 
 import pytest
@@ -57,6 +58,44 @@ def test_story_beside_marked_teasers():
     assert main_text(f"<article>{STORY_HTML}</article><div><p>{'A note below the story. ' * 8}</p></div>").split("\n") == STORY
 
 
+@pytest.mark.parametrize(
+    "start,end",
+    [
+        ("<p title='a hidden gem'>", "</p>"),
+        ("<div data-hidden='false'>", "</div>"),
+        ("<p data-id='share'>", "</p>"),
+        ("<section id='social'>", "</section>"),
+        ("<h2 id='related-work'>", "</h2>"),
+        ("<h2 id='comments'>", "</h2>"),
+        ("<p don't>", "</p>"),
+        ("<p data-x='a>b'>", "</p>"),
+    ],
+)
+def test_attributes_are_parsed(start, end):
+    assert main_text(f"<article><p>First.</p>{start}Kept words.{end}<p>Last.</p></article>") == "First.\nKept words.\nLast."
+
+
+@pytest.mark.parametrize("start", ["<div class='share'>", "<div id=comments>", "<div hidden>", "<p style='display: none'>", "<ul role=navigation>", "<div aria-hidden=true>"])
+def test_named_furniture_goes(start):
+    assert main_text(f"<article><p>First.</p>{start}Gone.</{start[1:].split()[0]}><p>Last.</p></article>") == "First.\nLast."
+
+
+@pytest.mark.parametrize(
+    "part,end",
+    [("<a ", '"'), ('<a ="', ""), ("<div>", "</b>"), ("<title>", ""), ("<b>", "<div></div>" * 100_000), ("<p><td>", "<b>" * 100_000 + "<div></div>" * 100_000), ("<!--", ""), ("<a href='x", ""), ("<svg>", ""), ("<", ""), ("</i>", ""), ("<nav><b></nav>", "")],
+)
+def test_time_grows_with_the_page(part, end):
+    """Pages of about a megabyte whose tags are left open, nested deeply or never opened."""
+    begin = time.process_time()
+    main_text("<p>Text.</p>" + part * (1_000_000 // len(part)) + end)
+    assert time.process_time() - begin < 10
+
+
+def test_very_long_page():
+    paragraphs = [f"Paragraph {i} of a very long page, which has many of them." for i in range(40_000)]
+    assert main_text("<article>" + "".join(f"<p>{x}</p>" for x in paragraphs) + "</article>") == "\n".join(paragraphs)
+
+
 def test_pages_query_equals_articles(spark, sf_dir):
     from sparkfolio.llm.queries import op6_html_text
 
@@ -72,6 +111,8 @@ def test_page_edges(spark):
     df = spark.createDataFrame([(None, None, None), (1, "u", "<p>x"), (1, "u", "<p>x")], "page_id long, url string, html string")
     assert sorted((r.text, r.n_chars) for r in extract_pages(df).collect()) == [("", 0), ("x", 1), ("x", 1)]
     assert extract_pages(df.limit(0)).count() == 0
+    clash = df.selectExpr("page_id", "url", "html", "'old' as text", "1 as n_chars")
+    assert extract_pages(clash).columns == ["page_id", "url", "text", "n_chars"] and extract_pages(clash).where("text = 'old'").count() == 0
 
 
 # -- archives ---------------------------------------------------------------------------------------------------------
