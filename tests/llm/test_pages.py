@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import html
 import io
@@ -150,10 +151,11 @@ def test_zip64_directory():
 def test_damage_is_seen():
     with pytest.raises(ValueError):
         archive.members(lambda a, n: b"no zip here"[a : a + n], 11)
-    record = archive.record(1, "u", b"<p>", None, False)
+    record = archive.record("<urn:page:1>", "u", b"<p>", None)
     assert archive.parse_record(record)["payload"] == b"<p>"
-    with pytest.raises(ValueError):
-        archive.parse_record(record.replace(b"<p>", b"<q>"))
+    for damaged in (record.replace(b"<p>", b"<q>"), record[:-6]):
+        with pytest.raises(ValueError):
+            archive.parse_record(damaged)
 
 
 def brute_records(rows):
@@ -179,6 +181,73 @@ def test_round_trip(spark):
     assert all(r.record_type == "response" for r in archive.round_trip(df, min_bytes=100).collect())
 
 
+def test_ids_of_any_type_and_further_columns(spark):
+    rows = [("a/b >", "x"), ("", "x"), ("null", "y"), (None, "y"), ("é", "z" * 3_000_000)]
+    df = spark.createDataFrame([(i, h, f"u{i}", 1, b"d", "r") for i, h in rows], "name string, html string, link string, id int, digest binary, rep string")
+    out = archive.round_trip(df, id_col="name", url_col="link").collect()
+    assert {(r.name, r.record_type, r.refers_to, r.payload_bytes) for r in out} == {("a/b >", "response", None, 1), ("", "revisit", "a/b >", 1), ("null", "response", None, 1), (None, "revisit", "null", 1), ("é", "response", None, 3_000_000)}
+
+
+def foreign_record(kind, name, block, **more):
+    head = {"warc-type": kind, "WARC-RECORD-ID": name, "WARC-Date": "2020-01-01T00:00:00Z", "content-LENGTH": len(block)} | more
+    return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+HTTP = b"HTTP/1.0 200 OK\r\ncontent-type: text/html\r\n"
+FOREIGN = [
+    foreign_record("warcinfo", "<urn:uuid:0>", b"software: none\r\n"),
+    foreign_record("response", "<urn:uuid:1>", HTTP + b"\r\nfirst", **{"WARC-Target-URI": "http://a/1"}),
+    foreign_record("request", "<urn:uuid:2>", b"GET / HTTP/1.0\r\n\r\n", **{"Content-Type": "application/http; msgtype=request"}),
+    foreign_record("response", "<urn:uuid:3>", HTTP + b"Content-Length: 6\r\n\r\nsecond", **{"WARC-Payload-Digest": "SHA1:" + archive.payload_digest(b"second").lower(), "X-Long": "a\r\n b"}),
+    foreign_record("revisit", "<urn:uuid:4>", HTTP + b"\r\n", **{"WARC-Refers-To": "<urn:uuid:1>", "WARC-Payload-Digest": "md5:0"}),
+    foreign_record("resource", "<urn:uuid:5>", b"\x00\r\n\r\nbytes"),
+]
+
+
+def foreign_archive(path, packed_records, index, packed_index):
+    """A package of two WARC members, as others write them: index lines (key, time, JSON with text offsets) of the second's records."""
+    places = []
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}", zipfile.ZIP_DEFLATED)
+        for i, part in enumerate((FOREIGN[:3], FOREIGN[3:])):
+            name = f"rec-{i}.warc" + ".gz" * packed_records
+            body, at = b"", 0
+            for record in part:
+                body += (one := gzip.compress(record) if packed_records else record)
+                places.append(f'a,{i})/ 2020010100 {{"url": "http://a", "filename": "{name}", "offset": "{at}", "length": {len(one)}}}\n')
+                at += len(one)
+            z.writestr(f"archive/{name}", body)
+        if index:
+            body = "!meta 0 {}\n" + "".join(places)
+            z.writestr("indexes/index.cdx.gz" if packed_index else "indexes/index.cdxj", gzip.compress(body.encode()) if packed_index else body, zipfile.ZIP_STORED if packed_index else zipfile.ZIP_DEFLATED)
+
+
+@pytest.mark.parametrize("packed_records,index,packed_index", [(True, True, False), (True, True, True), (False, True, False), (True, False, False), (False, False, False)])
+def test_archives_of_others(spark, tmp_path, packed_records, index, packed_index):
+    paths = [str(tmp_path / f"{i}.wacz") for i in range(2)]
+    for p in paths:
+        foreign_archive(p, packed_records, index, packed_index)
+    out = archive.read_archives(spark.createDataFrame([(p,) for p in paths], "path string"), payloads=True).collect()
+    got = sorted((r.record_id, r.record_type, r.url, r.payload_bytes, r.refers_to, r.payload and bytes(r.payload)) for r in out)
+    want = [
+        ("<urn:uuid:0>", "warcinfo", "", 16, None, b"software: none\r\n"),
+        ("<urn:uuid:1>", "response", "http://a/1", 5, None, b"first"),
+        ("<urn:uuid:2>", "request", "", 0, None, b""),
+        ("<urn:uuid:3>", "response", "", 6, None, b"second"),
+        ("<urn:uuid:4>", "revisit", "", None, "<urn:uuid:1>", None),
+        ("<urn:uuid:5>", "resource", "", 10, None, b"\x00\r\n\r\nbytes"),
+    ]
+    assert got == sorted(want * 2)
+    assert {r.payload_digest for r in out if r.record_id == "<urn:uuid:1>"} == {archive.payload_digest(b"first")}
+
+
+def test_ranges_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(archive, "RANGE_BYTES", 1000)
+    df = spark.range(200).selectExpr("id as page_id", "'u' as url", "concat(id, repeat(md5(cast(id as string)), 20)) as html").repartition(2)
+    assert archive.round_trip(df).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert archive.round_trip(df).count() == 200
+
+
 def test_archive_query(spark, sf_dir):
     from sparkfolio.llm.queries import op3_warc
 
