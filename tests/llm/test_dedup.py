@@ -205,5 +205,36 @@ def test_tiles_equal_full_products():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(500, 32)) * np.linspace(3, 0.2, 32)
     x /= np.linalg.norm(x, axis=1)[:, None]
-    a, b = vector_dedup.tile(x[:200], x[200:], 0.6)
-    assert sorted(zip(a.tolist(), b.tolist())) == sorted(map(tuple, np.argwhere(x[:200] @ x[200:].T >= 0.6).tolist()))
+    turn = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+    found = list(vector_dedup.tile(vector_dedup.Block(x[:200], turn), vector_dedup.Block(x[200:], turn), 0.6))
+    assert sorted((a, b) for p, q in found for a, b in zip(p.tolist(), q.tolist())) == sorted(map(tuple, np.argwhere(x[:200] @ x[200:].T >= 0.6).tolist()))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_pair_at_the_threshold_is_linked_whatever_the_other_rows(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(0, [1.0, 0.0, 0.0, 0.0]), (1, [9.0, 3.0, 3.0, 1.0])] + [(i, (rng.normal(size=4) * [1, -5, -5, 1]).tolist()) for i in range(2, 40)]
+    out = {r.vec_id: r for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert out[1].component_id == out[0].component_id == 0 and out[0].n_links >= 1
+
+
+def test_one_dense_group_and_squares_of_tiles(spark, monkeypatch):
+    """All vectors linked with all, most of them at one place of the first axis, in squares of several blocks."""
+    monkeypatch.setattr(vector_dedup, "CHUNK", 1000)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(2500, 6)) * 0.01 + np.eye(6)[0], np.eye(6)[1:] * 2])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", before):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(df, 0.9).collect()}
+            assert all(out[i] == (2499, 0) for i in range(2500)) and all(out[i] == (0, i) for i in range(2500, 2505))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_vectors_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.1])], "vec_id long, embedding array<float>").selectExpr("*", "1 as id", "2 as v", "3 as node", "'x' as root", "4 as copies", "5 as n_links")
+    assert sorted(map(tuple, vector_dedup.near_duplicates(df).collect())) == [(1, 1, 1, True), (2, 1, 1, False)]
