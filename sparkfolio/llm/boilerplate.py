@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.shared import staged
+from sparkfolio.llm.shared import col, fresh, staged
 
-#: Tasks that share a host's pages in a join.
-SALTS = 32
 BLANK = " \t\x0b\x0c\r"
 
 
@@ -23,10 +21,10 @@ def boilerplate_lines(df: DataFrame, host_col: str, text_col: str, max_ratio: fl
 
     A host has at most (distinct lines per page) / max_ratio such lines, whatever its size, so one row holds them.
     """
-    lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != "")
-    seen = df.select(F.col(host_col).alias("host"), F.explode(F.array_distinct(F.transform(lines, _key))).alias("key"))
+    lines = F.filter(F.split(col(text_col), "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != "")
+    seen = df.select(col(host_col).alias("host"), F.explode(F.array_distinct(F.transform(lines, _key))).alias("key"))
     pages = seen.groupBy("host", "key").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    totals = df.groupBy(F.col(host_col).alias("host_")).agg(F.count("*").alias("total"))
+    totals = df.groupBy(col(host_col).alias("host_")).agg(F.count("*").alias("total"))
     often = pages.join(totals, F.col("host").eqNullSafe(F.col("host_"))).where(F.col("pages") > max_ratio * F.col("total"))
     return often.groupBy("host").agg(F.collect_list("key").alias("keys"))
 
@@ -36,21 +34,20 @@ def drop_boilerplate(df: DataFrame, max_ratio: float = 0.05, min_pages: int = 5,
 
     Lines are split at \\n and compared without outer white space; blank lines stay.  A null text stays null and has no
     lines; it counts as a page of its host.  A null host is a host.  A line that a page repeats counts once for the page and
-    is removed each time.  An empty table gives an empty table; other columns, whatever their names, are carried along.
-    Only hashes of lines are shuffled, counted before the shuffle; texts move only if the hosts' table is too large for
-    Spark to broadcast, and then a hot host's pages are dealt to several tasks.
+    is removed each time.  An empty table gives an empty table; other columns, whatever their names, are carried along, but
+    ``n_lines`` and ``n_dropped`` of the input, which are replaced.  Only hashes of lines are shuffled, counted before the
+    shuffle; texts move only if the hosts' table is too large for Spark to broadcast, and then adaptive execution splits a
+    hot host's pages.
     """
     # Written first: the join is planned with the table's size known, so that pages aren't dealt by host to find it small.
-    table = staged(boilerplate_lines(df, host_col, text_col, max_ratio, min_pages), "boilerplate").select(F.col("host").alias("_host"), F.col("keys").alias("_keys"))
-    table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = df.withColumn("_row_salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
-    joined = salted.join(table, F.col(host_col).eqNullSafe(F.col("_host")) & (F.col("_row_salt") == F.col("_salt")), "left")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.when(F.col("_keys").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_keys"), _key(x))))
-    total = F.coalesce(F.size(lines), F.lit(0))
-    rows = joined.withColumn("_kept", kept)
+    table = staged(boilerplate_lines(df, host_col, text_col, max_ratio, min_pages), "boilerplate")
+    host, keys, kept = (fresh(df, name) for name in ("host", "keys", "kept"))
+    joined = df.join(table.select(F.col("host").alias(host), F.col("keys").alias(keys)), col(host_col).eqNullSafe(F.col(host)), "left")
+    lines = F.split(col(text_col), "\n")
+    rest = F.when(F.col(keys).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col(keys), _key(x))))
+    rows = joined.withColumn(kept, rest)
     return rows.select(
-        *[F.array_join("_kept", "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns if c not in ("n_lines", "n_dropped")],
-        F.when(F.col(text_col).isNull(), 0).otherwise(total).cast("long").alias("n_lines"),
-        F.when(F.col(text_col).isNull(), 0).otherwise(total - F.size("_kept")).cast("long").alias("n_dropped"),
+        *[F.array_join(kept, "\n").alias(c) if c == text_col else col(c) for c in df.columns if c.lower() not in ("n_lines", "n_dropped")],
+        F.coalesce(F.when(col(text_col).isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.when(col(text_col).isNotNull(), F.size(lines) - F.size(kept)), F.lit(0)).cast("long").alias("n_dropped"),
     )

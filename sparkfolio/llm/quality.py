@@ -16,9 +16,11 @@ from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkfolio.llm.sentencepiece_codec import codec_of
+from sparkfolio.llm.shared import col
 
 
 @dataclass(frozen=True)
@@ -156,17 +158,19 @@ def score_quality(df: DataFrame, model: bytes, text_col: str = "text", lang_col:
     failed; a null or unknown language is judged by script; repeated rows are measured each; an empty table gives an empty
     table.  A column of ``df`` named ``out`` is replaced.  ``only_kept`` leaves the rejected rows out.
     """
-    carry = [c for c in (df.columns if carry is None else carry) if c != out]
-    inputs = df.selectExpr(*[f"`{c}`" for c in carry], f"`{text_col}` as `_text`", f"`{lang_col}` as `_lang`" if lang_col else "cast(null as string) as `_lang`")
+    carry = [c for c in (df.columns if carry is None else carry) if c.lower() != out.lower()]
+    # Numbered names in between: those of df may clash, or hold dots.
+    names = [f"c{i}" for i in range(len(carry))]
+    inputs = df.select(*[col(c).alias(n) for c, n in zip(carry, names)], col(text_col).alias("text"), (col(lang_col) if lang_col else F.lit(None).cast("string")).alias("lang"))
     arrow = pa.struct([pa.field(n, pa.int64() if isinstance(t, T.LongType) else pa.bool_() if isinstance(t, T.BooleanType) else pa.float64() if isinstance(t, T.DoubleType) else pa.string()) for n, t in FIELDS])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                found = [measure(t, x, model) for t, x in zip(part.column("_text").to_pylist(), part.column("_lang").to_pylist())]
-                full = pa.RecordBatch.from_arrays([part.column(i) for i in range(len(carry))] + [pa.array(found, arrow)], names=[*carry, out])
+                found = [measure(t, x, model) for t, x in zip(part.column("text").to_pylist(), part.column("lang").to_pylist())]
+                full = pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + [pa.array(found, arrow)], names=[*names, "verdict"])
                 yield full.filter(pa.array([f["kept"] for f in found])) if only_kept else full
 
-    schema = T.StructType([*[df.schema[c] for c in carry], T.StructField(out, QUALITY)])
-    return inputs.mapInArrow(score, schema)
+    schema = T.StructType([*[T.StructField(n, df.schema[c].dataType) for c, n in zip(carry, names)], T.StructField("verdict", QUALITY)])
+    return inputs.mapInArrow(score, schema).toDF(*carry, out)

@@ -43,17 +43,31 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def col(name: str) -> Column:
+    """The column of just this name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of ``df`` has: ``name``, with underscores after it as long as one has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts as 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components as rows (node, root): root is the smallest node reachable. Nodes without an edge don't appear.
 
     Alternating large-star and small-star rounds. Each round is two grouped minima (summed before the shuffle) joined
-    back to the edges, written to the shared folder; the number of rounds grows with the logarithm of the longest path.
-    Only a count and a hash of the edges reach the driver.
+    back to the edges, written to the shared folder; rounds go on until nothing changes, and their number grows with the
+    logarithm of the longest path.  Only a count and a hash of the edges reach the driver.  The joins on a node with very many
+    neighbours are split by adaptive execution.
     """
 
     def star(pairs: DataFrame) -> DataFrame:
@@ -66,9 +80,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     e = staged(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     last = mark(e)
-    for _ in range(max_rounds):
-        if not last[0]:
-            break
+    while last[0]:
         # Large star: every neighbour above u moves to the smallest node around u, u included.
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = star(both).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u > v")

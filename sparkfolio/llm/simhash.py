@@ -2,8 +2,10 @@
 
 Fingerprints of 64 bits that differ in at most 4 agree in at least 4 of their 8 bytes.  Postings are keyed by three byte
 positions and their bytes.  The 20 sets of three positions are chosen so that any four positions contain one of them, so
-each pair to be found meets in a posting; there its shared positional bytes are tallied, pairs below four shared bytes
-are dropped, and the others are verified bit by bit.  A task keeps only a spanning forest of the links it finds.
+each pair to be found meets in a posting.  Postings of single positions (256 values each) would hold a 256th of all
+fingerprints and more, and all their pairs; the tally of a pair's shared positional bytes is therefore taken from both
+fingerprints where the pair meets, not from counts over postings: it is the same number.  Pairs below four shared bytes are
+dropped, and the others are verified bit by bit.  A task keeps only a spanning forest of the links it finds.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkfolio.llm.shared import components, staged
+from sparkfolio.llm.shared import col, components, fresh, staged
 
 SHINGLE_WORDS, SEED, MAX_BITS, BYTES = 4, 42, 4, 8
 
@@ -50,7 +52,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
 
-    return df.select(id_col, text_col).mapInArrow(run, T.StructType([df.schema[id_col], T.StructField("fp", T.LongType())]))
+    return df.select(col(id_col), col(text_col)).mapInArrow(run, T.StructType([df.schema[id_col], T.StructField("fp", T.LongType())]))
 
 
 def triples() -> list[tuple[int, int, int]]:
@@ -192,8 +194,9 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     prints = staged(fingerprints(df, id_col, text_col), "fingerprints")
     classes = staged(_classes(prints, id_col), "classes")
-    named = classes.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    kept = df.join(named, F.col(id_col) == F.col("_kept"), "left_semi")
+    name = fresh(df, "kept")
+    named = classes.where(col(id_col) == F.col("component_id")).select(col(id_col).alias(name)).distinct()
+    kept = df.join(named, col(id_col) == F.col(name), "left_semi")
     if classes.where(F.col("component_id").isNull()).head(1):
         kept = kept.unionByName(_of_null_ids(df, classes, id_col, text_col))
     if prints.groupBy(id_col).count().where("count > 1").head(1):
@@ -204,8 +207,9 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _of_null_ids(df: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of components without any id, the rows of the least text."""
     lonely = classes.where(F.col("component_id").isNull()).select("fp").distinct()
-    rows = df.where(F.col(id_col).isNull())
-    marked = fingerprints(rows.select(F.col(text_col).alias(id_col), F.col(text_col).alias("_text")), id_col, "_text").join(lonely, "fp", "left_semi")
+    rows = df.where(col(id_col).isNull())
+    marked = fingerprints(rows.select(col(text_col).alias("of"), col(text_col).alias("text")), "of", "text").join(lonely, "fp", "left_semi")
     roots = components(near_links(lonely))
-    placed = marked.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.coalesce(F.col(id_col), F.lit(""))).alias("_least"))
-    return rows.join(placed.select("_least").distinct(), F.coalesce(F.col(text_col), F.lit("")) == F.col("_least"), "left_semi").dropDuplicates([text_col])
+    least = fresh(df, "least")
+    placed = marked.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.coalesce("of", F.lit(""))).alias(least))
+    return rows.join(placed.select(least).distinct(), F.coalesce(col(text_col), F.lit("")) == F.col(least), "left_semi").dropDuplicates([text_col])

@@ -6,7 +6,7 @@ windows have equal anchors.  Neighbouring windows with the same anchor form a se
 are dropped; the distinct segments of the others go, as text, to the shard of their anchor.  A shard builds an FM-index of
 its segments and streams the same segments' windows through it: backward search over the wavelet matrix gives the suffix
 interval of each window, and the least document in it.  The index compares real words; hashes route windows, and copies of
-a whole segment are told by their 128 bits and indexed once, with the least document that holds them.
+a whole segment are told by 64 bits among those of the same anchor and indexed once, with the least document that holds them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkfolio.llm.fm_index import FMIndex
-from sparkfolio.llm.shared import staged
+from sparkfolio.llm.shared import col, staged
 
 #: Words of an anchor, and of a symbol of the index: windows are whole numbers of symbols.
 ANCHOR, SYMBOL = 10, 10
@@ -29,7 +29,9 @@ ANCHOR, SYMBOL = 10, 10
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTES = np.frombuffer(b"".join(hashlib.sha256(bytes([i])).digest()[:8] for i in range(256)), "<u8")
+_BYTES, _BYTES2 = (np.frombuffer(b"".join(hashlib.sha256(bytes([i])).digest()[at : at + 8] for i in range(256)), "<u8") for at in (0, 8))
+#: Numbers of a second hash that has nothing in common with the first.
+_BASE2, _STEP2 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x27D4EB2F165667C5)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -67,9 +69,12 @@ class Ranges:
 
 
 class Segments:
-    """Segments of a batch of texts: for each, its text, first and last window (in words of its text), anchor and hash."""
+    """Segments of a batch of texts: for each, its text, first and last window (in words of its text), anchor and hash.
 
-    def __init__(self, texts: list[bytes], window: int):
+    second: with ``ranges2``, hashes of ranges of words by other numbers from the bytes on.
+    """
+
+    def __init__(self, texts: list[bytes], window: int, second: bool = False):
         raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         ends_of_text = np.cumsum([len(t) + 1 for t in texts])
         space = _SPACE[raw]
@@ -79,6 +84,7 @@ class Segments:
         text_of = np.searchsorted(ends_of_text, starts, side="right")
         self.first_word = np.searchsorted(text_of, np.arange(len(texts)))
         self.ranges = Ranges(words, _STEP)
+        self.ranges2 = Ranges(Ranges(_BYTES2[raw], _BASE2).hash(starts, ends), _STEP2) if second else None
         n = len(words)
         if n < window:
             self.text = self.low = self.high = np.zeros(0, np.int64)
@@ -186,24 +192,31 @@ def match_segments(texts: list[bytes], docs: np.ndarray, window: int) -> list[np
 
 #: Words of an index; a shard with more builds one after the other. An anchor's segments are never parted.
 INDEX_WORDS = 700_000
-#: Distinct segments of one anchor up to which one index holds them.
-HOT_SEGMENTS = 20_000
 
 
-def deduplicate(df: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(df: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", hot_segments: int = 20_000) -> DataFrame:
     """Rows (id, n_words, n_removed, kept): kept has the words that are left, joined by one space.
 
     Windows are judged on the input. Null, empty and short texts lose nothing; a row with a null id takes no part and keeps
     its words; rows that share an id are one document to each other and lose nothing to one another; an empty table gives an
-    empty table; further columns are ignored. ``window`` is a multiple of 10 of at least 20 words.
+    empty table; further columns are ignored. ``window`` is a multiple of 10 of at least 20 words. Ids of any type that sorts
+    are compared in its order: ids that are no whole numbers are numbered in a table of their own first.
 
-    An anchor with more than ``HOT_SEGMENTS`` distinct segments would need one large index: the windows of these segments
-    are told apart by 128-bit hashes instead, with least documents taken before the shuffle.
+    An anchor with more than ``hot_segments`` distinct segments would need one large index, in one task, as its segments may
+    share all but a few words of a window and no second anchor parts them: the windows of these segments are told apart by
+    two unrelated 64-bit hashes of their words instead, with least documents taken before the shuffle.
     """
     if window % SYMBOL or window < 2 * ANCHOR:
         raise ValueError("the window must be a multiple of 10 words, at least 20")
+    if not isinstance(df.schema[id_col].dataType, T.IntegralType):
+        # Numbers that grow with the ids: sorted by ranges, numbered within them.
+        ids = df.select(col(id_col).alias("id")).where("id is not null").distinct().orderBy("id")
+        ids = staged(ids.withColumn("doc", F.monotonically_increasing_id()), "ids")
+        numbered = df.select(col(id_col).alias("id"), col(text_col).alias("text")).join(ids, "id", "left").select("doc", "text")
+        found = deduplicate(numbered, window, "doc", "text", hot_segments)
+        return found.join(ids, "doc", "left").select(F.col("id").alias(id_col), "n_words", "n_removed", "kept")
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
+    docs = df.select(col(id_col).cast("long").alias("doc"), col(text_col).cast("binary").alias("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +233,7 @@ def deduplicate(df: DataFrame, window: int = 50, id_col: str = "doc_id", text_co
     shared = staged(every.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select(F.col("anchor").alias("anchor_")), "shared")
     used = staged(every.join(shared, F.col("anchor") == F.col("anchor_"), "left_semi"), "used")
     distinct = staged(used.groupBy("anchor", "seg").agg(F.min("doc").alias("lo")), "segments")
-    hot = staged(distinct.groupBy("anchor").count().where(F.col("count") > HOT_SEGMENTS).select(F.col("anchor").alias("anchor_")), "hot")
+    hot = staged(distinct.groupBy("anchor").count().where(F.col("count") > hot_segments).select(F.col("anchor").alias("anchor_")), "hot")
     any_hot = bool(hot.head(1))
     normal = distinct.join(hot, F.col("anchor") == F.col("anchor_"), "left_anti") if any_hot else distinct
 
@@ -336,25 +349,26 @@ def deduplicate(df: DataFrame, window: int = 50, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[id_col, "n_words", "n_removed", "kept"])
 
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return dealt.join(hits, F.col("doc") == F.col("doc_"), "left").select("doc", "text", "hits").mapInArrow(remove, schema)
+    out = dealt.join(hits, F.col("doc") == F.col("doc_"), "left").select("doc", "text", "hits").mapInArrow(remove, schema)
+    return out.withColumn(id_col, col(id_col).cast(df.schema[id_col].dataType))
 
 
 def _hot_answers(docs: DataFrame, distinct: DataFrame, window: int) -> DataFrame:
-    """Answers for segments of hot anchors: each window by two hashes, its least document summed before the shuffle."""
+    """Answers for segments of hot anchors: each window by two unrelated hashes, its least document summed before the shuffle."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column(2).is_valid())
             ids = batch.column(0).to_numpy()
             for a, b, texts in _chunks(batch, 1):
-                s = Segments(texts, window)
+                s = Segments(texts, window, second=True)
                 wanted = set(pa.concat_arrays([x.values for x in batch.column(2).slice(a, b - a)]).to_pylist())
                 take = np.flatnonzero([h in wanted for h in s.hash.tolist()])
                 n = s.high[take] - s.low[take] + 1
                 which = np.repeat(take, n)
                 step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
                 at = s.first_word[s.text[which]] + s.low[which] + step
-                one, two = s.ranges.hash(at, at + window), s.ranges.hash(at, at + window // 2) ^ _mixed(s.ranges.hash(at + window // 2, at + window))
+                one, two = s.ranges.hash(at, at + window), s.ranges2.hash(at, at + window)
                 yield pa.RecordBatch.from_arrays([pa.array(s.anchor[which]), pa.array(s.hash[which]), pa.array(step), pa.array(ids[a:b][s.text[which]]), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["anchor", "seg", "step", "doc", "h1", "h2"])
 
     spread_rows = staged(docs.mapInArrow(spread, "anchor long, seg long, step long, doc long, h1 long, h2 long"), "windows")

@@ -80,12 +80,11 @@ def copied_texts(seed, n=60):
 
 @pytest.mark.parametrize("hot", [20_000, 1])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_substrings_equal_brute_force(spark, monkeypatch, seed, hot):
-    monkeypatch.setattr(substring_dedup, "HOT_SEGMENTS", hot)
+def test_substrings_equal_brute_force(spark, seed, hot):
     rows = copied_texts(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {}
-    for r in substring_dedup.deduplicate(df).collect():
+    for r in substring_dedup.deduplicate(df, hot_segments=hot).collect():
         got.setdefault(r.doc_id, []).append((r.n_words, r.n_removed, r.kept))
     assert {i: sorted(v) for i, v in got.items()} == brute_substrings(rows)
 
@@ -96,6 +95,14 @@ def test_substring_edges(spark):
     assert substring_dedup.deduplicate(df.limit(0)).count() == 0
 
 
+def test_substring_ids_of_any_type_clashing_columns_and_long_texts(spark):
+    passage, long = " ".join(f"p{i}" for i in range(60)), " ".join(f"w{i}" for i in range(120_000))
+    rows = [("b", passage), ("a", "x y " + passage), ("c", passage + " z"), (None, passage), ("d", long), ("e", long + " end")]
+    df = spark.createDataFrame(rows, "name string, body string").selectExpr("*", "1 as doc", "2 as text", "3 as seg", "4 as kept", "5 as id", "6 as n_words", "7 as `a.b`")
+    got = {r.name: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.deduplicate(df, id_col="name", text_col="body").collect()}
+    assert got == {"a": (62, 0, "x y " + passage), "b": (60, 60, ""), "c": (61, 60, "z"), None: (60, 0, passage), "d": (120_000, 0, long), "e": (120_001, 120_000, "end")}
+
+
 def test_substring_query(spark, sf_dir):
     from sparkfolio.llm.queries import op2_substring_dedup
 
@@ -158,6 +165,14 @@ def test_fingerprint_edges(spark):
     assert sorted(r.text for r in simhash.keep_first(lonely).collect()) == ["p q r s t u", "quite another text here", "x"]
 
 
+def test_fingerprints_names_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    df = spark.createDataFrame([(3, long), (2, long), (5, "another text altogether here"), (2, long)], "doc_id long, text string").selectExpr("*", "1 as fp", "2 as component_id", "3 as kept", "4 as least", "5 as `a.b`", "6 as root")
+    assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()) == [(2, 2), (2, 2), (3, 2), (5, 5)]
+    kept = simhash.keep_first(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.kept, r["a.b"]) for r in kept.collect()) == [(2, 3, 5), (5, 3, 5)]
+
+
 # -- embeddings -------------------------------------------------------------------------------------------------------
 
 

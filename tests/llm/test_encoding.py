@@ -62,7 +62,7 @@ def test_decoding_of_loose_bytes(both):
 
 def test_documents(spark, both):
     rows = [(1, "a b"), (2, None), (3, ""), (None, "x"), (1, "a b")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("x", "ids")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'old' as ids", "1 as decoded", "2 as n_tokens", "3 as `a.b`")
     out = S.digests(S.encode_documents(df, piece_model())).collect()
     assert len(out) == 5 and {r.n_tokens for r in out if r.doc_id in (2, 3)} == {2}
     assert S.encode_documents(df.limit(0), piece_model()).count() == 0

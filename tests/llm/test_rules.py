@@ -96,9 +96,52 @@ def test_quality_edges(spark):
     assert quality.score_quality(df.limit(0), piece_model()).count() == 0
 
 
+def test_fertility_equals_the_library(spark, sf_dir):
+    """Tokens, characters per token, share of byte pieces, entropy and verdict, from the library's ids."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    library = sentencepiece.SentencePieceProcessor(model_proto=piece_model())
+    spoken = {i for i in range(library.get_piece_size()) if library.is_byte(i) and library.id_to_piece(i) not in ("<0x0A>", "<0x09>", "<0x0D>")}
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in op5_quality(spark, sf_dir).collect():
+        text, lang = docs[r.doc_id].text or "", docs[r.doc_id].lang
+        ids = library.encode(text)
+        times = Counter(ids)
+        entropy = -sum(n / len(ids) * math.log2(n / len(ids)) for n in times.values())
+        per_token, share = len(text) / max(1, len(ids)), sum(times[i] for i in spoken) / max(1, len(ids))
+        assert r.n_tokens == len(ids) and math.isclose(r.chars_per_token, per_token) and math.isclose(r.byte_share, share, abs_tol=1e-12) and math.isclose(r.token_entropy, entropy, abs_tol=1e-9)
+        band = quality.LANGUAGES[lang]
+        a, b, least = band.joint
+        within = band.chars_per_token[0] <= per_token <= band.chars_per_token[1] and share <= band.byte_share and band.entropy[0] <= entropy <= band.entropy[1]
+        assert r.kept == (not r.base_failed and within and per_token + a * entropy - b * math.log2(len(ids)) >= least)
+
+
+CLASHES = ["1 as text_", "2 as lang_", "3 as host", "4 as keys", "5 as kept", "6 as row", "7 as times", "8 as size", "9 as h", "10 as `a.b`", "11 as `start`", "12 as id", "13 as fp", "14 as least", "15 as n_tokens", "16 as source_", "17 as _kept", "18 as _text"]
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", *CLASHES)
+
+
+def test_quality_names_and_long_texts(spark):
+    words = " ".join(f"wordlike{i} and then some other ones" for i in range(40_000))
+    df = clashing(spark, [(1, words, "en", "a"), (2, None, None, None)])
+    out = quality.score_quality(df, piece_model())
+    assert out.columns == [*df.columns, "quality"] and {r.doc_id: r.quality.n_words for r in out.collect()} == {1: 240_000, 2: 0}
+    assert out.select("`a.b`", "text_", "lang_").distinct().collect() == [(10, 1, 2)]
+
+
 # -- lines ------------------------------------------------------------------------------------------------------------
 
 
+def test_boilerplate_names_and_long_texts(spark):
+    long = "\n".join(f"line {i}" for i in range(50_000))
+    df = clashing(spark, [(i, f"Footer\nown {i}", "en", "a") for i in range(6)] + [(9, long, "en", "b")])
+    out = boilerplate.drop_boilerplate(df, max_ratio=0.5)
+    assert out.columns == [*df.columns, "n_lines", "n_dropped"]
+    rows = {r.doc_id: r for r in out.collect()}
+    assert rows[0].text == "own 0" and (rows[9].n_lines, rows[9].n_dropped, rows[9].text) == (50_000, 0, long) and (rows[0].host, rows[0]["a.b"]) == (3, 10)
+
+
 def test_boilerplate(spark):
     rows = [(i, f"own {i}\n  Footer \nFooter\n\nmore {i}", "a") for i in range(8)] + [(20, "Footer", "b"), (21, None, None), (22, "", "a"), (23, "Footer\nx", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("keys", F.lit(1)).withColumn("n_lines", F.lit("old"))
@@ -158,6 +201,22 @@ def test_mixed_documents(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixed_documents_follow_the_mix(spark):
+    """Names that clash, rows without ids, repeated rows and a long text: each row as often as the mix takes it."""
+    rows = [(i % 50, "w " * (i % 9), "en", ["a", "b", None][i % 3]) for i in range(120)] + [(None, "x y", "en", "a"), (200, "long " * 300_000, "en", "b"), (201, None, None, None)]
+    df = clashing(spark, rows)
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns and out.select("`a.b`", "row", "times", "size", "h", "start").distinct().collect() == [(10, 6, 7, 8, 9, 11)]
+    taken = Counter()
+    for r in mixing.mix(df).collect():
+        taken[r.doc_id, r.size] += r.taken
+    got = Counter()
+    for r in out.collect():
+        got[r.doc_id, len(r.text.split())] += len(r.text.split())
+    assert got == Counter({k: n for k, n in taken.items() if n})
+    assert mixing.mixed_documents(df.limit(0)).count() == 0
+
+
 # -- licences ---------------------------------------------------------------------------------------------------------
 
 
@@ -242,3 +301,59 @@ def test_pipeline(spark, sf_dir):
         names.append(rows.count())
     assert names[0] >= names[2] > 0 and names[3] == names[4]
     assert sorted(map(str, pipeline.run(spark, sf_dir).collect())) == sorted(map(str, rows.collect()))
+
+
+def test_pipeline_edges(spark, sf_dir, tmp_path):
+    """No rows at all, only rows that go, nulls in all columns, a very long text, and names that the operators use themselves."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    good = docs.where("lang = 'en' and length(text) > 2000").orderBy("doc_id").limit(3)
+    long = good.limit(1).selectExpr("cast(9000001 as bigint) as doc_id", "repeat(concat(text, '\\n'), 400) as text", "lang", "source", "n_chars")
+    nulls = spark.createDataFrame([(None, None, None, None, None), (9_000_002, "", None, None, 0)], docs.schema)
+    for name, rows in {"empty": docs.limit(0), "gone": nulls, "all": good.unionByName(good).unionByName(long).unionByName(nulls)}.items():
+        rows.selectExpr("*", *CLASHES, "0 as quality", "0 as n_lines").write.parquet(str(tmp_path / name / "documents.parquet"))
+        out = pipeline.run(spark, str(tmp_path / name)).collect()
+        assert (len(out) > 0) == (name == "all") and all(r.doc_id is not None for r in out)
+
+
+def test_pipeline_stages_equal_brute_force(spark, sf_dir):
+    """Each stage's rows from the rows before, by plain Python."""
+    from test_dedup import brute_fingerprint, roots
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    stages = dict(pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scored = {r.doc_id: r.kept for r in op5_quality(spark, sf_dir).collect()}
+    rows = {r.doc_id: r for r in docs.collect()}
+
+    kept = pipeline.staged(stages["quality rules"](spark, docs, sf_dir), "test")
+    assert {r.doc_id: r for r in kept.collect()} == {i: r for i, r in rows.items() if scored[i]}
+
+    before = kept.collect()
+    bare = lambda x: x.strip(" \t\x0b\x0c\r")
+    pages, totals = Counter(), Counter(r.source for r in before)
+    for r in before:
+        pages.update((r.source, x) for x in {bare(x) for x in r.text.split("\n")} if x)
+    often = {k for k, n in pages.items() if n >= 5 and n > 0.05 * totals[k[0]]}
+    want = {r.doc_id: "\n".join(x for x in r.text.split("\n") if (r.source, bare(x)) not in often) for r in before}
+    lines = pipeline.staged(stages["line dedup"](spark, kept, sf_dir), "test")
+    assert {r.doc_id: (r.text, r.n_chars) for r in lines.collect()} == {i: (t, len(t)) for i, t in want.items()}
+
+    prints = {i: brute_fingerprint(t) for i, t in want.items()}
+    root = roots(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4])
+    single = pipeline.staged(stages["near-dedup"](spark, lines, sf_dir), "test")
+    assert sorted(r.doc_id for r in single.collect()) == sorted(i for i, r in root.items() if i == r)
+
+    sizes = Counter()
+    for r in single.collect():
+        sizes[r.source] += len(WORDS.findall(r.text))
+    target = brute_targets(dict(sizes), (5.0, 2.0, 1.0), 3.0)
+    mixed, taken, times = pipeline.staged(stages["mixing"](spark, single, sf_dir), "test"), Counter(), Counter()
+    for r in mixed.collect():
+        taken[r.source] += len(WORDS.findall(r.text))
+        times[r.doc_id] += 1
+    longest = Counter()
+    for r in single.collect():
+        longest[r.source] = max(longest[r.source], len(WORDS.findall(r.text)))
+    assert max(times.values()) <= 3 and all(abs(taken[s] - t) <= longest[s] / 2 + 1 for s, t in target.items())
+    assert stages["encoding"](spark, mixed, sf_dir).count() == mixed.count()
