@@ -13,23 +13,25 @@ from pyspark.sql import functions as F
 
 from sparkfolio.llm import boilerplate, mixing, quality, sentencepiece_codec, simhash
 from sparkfolio.llm.queries import piece_model
-from sparkfolio.llm.shared import staged
+from sparkfolio.llm.shared import col, fresh, staged
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the fertility bands keep."""
-    return quality.score_quality(docs, piece_model(), only_kept=True).drop("quality")
+    verdict = fresh(docs, "quality")
+    return quality.score_quality(docs, piece_model(), only_kept=True, out=verdict).drop(verdict)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that too many pages of their source repeat; ``n_chars`` follows the text."""
-    kept = boilerplate.drop_boilerplate(docs).drop("n_lines", "n_dropped")
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    kept = boilerplate.drop_boilerplate(docs)
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[length.alias(c) if c == "n_chars" else col(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return simhash.keep_first(docs).select(*docs.columns)
+    return simhash.keep_first(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
