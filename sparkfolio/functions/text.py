@@ -29,7 +29,9 @@ def ascii_lower(c: Column) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, ACCENTED, PLAIN)
+    """Latin letters without their marks, whether one sign holds both or the mark follows; letters of other alphabets keep theirs
+    where one sign holds both, as the keyword index that results are held against has it."""
+    return F.translate(F.regexp_replace(c, "[\\u0300-\\u036F]", ""), ACCENTED + "ſς", PLAIN + "sσ")
 
 
 def collapse(c: Column) -> Column:

@@ -9,18 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfolio.functions.text import strip_accents
-from sparkfolio.operators import blocks
+from sparkfolio.operators import blocks, keyword_index
+from sparkfolio.operators.keyword_index import Keywords, tokens  # noqa: F401  tokens is part of what this module offers
 
 K1, B = 1.2, 0.75
 RRF_K, PER_SOURCE, FUSED, MAX_CHUNKS, MAX_PAPERS, MMR_LAMBDA, DUPLICATE = 60, 40, 80, 10, 5, 0.7, 0.95
 
 
-def tokens(c: Column) -> Column:
-    """Maximal runs of letters and digits, in lower case, without accents."""
-    return F.filter(F.split(strip_accents(F.lower(c)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-
-
 def chunk_terms(question: Column) -> Column:
     """Terms of a question, any of which may match: words with a letter or digit, without other signs than - and _."""
     words = F.filter(F.split(question, r"(?U)\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))
@@ -32,51 +27,39 @@ def library_terms(search: Column) -> Column:
     return F.filter(F.transform(F.split(search, r"(?U)\s+"), lambda w: F.regexp_replace(w, '"', "")), lambda w: w != "")
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, pos, token) of all documents."""
-    return docs.select(F.col(id_col).alias("id"), F.posexplode(tokens(F.col(text_col))).alias("pos", "token"))
-
-
-def matches(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, query_col: str, terms: Column) -> tuple[DataFrame, DataFrame]:
-    """Occurrences of each query term as a phrase: rows (query, term_no, n_terms, id, tf), and rows (id, length) of documents.
+def bm25(queries: DataFrame, docs: DataFrame | Keywords, k: int | None = PER_SOURCE, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", terms: Column | None = None, scope: DataFrame | None = None) -> DataFrame:
+    """Rows (query_id, id, score, rank): lower scores are better.
 
-    A term of several tokens matches where they stand side by side. Postings are cut to the tokens that queries hold before
-    anything is shuffled by token; a term that splits into no tokens matches nothing.
+    docs: rows with texts, which are read whole by each search, or a stored index.  Statistics are those of all rows; a
+    ``scope`` as ``within`` takes it is applied before the k best are taken.
     """
-    split = queries.select(F.col(query_col).alias("query"), F.posexplode(F.filter(F.transform(terms, tokens), lambda t: F.size(t) > 0)).alias("term_no", "phrase"), F.size(F.filter(terms, lambda t: F.size(tokens(t)) > 0)).alias("n_terms"))
-    wanted = split.select("query", "term_no", "n_terms", F.size("phrase").alias("size"), F.posexplode("phrase").alias("at", "token"))
-    vocabulary = wanted.select("token").distinct()
-    hits = postings(docs, id_col, text_col).join(vocabulary, "token", "left_semi")
-    # Term frequencies are summed per document first, so that a frequent word crosses to the queries once per document.
-    single = hits.groupBy("id", "token").agg(F.count("*").alias("tf")).join(wanted.where("size = 1"), "token").select("query", "term_no", "n_terms", "id", "tf")
-    several = wanted.where("size > 1")
-    runs = hits.join(several, "token").groupBy("query", "term_no", "n_terms", "size", "id", (F.col("pos") - F.col("at")).alias("start")).agg(F.countDistinct("at").alias("n")).where("n = size")
-    phrases = runs.groupBy("query", "term_no", "n_terms", "id").agg(F.count("*").alias("tf"))
-    lengths = docs.select(F.col(id_col).alias("id"), F.coalesce(F.size(tokens(F.col(text_col))), F.lit(0)).alias("length"))
-    return single.unionByName(phrases), lengths
-
-
-def bm25(queries: DataFrame, docs: DataFrame, k: int | None = PER_SOURCE, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", terms: Column | None = None, scope: DataFrame | None = None) -> DataFrame:
-    """Rows (query_id, id, score, rank): lower scores are better. Statistics are those of all documents; a ``scope`` of rows
-    (query_id, id) is applied before the k best are taken."""
-    found, lengths = matches(queries, docs, id_col, text_col, query_col, chunk_terms(F.col("question")) if terms is None else terms)
-    lengths = lengths.withColumnRenamed("id", "id_")
-    totals = lengths.agg(F.count("*").alias("N"), F.avg("length").alias("avg_length"))  # one row
-    per_term = found.groupBy("query", "term_no").agg(F.count("*").alias("df"))
+    keywords = docs if isinstance(docs, Keywords) else keyword_index.of_rows(docs, id_col, text_col)
+    found = keyword_index.matches(queries, keywords, query_col, chunk_terms(F.col("question")) if terms is None else terms)
     idf = F.greatest(F.lit(1e-6), F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    scored = found.join(per_term, ["query", "term_no"]).join(lengths, F.col("id") == F.col("id_")).join(F.broadcast(totals))
-    scores = scored.groupBy(F.col("query").alias("query_id"), "id").agg(F.round(-F.sum(weight), 6).alias("score"))
-    if scope is not None:
-        scores = scores.join(scope, ["query_id", "id"], "left_semi")
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (F.col("total") / F.col("N"))))
+    scored = found.join(F.broadcast(keywords.totals))  # one row
+    scores = within(scored.groupBy(F.col("query").alias("query_id"), "id").agg(F.round(-F.sum(weight), 6).alias("score")), scope)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k) if k else scores.withColumn("rank", rank)
 
 
-def match_all(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, query_col: str = "query_id", terms: Column | None = None) -> DataFrame:
-    """Rows (query_id, id) of documents that hold every term of a library search."""
-    found, _ = matches(queries, docs, id_col, text_col, query_col, library_terms(F.col("question")) if terms is None else terms)
-    return found.groupBy(F.col("query").alias("query_id"), "id", "n_terms").agg(F.countDistinct("term_no").alias("n")).where("n = n_terms").select("query_id", "id")
+def match_all(queries: DataFrame, docs: DataFrame | Keywords, id_col: str = "id", text_col: str = "text", query_col: str = "query_id", terms: Column | None = None) -> DataFrame:
+    """Rows (query_id, id) of the rows that hold every term of a library search.
+    A search without terms finds nothing here; a library list without a search isn't filtered.
+    """
+    keywords = docs if isinstance(docs, Keywords) else keyword_index.of_rows(docs, id_col, text_col)
+    found = keyword_index.matches(queries, keywords, query_col, library_terms(F.col("question")) if terms is None else terms)
+    return found.groupBy(F.col("query").alias("query_id"), "id", "n_terms").agg(F.count_distinct("term_no").alias("n")).where("n = n_terms").select("query_id", "id")
+
+
+def match_columns(queries: DataFrame, docs: DataFrame, id_col: str, text_cols: list[str], query_col: str = "query_id", terms: Column | None = None) -> DataFrame:
+    """Rows (query_id, id) of the rows that hold every term of a library search in any of several columns, a phrase in one."""
+    asked = library_terms(F.col("question")) if terms is None else terms
+    found = [keyword_index.matches(queries, keyword_index.of_rows(docs, id_col, c), query_col, asked).select("query", "id", "n_terms", "term_no") for c in text_cols]
+    everything = found[0]
+    for other in found[1:]:
+        everything = everything.unionByName(other)
+    return everything.groupBy(F.col("query").alias("query_id"), "id", "n_terms").agg(F.count_distinct("term_no").alias("n")).where("n = n_terms").select("query_id", "id")
 
 
 def fuse(*ranked: DataFrame, k: int = RRF_K, take: int = FUSED) -> DataFrame:
@@ -121,14 +104,15 @@ def pick_diverse(query: np.ndarray, vectors: np.ndarray, limit: int, weight: flo
 
 def diversify(candidates: DataFrame, queries: DataFrame, limit: int = MAX_CHUNKS, vector_col: str = "embedding") -> DataFrame:
     """Candidates (query_id, id, rank, embedding, ...) picked by maximal marginal relevance to the queries' embeddings, with
-    their new ``rank``. Candidates of a query are few (the fused list), so a query is one group."""
+    their new ``rank``. Candidates of a query are few (the fused list), so a query is one group. A candidate without a vector
+    has no relevance and no likeness, and comes after all that have some."""
     schema = candidates.schema
 
     def pick(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("rank").combine_chunks()
-        rows = rows.filter(pa.compute.is_valid(rows.column(vector_col)))
-        query = rows.column("_query")[0].values.to_numpy().astype(np.float64) if rows.num_rows else np.zeros(0)
-        vectors = np.array([v.values.to_numpy() for v in rows.column(vector_col)], np.float64).reshape(rows.num_rows, -1)
+        query = rows.column("_query")[0].values.to_numpy().astype(np.float64)
+        # A chunk without a vector is alike to nothing.
+        vectors = np.array([v.values.to_numpy() if v.is_valid and len(v) == len(query) else np.zeros(len(query)) for v in rows.column(vector_col)], np.float64)
         order = pick_diverse(query, vectors, limit)
         out = rows.take(pa.array(order, pa.int64()))
         out = out.set_column(out.schema.get_field_index("rank"), "rank", pa.array(range(1, len(order) + 1), pa.int32()))
@@ -138,27 +122,67 @@ def diversify(candidates: DataFrame, queries: DataFrame, limit: int = MAX_CHUNKS
     return with_query.groupBy("query_id").applyInArrow(pick, schema)
 
 
-def in_scope(scopes: DataFrame, groups: DataFrame, papers: DataFrame) -> DataFrame:
-    """Rows (query_id, paper_id) that scopes (query_id, kind, value) resolve to: paper, group (its members) or library (all)."""
-    paper = scopes.where("kind = 'paper'").select("query_id", F.col("value").alias("paper_id"))
-    group = scopes.where("kind = 'group'").join(groups.select("group_id", "paper_id"), F.col("value") == F.col("group_id")).select("query_id", "paper_id")
-    library = scopes.where("kind = 'library'").select("query_id").crossJoin(papers.select(F.col("id").cast("string").alias("paper_id")))
-    return paper.unionByName(group).unionByName(library)
+def in_scope(scopes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows (query_id, paper_id) that bounded scopes (query_id, kind, value) resolve to: a paper itself, a group's members. The
+    kind ``library`` means no bound and has no rows."""
+    paper = scopes.where("kind = 'paper'").select("query_id", F.col("value").cast("string").alias("paper_id"))
+    group = scopes.where("kind = 'group'").join(groups.select("group_id", F.col("paper_id").cast("string").alias("paper_id")), F.col("value") == F.col("group_id")).select("query_id", "paper_id")
+    return paper.unionByName(group).distinct()
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, max_chunks: int = MAX_CHUNKS, max_papers: int = MAX_PAPERS) -> DataFrame:
+def within(rows: DataFrame, scope: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    """Rows (query_id, id, ...) inside their query's scope. scope: queries whose scope is bounded (query_id), and what these
+    may find (query_id, id)."""
+    if scope is None:
+        return rows
+    bounded, allowed = scope
+    free = rows.join(bounded.select("query_id"), "query_id", "left_anti")
+    return free.unionByName(rows.join(allowed.select("query_id", "id"), ["query_id", "id"], "left_semi").select(*rows.columns))
+
+
+def near(queries: DataFrame, vectors: DataFrame, k: int = PER_SOURCE, scope: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Rows (query_id, id, score, rank): the k vectors (id, embedding) nearest to each query (query_id, embedding).
+
+    Queries with a bounded scope rank the vectors inside it, and those only: cut after ranking, a library's best might hold
+    none of them.
+    """
+    asked = queries.where("embedding is not null").select(F.col("query_id").alias("id"), "embedding")
+    if scope is None:
+        return blocks.top_k(asked, vectors, k, "id", "embedding", include_self=True)
+    bounded, allowed = scope
+    free = blocks.top_k(asked.join(bounded.select(F.col("query_id").alias("id")), "id", "left_anti"), vectors, k, "id", "embedding", include_self=True)
+    inside = allowed.join(vectors.where("embedding is not null").select("id", F.col("embedding").alias("own")), "id")
+    inside = inside.join(asked.select(F.col("id").alias("query_id"), "embedding"), "query_id").where("size(own) = size(embedding)")
+    scored = inside.select("query_id", "id", blocks.dot(F.col("embedding"), F.col("own")).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "id"))
+    return free.unionByName(scored.withColumn("rank", rank).where(F.col("rank") <= k))
+
+
+def retrieve(
+    queries: DataFrame, chunks: DataFrame, vectors: DataFrame, max_chunks: int = MAX_CHUNKS, max_papers: int = MAX_PAPERS,
+    scopes: DataFrame | None = None, groups: DataFrame | None = None, generation: int | None = None, keywords: Keywords | None = None,
+) -> DataFrame:
     """Hybrid retrieval for queries (query_id, question, embedding) over chunks (id, paper_id, text) and vectors (id,
     embedding): both legs' best, fused, loaded (a chunk that is gone is dropped after the cut), diversified, capped.
 
-    A query without an embedding is answered by its keywords alone, in fused order.
+    A query without an embedding is answered by its keywords alone, in fused order.  scopes (query_id, kind, value): both legs
+    rank inside a paper or a group (groups: group_id, paper_id); an empty scope finds nothing; a query without a row, or of
+    kind ``library``, searches everything.  generation: vectors of another ``index_generation`` don't exist.  keywords: the
+    chunks' stored index, without which each call reads all texts.
     """
-    keyword = bm25(queries, chunks, id_col="id", text_col="text")
-    asked = queries.where("embedding is not null").select(F.col("query_id").alias("id"), "embedding")
-    vector = blocks.top_k(asked, vectors, PER_SOURCE, "id", "embedding", include_self=True)
-    fused = fuse(keyword, vector)
+    if generation is not None:
+        vectors = vectors.where(F.col("index_generation") == generation)
+    scope = None
+    if scopes is not None:
+        papers = in_scope(scopes, groups if groups is not None else scopes.sparkSession.createDataFrame([], "group_id string, paper_id string"))
+        allowed = papers.withColumnRenamed("paper_id", "paper").join(chunks.select("id", F.col("paper_id").cast("string").alias("paper")), "paper").select("query_id", "id")
+        scope = scopes.where("kind in ('paper', 'group')").select("query_id"), allowed
+    keyword = bm25(queries, chunks if keywords is None else keywords, id_col="id", text_col="text", scope=scope)
+    fused = fuse(keyword, near(queries, vectors, PER_SOURCE, scope))
     loaded = fused.join(chunks.select("id", "paper_id"), "id").join(vectors.select("id", "embedding"), "id", "left").select("query_id", "id", "paper_id", F.col("rank").cast("int").alias("rank"), "embedding")
     with_vector = diversify(loaded, queries.where("embedding is not null"), max_chunks)
-    without = loaded.join(queries.where("embedding is null").select("query_id"), "query_id", "left_semi").where(F.col("rank") <= max_chunks)
+    without = loaded.join(queries.where("embedding is null").select("query_id"), "query_id", "left_semi")
+    without = without.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= max_chunks)
     return cap_papers(with_vector.unionByName(without), max_papers).drop("embedding", "place")
 
 

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfolio.functions import text as X
-from sparkfolio.operators import blocks, documents, graphs, library, search, translation, upserts
+from sparkfolio.operators import blocks, documents, graphs, keyword_index, library, search, translation, upserts
 from sparkfolio.operators import jobs as queue
 from sparkfolio.plans import model as M
 from sparkfolio.plans.model import with_
+from sparkfolio.session import stage_path
 from sparkfolio.sources import importing, records
 from sparkfolio.streaming import changes
 
@@ -50,6 +51,19 @@ bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS
 _DOC_BM25 = _BM25.format(id="doc_id", table="documents", tokens=TOKENS.format("text"), q_tokens=TOKENS.format("question"))
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def document_index(spark: SparkSession, sf: str) -> keyword_index.Keywords:
+    """The stored keyword index of all documents: written by an application's first search, read by all others."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _indexes:
+        folder = stage_path(spark, "keyword-index")
+        keyword_index.build(M.table(spark, sf, "documents"), folder, "doc_id")
+        _indexes[key] = folder
+    return keyword_index.opened(spark, _indexes[key])
+
+
 def benchmark_questions(spark: SparkSession, sf: str) -> DataFrame:
     return M.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
@@ -62,7 +76,7 @@ def document_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH questions AS (SELECT item_id AS query_id, text AS question FROM benchmark),\n" + _DOC_BM25 + "\nSELECT query_id, id, score, rank FROM bm")
 def bm25_topk(spark, sf):
-    return with_long(search.bm25(benchmark_questions(spark, sf), M.table(spark, sf, "documents")), "rank")
+    return with_long(search.bm25(benchmark_questions(spark, sf), document_index(spark, sf)), "rank")
 
 
 _COS = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 0),
@@ -78,7 +92,7 @@ def cosine_topk(spark, sf):
 
 def _legs(spark, sf):
     questions = document_questions(spark, sf)
-    keyword = search.bm25(questions, M.table(spark, sf, "documents"))
+    keyword = search.bm25(questions, document_index(spark, sf))
     vector = blocks.top_k(questions.where("embedding is not null").select(F.col("query_id").alias("id"), "embedding"), M.vectors(spark, sf), 40, "id", "embedding", include_self=True)
     return keyword, vector
 
@@ -110,18 +124,114 @@ def rrf_paper_cap(spark, sf):
     return with_long(search.cap_papers(fused), "rank", "place").select("query_id", "id", "rank", "paper_id", "place")
 
 
-@query()
+# Maximal marginal relevance over candidates cand (query_id, id, rank, v, qv), step by step.
+_MMR = """ordered AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r, v, list_inner_product(qv, v) AS rel FROM cand),
+lists AS (SELECT query_id, list(v ORDER BY r) AS vs, list(id ORDER BY r) AS ids FROM ordered GROUP BY query_id),
+pick AS (
+  SELECT query_id, 0 AS step, []::BIGINT[] AS picked FROM lists
+  UNION ALL
+  SELECT query_id, step + 1, list_append(picked, list(r ORDER BY CASE WHEN step = 0 THEN rel ELSE 0.7 * rel - (1 - 0.7) * red END DESC, r)[1])
+  FROM (SELECT p.query_id, p.step, p.picked, c.r, c.rel, greatest(0, coalesce(list_max(list_transform(p.picked, lambda x : list_inner_product(c.v, l.vs[x]))), 0)) AS red
+        FROM pick p JOIN lists l ON l.query_id = p.query_id JOIN ordered c ON c.query_id = p.query_id WHERE p.step < 10 AND NOT list_contains(p.picked, c.r))
+  WHERE step = 0 OR red < 0.95 GROUP BY query_id, step, picked),
+picks AS (SELECT query_id, arg_max(picked, step) AS picked FROM pick GROUP BY query_id),
+chosen AS (SELECT p.query_id, unnest(list_transform(p.picked, lambda x : l.ids[x])) AS id, unnest(range(1, len(p.picked) + 1)) AS rank FROM picks p JOIN lists l USING (query_id))"""
+
+
+@query(
+    """WITH RECURSIVE q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 0),
+cand AS (SELECT query_id, vec_id AS id, embedding::DOUBLE[] AS v, qv, row_number() OVER (PARTITION BY query_id ORDER BY round(list_inner_product(qv, embedding::DOUBLE[]), 12) DESC, vec_id) AS rank FROM q, embeddings QUALIFY rank <= 80),
+"""
+    + _MMR
+    + "\nSELECT query_id, id, rank FROM chosen"
+)
 def mmr_diversify(spark, sf):
     v = M.vectors(spark, sf)
     asked = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
     near = blocks.top_k(v.where("id % 100 = 0"), v, 80, "id", "embedding", include_self=True)
-    return search.diversify(near.join(v, "id").select("query_id", "id", F.col("rank").cast("int").alias("rank"), "embedding"), asked).drop("embedding")
+    return with_long(search.diversify(near.join(v, "id").select("query_id", "id", F.col("rank").cast("int").alias("rank"), "embedding"), asked).drop("embedding"), "rank")
 
 
-@query()
+# What follows the fused list ``ranked``: loading, diversity (or the fused order without a vector) and the cap on papers.
+_LOADED = (
+    """,
+cand AS (SELECT r.query_id, r.id, r.rank, q.embedding::DOUBLE[] AS qv, coalesce(e.embedding::DOUBLE[], [0.0::DOUBLE FOR x IN q.embedding]) AS v
+  FROM ranked r JOIN documents d ON d.doc_id = r.id JOIN embeddings q ON q.vec_id = r.query_id LEFT JOIN own e ON e.vec_id = r.id),
+"""
+    + _MMR
+    + """,
+plain AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM ranked WHERE query_id NOT IN (SELECT vec_id FROM embeddings) QUALIFY rank <= 10),
+both_ AS (SELECT x.*, d.source AS paper_id, min(rank) OVER (PARTITION BY query_id, d.source) AS first FROM (SELECT * FROM chosen UNION ALL SELECT * FROM plain) x JOIN documents d ON d.doc_id = x.id)
+SELECT query_id, id, paper_id, rank FROM both_ QUALIFY dense_rank() OVER (PARTITION BY query_id ORDER BY first) <= 5"""
+)
+
+
+def _chunks(spark, sf):
+    return M.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("paper_id"), "text")
+
+
+@query(_RRF.replace("WITH ", "WITH RECURSIVE own AS (SELECT vec_id, embedding FROM embeddings), ", 1) + _LOADED)
 def hybrid_retrieve(spark, sf):
-    chunks = M.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("paper_id"), "text")
-    return search.retrieve(document_questions(spark, sf), chunks, M.vectors(spark, sf))
+    return with_long(search.retrieve(document_questions(spark, sf), _chunks(spark, sf), M.vectors(spark, sf), keywords=document_index(spark, sf)), "rank")
+
+
+# Each third question searches its own source, each third a group of two sources, and the others everything; vectors of odd ids
+# are of an earlier generation.
+_SCOPED = (
+    "WITH RECURSIVE own AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 2 = 0), questions AS (SELECT doc_id AS query_id, string_split(text, chr(10))[1] AS question, source FROM documents WHERE doc_id % 100 = 0),\n"
+    + _DOC_BM25.replace("bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM scores QUALIFY rank <= 40)", "")
+    + """
+allowed AS (SELECT q.query_id, d.doc_id AS id FROM questions q JOIN documents d ON (q.query_id // 100 % 3 = 0 AND d.source = q.source) OR (q.query_id // 100 % 3 = 1 AND d.source IN ('src1', 'src2')) OR q.query_id // 100 % 3 = 2),
+bm AS (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM scores s JOIN allowed USING (query_id, id) QUALIFY rank <= 40),
+vec AS (SELECT a.query_id, a.id, row_number() OVER (PARTITION BY a.query_id ORDER BY round(list_inner_product(f.embedding::DOUBLE[], e.embedding::DOUBLE[]), 12) DESC, a.id) AS rank
+  FROM allowed a JOIN own e ON e.vec_id = a.id JOIN embeddings f ON f.vec_id = a.query_id QUALIFY rank <= 40),
+fused AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9)::DOUBLE AS score FROM (SELECT query_id, id, rank FROM bm UNION ALL SELECT query_id, id, rank FROM vec) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused QUALIFY rank <= 80)"""
+)
+
+
+@query(_SCOPED + _LOADED)
+def scoped_retrieve(spark, sf):
+    questions = document_questions(spark, sf)
+    kind = F.expr("query_id div 100 % 3")
+    own = M.table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "source")
+    scopes = questions.join(own, "query_id").select("query_id", F.when(kind == 0, "paper").when(kind == 1, "group").otherwise("library").alias("kind"), F.when(kind == 0, F.col("source")).when(kind == 1, "pair").alias("value"))
+    groups = M.groups(spark, sf).where("group_id in ('src1', 'src2')").select(F.lit("pair").alias("group_id"), F.col("group_id").alias("paper_id"))
+    vectors = M.vectors(spark, sf).withColumn("index_generation", F.when(F.col("id") % 2 == 0, 2).otherwise(1))
+    return with_long(search.retrieve(questions, _chunks(spark, sf), vectors, scopes=scopes, groups=groups, generation=2, keywords=document_index(spark, sf)), "rank")
+
+
+@query(
+    """WITH RECURSIVE texts AS (SELECT doc_id AS id, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 'retrieval of ' || lang ELSE text END AS text FROM documents),
+questions AS (SELECT 1 AS query_id, 'retrieval en' AS question UNION ALL SELECT 2, 'the'),
+"""
+    + _BM25.format(id="id", table="texts", tokens="coalesce(" + TOKENS.format("text") + ", [])", q_tokens=TOKENS.format("question"))
+    + "\nSELECT query_id, id, score, rank FROM bm"
+)
+def refreshed_index(spark, sf):
+    """Search after a refresh: of documents of some ids the texts are others, and some are gone."""
+    docs = M.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    folder = stage_path(spark, "keyword-index")
+    keyword_index.build(docs, folder)
+    changed = docs.where("id % 13 = 0 or id % 7 = 0").select("id", F.when(F.col("id") % 13 > 0, F.concat(F.lit("retrieval of "), "lang")).alias("text"))
+    index = keyword_index.refresh(changed, folder)
+    questions = spark.createDataFrame([(1, "retrieval en"), (2, "the")], "query_id long, question string")
+    return with_long(search.bm25(questions, index), "rank")
+
+
+_MATCH_COLUMNS = "list_contains({0}, w) OR list_contains({1}, w) OR list_contains({2}, w)".format(*[TOKENS.format(c) for c in ("title", "authors", "abstract")])
+
+
+@query(
+    "WITH papers AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS title, '[\"' || source || '\"]' AS authors, lang || ' ' || doc_id % 10 AS abstract FROM documents),\n"
+    + "asked AS (SELECT 1 AS query_id, ['the', 'src1'] AS words UNION ALL SELECT 2, ['en', '7'] UNION ALL SELECT 3, ['src2', 'de', 'der']),\n"
+    + f"words AS (SELECT query_id, len(words) AS n, unnest(words) AS w FROM asked)\nSELECT query_id, id FROM words, papers WHERE {_MATCH_COLUMNS} GROUP BY query_id, id, n HAVING count(*) = n"
+)
+def keyword_match_columns(spark, sf):
+    """A library search over title, authors and abstract, each of its words in any of them."""
+    papers = M.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.split("text", "\n")[0].alias("title"), F.concat(F.lit('["'), "source", F.lit('"]')).alias("authors"), F.concat_ws(" ", "lang", (F.col("doc_id") % 10).cast("string")).alias("abstract"))
+    asked = spark.createDataFrame([(1, "the src1"), (2, '"en" 7'), (3, "src2 de der")], "query_id long, question string")
+    return search.match_columns(asked, papers, "id", ["title", "authors", "abstract"])
 
 
 @query(
@@ -136,7 +246,7 @@ def hybrid_retrieve(spark, sf):
 )
 def keyword_match_all(spark, sf):
     # Words of a title as terms of one token each, all of which a document must hold.
-    return search.match_all(document_questions(spark, sf), M.table(spark, sf, "documents"), "doc_id", "text", terms=search.tokens(F.col("question")))
+    return search.match_all(document_questions(spark, sf), document_index(spark, sf), terms=search.tokens(F.col("question")))
 
 
 # -- library ----------------------------------------------------------------------------------------------------------
