@@ -20,14 +20,15 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def packed(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """Rows (ids, x): up to BLOCK vectors of a partition side by side in binary. Null vectors are left out. No shuffle."""
+    """Rows (ids, x, d, least): up to BLOCK vectors of a partition side by side in binary, and the least id of a block. Null
+    vectors are left out. No shuffle."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         rows: list[np.ndarray] = []
 
         def full():
-            return pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.int64).tobytes()]), pa.array([np.stack(rows).tobytes()]), pa.array([len(rows[0])])], names=["ids", "x", "d"])
+            return pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.int64).tobytes()]), pa.array([np.stack(rows).tobytes()]), pa.array([len(rows[0])]), pa.array([min(ids)], pa.int64())], names=["ids", "x", "d", "least"])
 
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -40,7 +41,7 @@ def packed(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
         if ids:
             yield full()
 
-    return df.select(F.col(id_col).cast("long"), vector_col).where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).mapInArrow(pack, "ids binary, x binary, d long")
+    return df.select(F.col(id_col).cast("long"), vector_col).where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).mapInArrow(pack, "ids binary, x binary, d long, least long")
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, id_col: str, vector_col: str, at_least: float | None = None, include_self: bool = False) -> DataFrame:
@@ -49,7 +50,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, id_col: str, vector_col
     Blocks of queries meet blocks of the corpus; each meeting returns at most k rows per query, which a window ranks.
     """
     q = packed(queries, id_col, vector_col).select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), "d")
-    tiles = packed(corpus, id_col, vector_col).withColumnRenamed("d", "d_").crossJoin(q).where("d = d_")
+    tiles = packed(corpus, id_col, vector_col).select("ids", "x", F.col("d").alias("d_")).crossJoin(q).where("d = d_")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,19 +72,19 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, id_col: str, vector_col
 
 
 def similar_pairs(df: DataFrame, threshold: float, id_col: str, vector_col: str) -> DataFrame:
-    """Rows (a, b, score) with a < b of all pairs whose product reaches the threshold, block by block."""
+    """Rows (a, b, score) with a < b of all pairs whose product reaches the threshold.  Two blocks meet once, in the order of
+    their least ids, which are no other block's: half of all meetings are never sent to a task."""
     one = packed(df, id_col, vector_col)
-    tiles = one.select(F.col("ids").alias("a_ids"), F.col("x").alias("a_x"), "d").crossJoin(one.select("ids", "x", F.col("d").alias("d_"))).where("d = d_")
+    tiles = one.select(F.col("ids").alias("a_ids"), F.col("x").alias("a_x"), "d", F.col("least").alias("a_least")).crossJoin(one.select("ids", "x", F.col("d").alias("d_"), "least")).where("d = d_ and a_least <= least")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a_ids, a_x, d, ids, x in zip(*(batch.column(n).to_pylist() for n in ("a_ids", "a_x", "d", "ids", "x"))):
+                same = a_ids == ids
                 a_ids, ids = np.frombuffer(a_ids, np.int64), np.frombuffer(ids, np.int64)
-                if a_ids.min() > ids.max():
-                    continue
                 s = np.frombuffer(a_x).reshape(-1, d) @ np.frombuffer(x).reshape(-1, d).T
-                i, j = np.nonzero((s >= threshold) & (a_ids[:, None] < ids[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(a_ids[i]), pa.array(ids[j]), pa.array(s[i, j])], names=["a", "b", "score"])
+                i, j = np.nonzero((s >= threshold) & ((a_ids[:, None] < ids[None, :]) if same else (a_ids[:, None] != ids[None, :])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a_ids[i], ids[j])), pa.array(np.maximum(a_ids[i], ids[j])), pa.array(s[i, j])], names=["a", "b", "score"])
 
     return tiles.select("a_ids", "a_x", "d", "ids", "x").mapInArrow(score, "a long, b long, score double")
 

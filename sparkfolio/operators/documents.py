@@ -138,7 +138,8 @@ class Unit:
 def units_of(pages: list[tuple[int, str]]) -> list[Unit]:
     out, section = [], None
     for number, text in pages:
-        for line in text.splitlines() if "\n" in text else [text]:
+        for line in text.split("\n"):
+            line = line.removesuffix("\r")
             if (found := heading_of(line)) is not None:
                 section = found
             else:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkfolio.functions.text import aggressive_key, lineage, normalize_title
 from sparkfolio.operators import blocks
@@ -49,25 +50,103 @@ def peer_edges(vectors: DataFrame, threshold: float = PEER_SIMILARITY, keep: int
     return undirected_top(blocks.similar_pairs(vectors, threshold, "id", "embedding"), keep)
 
 
-def citations(texts: DataFrame, targets: DataFrame, least_title_bytes: int = 20, least_doi_bytes: int = 7) -> DataFrame:
-    """Edges (source, target, provenance): a text (id, text) holds a target's DOI (starting with ``10.``) as it is, or its
-    title, both without signs and case, as a substring; provenance doi goes before title.
+#: Bytes of DOIs and titles up to which one automaton of all of them is sent to every task.
+AUTOMATON_BYTES = 32 << 20
 
-    Substrings are found by keys, not by comparing each text with each title.  Between its first and last word a title's
-    words stand in the text as whole words, so a title of three or more words is sought by the rarest of those; a title of two
-    by the start of its second word or the end of its first; and one word, which must be long, among texts' long words.
+
+def citations(texts: DataFrame, targets: DataFrame, least_title_bytes: int = 20, least_doi_bytes: int = 7, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """Edges (source, target, provenance): a text (id, text) holds a target's DOI as it is, or its title, both without signs and
+    case, as a substring; provenance doi goes before title.
+
+    One pass over the texts finds all DOIs and titles by an automaton of them, if these have at most ``automaton_bytes``.
+    More of them are sought by keys: titles by their words, DOIs that begin with ``10.`` by what follows each ``10.`` in a text,
+    up to the longest DOI; other DOIs by as many automata as they fill, a pass each.  No text is compared with each title.
     """
-    dois = targets.where(F.octet_length("doi") >= least_doi_bytes).select(F.col("id").alias("target"), "doi")
-    longest = dois.agg(F.coalesce(F.max(F.length("doi")), F.lit(0)).alias("longest"))
-    run = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(10\.[^\s]*)"), F.lit(1))))
-    runs = texts.select(F.col("id").alias("source"), run.alias("run"))
-    inner = F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.length("run")), lambda i: F.substring(F.col("run"), i, F.length("run"))), lambda s: s.startswith("10.")))
-    starts = runs.select("source", inner.alias("s")).crossJoin(F.broadcast(longest)).where("longest > 0")
-    starts = starts.select("source", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("s"), F.col("longest"))), lambda n: F.substring("s", F.lit(1), n))).alias("doi"))
-    by_doi = starts.join(dois, "doi").where("source <> target").select("source", "target", F.lit(0).alias("kind"))
-
-    titles = targets.select(F.col("id").alias("target"), normalize_title(F.col("title")).alias("title")).where(F.octet_length("title") >= least_title_bytes)
-    titles = titles.withColumn("words", F.split("title", " "))
+    dois = targets.where(F.octet_length("doi") >= least_doi_bytes).select(F.col("id").alias("target"), F.col("doi").alias("sought"))
+    titles = targets.select(F.col("id").alias("target"), normalize_title(F.col("title")).alias("sought")).where(F.octet_length("sought") >= least_title_bytes)
+    size = dois.unionByName(titles).agg(F.coalesce(F.sum(F.octet_length("sought")), F.lit(0))).first()[0]
+    if size <= automaton_bytes:
+        found = _by_automaton(texts, dois, titles)
+    else:
+        found = _titles_by_keys(texts, titles, least_title_bytes).unionByName(_dois_by_starts(texts, dois.where(F.startswith("sought", F.lit("10.")))))
+        odd = dois.where(~F.startswith("sought", F.lit("10.")))
+        passes = -(-odd.agg(F.coalesce(F.sum(F.octet_length("sought")), F.lit(0))).first()[0] // automaton_bytes)
+        for n in range(passes):
+            found = found.unionByName(_by_automaton(texts, odd.where(F.pmod(F.xxhash64("sought"), F.lit(passes)) == n), titles.limit(0)))
+    best = found.where("source <> target").groupBy("source", "target").agg(F.min("kind").alias("kind"))
+    return best.select("source", "target", F.when(F.col("kind") == 0, "doi").otherwise("title").alias("provenance"))
+
+
+_automata: dict[int, tuple] = {}
+
+
+def _by_automaton(texts: DataFrame, dois: DataFrame, titles: DataFrame) -> DataFrame:
+    """Rows (source, target, kind) of all DOIs (0) and titles (1), few enough to be sent to every task, that texts hold."""
+    import ahocorasick
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark = texts.sparkSession
+    source_type, target_type = texts.schema["id"].dataType, dois.schema["target"].dataType
+    sought = [[(r.sought, r.target) for r in rows.collect()] for rows in (dois, titles)]
+    sent = spark.sparkContext.broadcast(sought)
+    key = sent._jbroadcast.id() if hasattr(sent, "_jbroadcast") else id(sent)
+
+    def automata() -> tuple:
+        """The worker's automata of these DOIs and titles: a sought text's value is the list of its targets."""
+        if key not in _automata:
+            built = []
+            for pairs in sent.value:
+                of: dict[str, list] = {}
+                for text, target in pairs:
+                    of.setdefault(text, []).append(target)
+                automaton = ahocorasick.Automaton()
+                for text, owners in of.items():
+                    automaton.add_word(text, owners)
+                if of:
+                    automaton.make_automaton()
+                built.append(automaton if of else None)
+            _automata.clear()
+            _automata[key] = tuple(built)
+        return _automata[key]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[int] = []
+            found: list = []
+            kinds: list[int] = []
+            for kind, automaton in enumerate(automata()):
+                if automaton is None:
+                    continue
+                for i, text in enumerate(batch.column(1 + kind).to_pylist()):
+                    if text:
+                        owners = {id(o): o for _, o in automaton.iter(text)}
+                        here = [t for o in owners.values() for t in o]
+                        rows += [i] * len(here)
+                        found += here
+                        kinds += [kind] * len(here)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, to_arrow_type(target_type)), pa.array(kinds, pa.int32())], names=["source", "target", "kind"])
+
+    both = texts.select(F.col("id").alias("source"), F.col("text") if sought[0] else F.lit(None).cast("string").alias("text"), (normalize_title(F.col("text")) if sought[1] else F.lit(None).cast("string")).alias("plain"))
+    return both.mapInArrow(find, T.StructType([T.StructField("source", source_type), T.StructField("target", target_type), T.StructField("kind", T.IntegerType())]))
+
+
+def _dois_by_starts(texts: DataFrame, dois: DataFrame) -> DataFrame:
+    """Rows (source, target, kind): what stands from each ``10.`` on, up to the longest DOI, is joined by each length that DOIs have."""
+    lengths = dois.select(F.length("sought").alias("n")).distinct().agg(F.sort_array(F.collect_list("n")).alias("lengths"))  # one row, of the lengths that occur
+    longest = dois.agg(F.coalesce(F.max(F.length("sought")), F.lit(3))).first()[0]
+    starts = texts.select(F.col("id").alias("source"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?s)(?=(10\..{{0,{longest - 3}}}))"), F.lit(1)))).alias("s")).crossJoin(F.broadcast(lengths))
+    offered = starts.select("source", "s", F.explode("lengths").alias("n")).where(F.length("s") >= F.col("n")).select("source", F.expr("left(s, n)").alias("sought")).distinct()
+    return offered.join(dois, "sought").select("source", "target", F.lit(0).alias("kind"))
+
+
+def _titles_by_keys(texts: DataFrame, titles: DataFrame, least_title_bytes: int) -> DataFrame:
+    """Rows (source, target, kind) of normalised titles in normalised texts.
+
+    Between its first and last word a title's words stand in the text as whole words, so a title of three or more words is
+    sought by the rarest of those; a title of two by the start of its second word or the end of its first; and one word,
+    which must be long, among texts' long words.
+    """
+    titles = titles.select("target", F.col("sought").alias("title"), F.split("sought", " ").alias("words"))
     plain = texts.select(F.col("id").alias("source"), normalize_title(F.col("text")).alias("plain"))
     words = plain.select("source", F.explode(F.array_distinct(F.split("plain", " "))).alias("word"))
     inner_words = titles.where(F.size("words") > 2).select("target", F.explode(F.array_distinct(F.slice("words", F.lit(2), F.size("words") - 2))).alias("word"))
@@ -88,10 +167,8 @@ def citations(texts: DataFrame, targets: DataFrame, least_title_bytes: int = 20,
     )
     wanted = keyed.select("key").distinct()
     offered = words.select("source", F.explode(offers).alias("key")).join(wanted, "key", "left_semi").distinct()
-    candidates = offered.join(keyed, "key").where("source <> target").select("source", "target", "title").distinct()
-    by_title = candidates.join(plain, "source").where(F.contains("plain", "title")).select("source", "target", F.lit(1).alias("kind"))
-    best = by_doi.unionByName(by_title).groupBy("source", "target").agg(F.min("kind").alias("kind"))
-    return best.select("source", "target", F.when(F.col("kind") == 0, "doi").otherwise("title").alias("provenance"))
+    candidates = offered.join(keyed, "key").select("source", "target", "title").distinct()
+    return candidates.join(plain, "source").where(F.contains("plain", "title")).select("source", "target", F.lit(1).alias("kind"))
 
 
 def citation_neighbours(relations: DataFrame, centres: DataFrame) -> DataFrame:
@@ -131,7 +208,7 @@ def library_graph(papers: DataFrame, paper_groups: DataFrame, paper_tags: DataFr
 
 def tag_units(paper_tags: DataFrame) -> DataFrame:
     """Tags (tag_id, label, source) with their number of papers and place, representatives first: users' before others,
-    more papers, shorter labels, label."""
+    more papers, shorter labels, label. The places are those of a vocabulary, counted per tag first: one task ranks them."""
     units = paper_tags.groupBy("tag_id", "label", "source").agg(F.countDistinct("paper_id").alias("n_papers"))
     order = [F.when(F.col("source") == "user", 0).otherwise(1), F.col("n_papers").desc(), F.length("label"), F.col("label"), F.col("tag_id")]
     return units.withColumn("place", F.row_number().over(Window.orderBy(*order)))

@@ -34,9 +34,11 @@ def with_metadata(papers: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def has_all_tags(paper_tags: DataFrame, tags: Sequence[str]) -> DataFrame:
-    """Papers that carry every tag, by division: one shuffle whatever the number of tags."""
-    wanted = paper_tags.where(normalize_tag(F.col("tag")).isin([t.strip().lower() for t in tags]))
-    return wanted.groupBy("paper_id").agg(F.countDistinct("tag").alias("n")).where(F.col("n") == len(set(tags))).select("paper_id")
+    """Papers that carry every tag, by division: one shuffle whatever the number of tags. Tags that differ only in case or white
+    space are one, among those asked for as on a paper."""
+    asked = {" ".join(t.split()).lower() for t in tags}
+    held = paper_tags.select("paper_id", normalize_tag(F.col("tag")).alias("tag")).where(F.col("tag").isin(sorted(asked)))
+    return held.groupBy("paper_id").agg(F.count_distinct("tag").alias("n")).where(F.col("n") == len(asked)).select("paper_id")
 
 
 def orders(sort: str) -> list[Column]:
@@ -47,6 +49,25 @@ def orders(sort: str) -> list[Column]:
     }.get(sort, [F.col("created_at").desc(), F.col("id").asc()])
 
 
+def placed(papers: DataFrame, sort: str) -> DataFrame:
+    """Papers with their ``place`` in the list, from 1.
+
+    Papers are dealt by a coarse form of the sort's first key, whose histogram gives how many stand before each part; a part
+    is ranked by itself, so no task ranks the whole list.
+    """
+    coarse, falls = {
+        "title": (F.substring(ascii_lower(F.col("title")), 1, 4), False),
+        "year": (F.col("year"), True),
+        "opened": (F.floor(F.col("last_opened_at") / 1000), True),
+    }.get(sort, (F.floor(F.col("created_at") / 1000), True))
+    rows = papers.withColumn("_part", coarse)
+    order = F.col("_part").desc_nulls_last() if falls else F.col("_part").asc_nulls_first()
+    before = F.coalesce(F.sum("n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = rows.groupBy("_part").agg(F.count("*").alias("n")).select(F.col("_part").alias("_of"), before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*orders(sort)))
+    return rows.join(parts, F.col("_part").eqNullSafe(F.col("_of"))).withColumn("place", F.col("_before") + own).drop("_part", "_of", "_before")
+
+
 def list_papers(papers: DataFrame, metadata: DataFrame, paper_groups: DataFrame, paper_tags: DataFrame, query: LibraryQuery, matching: DataFrame | None = None, attach: bool = False) -> DataFrame:
     """The library list. matching: papers (column id) that a keyword search found. attach: arrays of groups and tags."""
     out = with_metadata(papers, metadata)

@@ -252,6 +252,41 @@ def keyword_match_all(spark, sf):
 # -- library ----------------------------------------------------------------------------------------------------------
 
 
+def _placed(spark, sf, sort):
+    papers = library.with_metadata(M.papers(spark, sf), M.metadata(spark, sf))
+    return library.placed(papers, sort).select("id", F.col("place").cast("long").alias("place"))
+
+
+@query(with_("papers") + "SELECT id, row_number() OVER (ORDER BY created_at DESC, id) AS place FROM papers")
+def library_order_recent(spark, sf):
+    return _placed(spark, sf, "recent")
+
+
+@query(with_("papers") + "SELECT id, row_number() OVER (ORDER BY translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), id) AS place FROM papers")
+def library_order_title(spark, sf):
+    return _placed(spark, sf, "title")
+
+
+@query(with_("papers") + "SELECT id, row_number() OVER (ORDER BY year DESC NULLS LAST, created_at DESC, id) AS place FROM papers")
+def library_order_year(spark, sf):
+    return _placed(spark, sf, "year")
+
+
+@query(with_("papers") + "SELECT id, row_number() OVER (ORDER BY last_opened_at DESC NULLS LAST, id) AS place FROM papers")
+def library_order_opened(spark, sf):
+    return _placed(spark, sf, "opened")
+
+
+@query(
+    """WITH t AS (SELECT l_orderkey AS paper_id, CASE WHEN l_linenumber % 2 = 0 THEN upper(l_returnflag) || ' ' || l_linestatus ELSE lower(l_returnflag) || '  ' || l_linestatus END AS tag FROM lineitem),
+n AS (SELECT DISTINCT paper_id, lower(trim(regexp_replace(tag, '\\s+', ' ', 'g'))) AS tag FROM t)
+SELECT paper_id FROM n WHERE tag IN ('a f', 'n o') GROUP BY paper_id HAVING count(*) = 2"""
+)
+def tags_without_case_or_space(spark, sf):
+    tag = F.when(F.col("l_linenumber") % 2 == 0, F.concat_ws(" ", F.upper("l_returnflag"), "l_linestatus")).otherwise(F.concat_ws("  ", F.lower("l_returnflag"), "l_linestatus"))
+    return library.has_all_tags(M.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("paper_id"), tag.alias("tag")), ["A  F", "n o ", "a f"])
+
+
 def _list(spark, sf, **options):
     q = library.LibraryQuery(**options)
     return library.list_papers(M.papers(spark, sf), M.metadata(spark, sf), M.paper_groups(spark, sf), M.paper_tags(spark, sf), q)
@@ -605,14 +640,29 @@ def or_knn_union(spark, sf):
     return graphs.peer_edges(M.vectors(spark, sf), TAU, 3).select("a", "b", F.round("score", 6).alias("score"))
 
 
-_CITE = r"""t AS (SELECT item_id AS target, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS title FROM benchmark),
-d AS (SELECT doc_id AS source, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS plain, text FROM documents)"""
+# Every tenth document cites a paper by its DOI, which a longer one may begin with; those of some papers don't begin with "10.".
+_CITE = r"""t AS (SELECT item_id AS target, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS title, CASE WHEN item_id % 4 = 3 THEN 'hdl/20.500/' || item_id ELSE '10.1000/x.' || item_id END AS doi FROM benchmark),
+texts AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || '(doi:10.1000/x.' || doc_id % 47 || ')' WHEN doc_id % 10 = 1 THEN 'hdl/20.500/' || doc_id % 47 || text ELSE text END AS text FROM documents),
+d AS (SELECT doc_id AS source, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS plain, text FROM texts)"""
 
 
-@query("WITH " + _CITE + " SELECT source, target, 'title' AS provenance FROM d, t WHERE strlen(title) >= 20 AND contains(plain, title)  AND source <> target")
+def _citing(spark, sf):
+    i = F.col("item_id")
+    targets = M.table(spark, sf, "benchmark").select(i.alias("id"), F.col("text").alias("title"), F.when(i % 4 == 3, F.concat(F.lit("hdl/20.500/"), i)).otherwise(F.concat(F.lit("10.1000/x."), i)).alias("doi"))
+    n = F.col("doc_id") % 47
+    text = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("(doi:10.1000/x."), n, F.lit(")"))).when(F.col("doc_id") % 10 == 1, F.concat(F.lit("hdl/20.500/"), n, "text")).otherwise(F.col("text"))
+    return M.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), text.alias("text")), targets
+
+
+@query("WITH " + _CITE + " SELECT source, target, CASE WHEN strlen(doi) > 6 AND contains(text, doi) THEN 'doi' ELSE 'title' END AS provenance FROM d, t WHERE ((strlen(doi) > 6 AND contains(text, doi)) OR (strlen(title) >= 20 AND contains(plain, title))) AND source <> target")
 def citation_containment(spark, sf):
-    targets = M.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("title"), F.concat(F.lit("10.1000/"), F.col("item_id")).alias("doi"))
-    return graphs.citations(M.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), targets)
+    return graphs.citations(*_citing(spark, sf))
+
+
+@query(ORACLES["citation_containment"])
+def citation_keys(spark, sf):
+    """The same by keys, as where DOIs and titles are too many to be sent to all tasks."""
+    return graphs.citations(*_citing(spark, sf), automaton_bytes=1000)
 
 
 @query(with_("papers") + "SELECT a.id AS centre, b.id, CASE WHEN b.year < a.year THEN 'precedent' WHEN b.year > a.year THEN 'derivative' ELSE 'concurrent' END AS lineage FROM papers a JOIN papers b ON b.id = a.id + 1")
@@ -897,6 +947,18 @@ def debounce_sessions(spark, sf):
     return out.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start"), F.unix_micros(F.col("last").cast("timestamp")).alias("last"), "n")
 
 
+@query(
+    """WITH e AS (SELECT user_id % 10 AS vault, event_type || user_id // 10 % 7 AS path, epoch_us(ts) AS t FROM events),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY vault ORDER BY t) < 3600000000 THEN 0 ELSE 1 END AS new FROM e),
+s AS (SELECT *, sum(new) OVER (PARTITION BY vault ORDER BY t) AS burst FROM g)
+SELECT vault, min(t) AS start, max(t) AS last, string_agg(DISTINCT path, ',' ORDER BY path) AS paths FROM s GROUP BY vault, burst"""
+)
+def flushed_paths(spark, sf):
+    e = M.table(spark, sf, "events").select((F.col("user_id") % 10).alias("vault"), F.concat("event_type", F.expr("cast(user_id div 10 % 7 as string)")).alias("path"), "ts")
+    out = changes.debounced_paths(e, "ts", "1 hour")
+    return out.select("vault", F.unix_micros(F.col("start").cast("timestamp")).alias("start"), F.unix_micros(F.col("last").cast("timestamp")).alias("last"), F.array_join("paths", ",").alias("paths"))
+
+
 # -- translation, analyses, files, records ----------------------------------------------------------------------------
 
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkfolio.operators.jobs import MAX_ATTEMPTS, RETRY_CODES, WAIT_CODES
+
 
 def debounced(events: DataFrame, key: str, time: str, quiet: str, watermark: str | None = None) -> DataFrame:
     """Rows (key, start, last, n): bursts of a key's events, ended by a quiet time. The same on a table and on a stream; a
@@ -18,10 +20,13 @@ def debounced(events: DataFrame, key: str, time: str, quiet: str, watermark: str
     return bursts.agg(F.min(time).alias("start"), F.max(time).alias("last"), F.count("*").alias("n")).drop("burst")
 
 
-def debounced_paths(events: DataFrame, time: str, quiet: str, path: str = "path", watermark: str | None = None) -> DataFrame:
-    """Distinct paths of each burst over all events, as a file watcher flushes them. Bursts are found per path first, so that
-    what meets in one place is a row per burst of a path."""
-    return debounced(events, path, time, quiet, watermark)
+def debounced_paths(events: DataFrame, time: str, quiet: str, path: str = "path", by: str = "vault", watermark: str | None = None) -> DataFrame:
+    """Rows (by, start, last, paths): the distinct paths that changed in each burst over all events of a vault, as its watcher
+    flushes them after a quiet time. The same on a table and on a stream. A vault's events meet, as one watcher sees them all."""
+    if watermark:
+        events = events.withWatermark(time, watermark)
+    bursts = events.groupBy(by, F.session_window(time, quiet).alias("burst"))
+    return bursts.agg(F.min(time).alias("start"), F.max(time).alias("last"), F.sort_array(F.collect_set(path)).alias("paths")).drop("burst")
 
 
 def enqueued_once(wanted: DataFrame, key: str, time: str | None = None, watermark: str | None = None) -> DataFrame:
@@ -31,18 +36,14 @@ def enqueued_once(wanted: DataFrame, key: str, time: str | None = None, watermar
     return wanted.dropDuplicates([key])
 
 
-WAIT = ("ProviderAuth", "ModelUnsupported", "CredentialStore")
-AGAIN = ("ProviderRateLimit", "ProviderUnavailable", "Network")
-
-
-def next_state(status: str, attempts: int, event: str, code: str | None, most: int = 3) -> tuple[str, int]:
+def next_state(status: str, attempts: int, event: str, code: str | None, most: int = MAX_ATTEMPTS) -> tuple[str, int]:
     """A job's state after an event; events that its state doesn't allow change nothing."""
     if event == "claim" and status == "queued":
         return "running", attempts + 1
     if event == "complete" and status == "running":
         return "completed", attempts
     if event == "fail" and status == "running":
-        return ("waiting_for_key" if code in WAIT else "queued" if code in AGAIN and attempts < most else "failed"), attempts
+        return ("waiting_for_key" if code in WAIT_CODES else "queued" if code in RETRY_CODES and attempts < most else "failed"), attempts
     if event == "retry" and status in ("failed", "waiting_for_key"):
         return "queued", 0
     if event == "cancel" and status in ("queued", "waiting_for_key"):

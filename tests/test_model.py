@@ -177,7 +177,7 @@ def test_bursts_in_batch_and_stream(spark, tmp_path):
     assert out == {("a", 2), ("a", 1), ("b", 1)}
     df.union(spark.createDataFrame([("z", 10**9)], "path string, ms long").select("path", F.timestamp_millis("ms"))).repartition(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = changes.debounced_paths(stream, "ts", "750 milliseconds", watermark="1 second").writeStream.format("memory").queryName("bursts").outputMode("append").start()
+    q = changes.debounced(stream, "path", "ts", "750 milliseconds", watermark="1 second").writeStream.format("memory").queryName("bursts").outputMode("append").start()
     try:
         q.processAllAvailable()
         assert {(r.path, r.n) for r in spark.table("bursts").collect()} == out
@@ -185,6 +185,34 @@ def test_bursts_in_batch_and_stream(spark, tmp_path):
         q.stop()
 
 
+def test_paths_are_flushed_after_silence_of_all(spark, tmp_path):
+    rows = [("v", "a", 0), ("v", "b", 600), ("v", "a", 1200), ("v", "c", 3000), ("w", "a", 900)]
+    df = spark.createDataFrame(rows, "vault string, path string, ms long").select("vault", "path", F.timestamp_millis("ms").alias("ts"))
+    want = {("v", ("a", "b")), ("v", ("c",)), ("w", ("a",))}
+    assert {(r.vault, tuple(r.paths)) for r in changes.debounced_paths(df, "ts", "750 milliseconds").collect()} == want
+    df.union(spark.createDataFrame([("z", "z", 10**9)], "vault string, path string, ms long").select("vault", "path", F.timestamp_millis("ms"))).repartition(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = changes.debounced_paths(stream, "ts", "750 milliseconds", watermark="1 second").writeStream.format("memory").queryName("flushed").outputMode("append").start()
+    try:
+        q.processAllAvailable()
+        assert {(r.vault, tuple(r.paths)) for r in spark.table("flushed").collect()} == want
+    finally:
+        q.stop()
+
+
+@pytest.mark.parametrize("automaton_bytes", [1 << 20, 8])
+def test_citations_by_any_doi_and_title(spark, automaton_bytes):
+    long = "10.1000/" + "x" * 300
+    texts = [("t1", f"see {long}. and hdl:abc/1234"), ("t2", "10." * 400_000), ("t3", "builds on: Dense Passage-Retrieval, for open!"), ("t4", "aDense passage retrieval for openb"), ("p3", "Dense passage retrieval for open"), ("t5", None), ("t6", "10.1/é日本 10.1/éx")]
+    targets = [("p1", "t", long), ("p2", None, "hdl:abc/12"), ("p3", "Dense Passage Retrieval for Open", None), ("p4", "x", "10.1/é"), ("p5", "short title", "10.99")]
+    found = graphs.citations(spark.createDataFrame(texts, "id string, text string"), spark.createDataFrame(targets, "id string, title string, doi string"), automaton_bytes=automaton_bytes)
+    assert {(r.source, r.target, r.provenance) for r in found.collect()} == {("t1", "p1", "doi"), ("t1", "p2", "doi"), ("t3", "p3", "title"), ("t4", "p3", "title"), ("t6", "p4", "doi")}
+
+
+def test_lines_of_units_end_at_newlines_only():
+    assert [u.text for u in documents.units_of([(1, "One\x0cline of words here.\r\nAnother\u2028line of words.")])] == ["One\x0cline of words here.", "Another\u2028line of words."]
+
+
 def test_enqueue_once(spark):
     wanted = spark.createDataFrame([(1, "embed", "1"), (1, "embed", "1"), (2, "relations", "1")], "paper_id long, kind string, version string")
     have = spark.createDataFrame([("2:relations:1",)], "idempotency_key string")
