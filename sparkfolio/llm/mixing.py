@@ -10,15 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.shared import staged, word_count
+from sparkfolio.llm.shared import col, fresh, staged, word_count
 
 #: Bits of the hash: the first 12 hexadecimal digits of the id's MD5. Each level of buckets takes 12 of them.
 HASH_BITS, LEVEL_BITS = 48, 12
-#: Tasks that share a source's rows in a join.
-SALTS = 32
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
@@ -52,16 +50,20 @@ def _boundary(sums: DataFrame) -> DataFrame:
     return crossing.groupBy("source").agg(first.alias("f")).select("source", F.col("f.bucket").alias("bucket"), F.col("f.left").alias("budget"))
 
 
-def mix(df: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Rows (id, size, source_size, target, taken), one per row of ``df``.
+def _with_source(rows: DataFrame, table: DataFrame, how: str = "inner", source: str = "source") -> DataFrame:
+    """Rows with their source's row of a table, whose size decides whether it is broadcast; otherwise adaptive execution splits
+    a hot source's rows."""
+    other = fresh(rows, "source_")
+    return rows.join(table.withColumnRenamed("source", other), col(source).eqNullSafe(F.col(other)), how).drop(other)
 
-    Sources in code point order, null last, get the weights in turn.  A document is taken as often as its source's whole
-    copies say, and once more if its hash lies up to the source's threshold; the document on which the budget ends is in if
-    that comes nearer.  Null and empty texts have size 0 and are taken 0 words; rows that agree in id and size share their
-    fate; null ids hash as the empty string; a null source is a source; an empty table gives an empty table.
-    """
-    digest = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
-    docs = staged(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), digest.alias("h")), "sizes")
+
+def _digest(id_col: str) -> Column:
+    return F.conv(F.substring(F.md5(F.coalesce(col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
+
+
+def _taken(docs: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
+    """Rows (source, source_size, target, copies, budget, start, last), one per source, from rows (id, source, size, h): a
+    document is taken ``copies`` times, and once more as ``_times`` says."""
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = staged(
         targets(sizes, weights, cap)
@@ -69,36 +71,55 @@ def mix(df: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), cap: float =
         .withColumn("budget", F.col("target") - F.col("copies") * F.col("source_size")),
         "targets",
     )
-
-    def with_source(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
-        # One row per source on the right: its size decides whether it is broadcast; otherwise a hot source's rows are dealt
-        # to SALTS tasks by their hash, each with its copy of the source's row.
-        table = table.withColumnRenamed("source", "source_").withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.col("h") if "h" in rows.columns else F.hash(*rows.columns), F.lit(SALTS)).cast("int")
-        return rows.join(table, F.col("source").eqNullSafe(F.col("source_")) & (salt == F.col("salt_")), how).drop("source_", "salt_")
-
     rows, end = docs.where("size > 0"), plan.select("source", "budget")
     for bits in range(HASH_BITS - LEVEL_BITS, HASH_BITS - 3 * LEVEL_BITS, -LEVEL_BITS):
         sums = rows.groupBy("source", F.shiftright("h", bits).alias("bucket")).agg(F.sum("size").alias("words"))
-        found = staged(_boundary(with_source(sums, end)), "bucket")
-        rows = with_source(rows, found.select("source", "bucket")).where(F.shiftright("h", bits) == F.col("bucket")).drop("bucket")
+        found = staged(_boundary(_with_source(sums, end)), "bucket")
+        rows = _with_source(rows, found.select("source", "bucket")).where(F.shiftright("h", bits) == F.col("bucket")).drop("bucket")
         end = found.select("source", "budget")
     alike = rows.groupBy("source", "h", "id", "size").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(Window.partitionBy("source").orderBy("h", "id", "size"))
-    last = with_source(alike, end).withColumn("before", upto - F.col("words")).where(2 * F.col("before") + F.col("words") <= 2 * F.col("budget"))
+    last = _with_source(alike, end).withColumn("before", upto - F.col("words")).where(2 * F.col("before") + F.col("words") <= 2 * F.col("budget"))
     last = last.groupBy("source").agg(F.max(F.struct("h", "id", "size")).alias("last"))
     # A source whose budget ends in no bucket is taken whole; one without a document up to its budget in the last bucket
     # is taken up to that bucket's start.
     start = F.shiftleft("bucket", HASH_BITS - 2 * LEVEL_BITS)
-    ends = with_source(found.select("source", start.alias("start")), last, "left")
-    full = staged(with_source(plan, ends, "left"), "thresholds")
-    once_more = F.when(F.col("start").isNull(), F.col("budget") > 0).otherwise((F.col("h") < F.col("start")) | (F.struct("h", "id", "size") <= F.col("last")))
-    taken = F.col("size") * (F.col("copies") + F.coalesce(once_more, F.lit(False)).cast("long"))
-    return with_source(docs, full).select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
-
-
-def mixed_documents(df: DataFrame, **options) -> DataFrame:
-    """The documents that the mix takes, with the columns of ``df``: a document taken several times appears so often."""
-    id_col = options.get("id_col", "doc_id")
-    taken = mix(df, **options).where("taken > 0").select(F.col(id_col).alias("_id"), F.expr("cast(taken div size as int)").alias("_times")).groupBy("_id").agg(F.max("_times").alias("_times"))
-    return df.join(taken, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*df.columns)
+    ends = _with_source(found.select("source", start.alias("start")), last, "left")
+    return staged(_with_source(plan, ends, "left"), "thresholds")
+
+
+def _times(h: str, id_col: str, size: str) -> Column:
+    """How often a document is taken."""
+    place = F.struct(col(h).alias("h"), col(id_col).alias("id"), col(size).alias("size"))
+    once_more = F.when(F.col("start").isNull(), F.col("budget") > 0).otherwise((col(h) < F.col("start")) | (place <= F.col("last")))
+    return F.col("copies") + F.coalesce(once_more, F.lit(False)).cast("long")
+
+
+def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return staged(df.select(col(id_col).alias("id"), col(source_col).alias("source"), word_count(col(text_col)).alias("size"), _digest(id_col).alias("h")), "sizes")
+
+
+def mix(df: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Rows (id, size, source_size, target, taken), one per row of ``df``.
+
+    Sources in code point order, null last, get the weights in turn.  A document is taken as often as its source's whole
+    copies say, and once more if its hash lies up to the source's threshold; the document on which the budget ends is in if
+    that comes nearer.  Null and empty texts have size 0 and are taken 0 words; rows that agree in id and size share their
+    fate; null ids hash as the empty string; a null source is a source; an empty table gives an empty table; further columns
+    are ignored.
+    """
+    docs = _sized(df, id_col, text_col, source_col)
+    taken = F.col("size") * _times("h", "id", "size")
+    return _with_source(docs, _taken(docs, weights, cap)).select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mixed_documents(df: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents that the mix takes, with the columns of ``df``: a document taken several times appears so often.
+
+    The thresholds decide where a document stands: texts are filtered and repeated, and never sorted or dealt by id.
+    """
+    thresholds = _taken(_sized(df, id_col, text_col, source_col), weights, cap)
+    # The columns of df stand in one struct while the thresholds' names are about.
+    rows = df.select(F.struct(*[col(c) for c in df.columns]).alias("row"), col(id_col).alias("id"), col(source_col).alias("source"), word_count(col(text_col)).alias("size"), _digest(id_col).alias("h"))
+    taken = _with_source(rows.where("size > 0"), thresholds).withColumn("times", _times("h", "id", "size").cast("int")).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")
