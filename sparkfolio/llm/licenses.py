@@ -2,19 +2,35 @@
 ancestor directory by path joins.  DataFrame functions only.
 
 Terms are weighed by how many files of the whole scan hold them.  A line, a run of neighbouring lines, or a licence file as
-a whole, is compared with the templates it can reach: a cosine of at least the threshold needs one of a template's rarest
-terms, whose absence alone would keep the cosine below it, so only units with such a term are built up into vectors.
-Licence files as a whole are also compared with full licence texts.
+a whole, is a unit; it is compared with the templates it can reach: a cosine of at least the threshold needs one of a
+template's rarest terms, whose absence alone would keep the cosine below it, so only units with such a term are built up
+into vectors, and equal units once.  Vectors are rows (unit, term, weight), joined with the templates' by term.  Licences of
+a family differ in few terms ("3", "Affero", "ShareAlike"), which a cosine hardly feels: a template's own such terms must be
+in the unit, and words that name a sibling must not.
 """
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.shared import staged
+from sparkfolio.llm.shared import col, staged
+
+_GNU = "This {thing} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{b} either version {version} of the License, or (at your option) any later version."
+
+
+def _gnu(name: str, version: str, thing: str = "program") -> list[str]:
+    """Notices of a GNU licence: the header of the licence's own appendix, and short forms."""
+    a, b = (":", ",") if version == "3" else (";", ";")
+    return [_GNU.format(thing=thing, a=a, b=b, name=name, version=version), f"This work is licensed under the GNU {name}, version {version}.", f"GNU {name}, version {version}.", f"Licensed under the GNU {name} v{version}."]
+
+
+def _cc(parts: str, words: str) -> list[str]:
+    return [f"Licensed under CC {parts} 4.0.", f"This work is licensed under the Creative Commons {words} 4.0 International License."]
+
 
 # Notices by which public licences say that they be named, as their texts or stewards give them.
 TEMPLATES: dict[str, list[str]] = {
@@ -26,19 +42,61 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
     ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ],
+    "GPL-2.0": _gnu("General Public License", "2"),
+    "GPL-3.0": _gnu("General Public License", "3"),
+    "LGPL-2.1": _gnu("Lesser General Public License", "2.1", "library"),
+    "LGPL-3.0": _gnu("Lesser General Public License", "3"),
+    "AGPL-3.0": _gnu("Affero General Public License", "3"),
+    "BSD-2-Clause": [],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under the Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC0-1.0": ["This work is dedicated to the public domain under CC0 1.0 Universal."],
+    "CC-BY-4.0": _cc("BY", "Attribution"),
+    "CC-BY-SA-4.0": _cc("BY-SA", "Attribution-ShareAlike"),
+    "CC-BY-ND-4.0": _cc("BY-ND", "Attribution-NoDerivatives"),
+    "CC-BY-NC-4.0": _cc("BY-NC", "Attribution-NonCommercial"),
+    "CC-BY-NC-SA-4.0": _cc("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-NC-ND-4.0": _cc("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "LicenseRef-Proprietary": ["All rights reserved."],
 }
+for _name, _notices in TEMPLATES.items():
+    if not _name.startswith("LicenseRef-"):
+        _notices.append(f"SPDX-License-Identifier: {_name}")
+
+#: Words, and their short forms, that name one licence of a family beside numbers.
+TELLING = [{"affero", "agpl"}, {"lesser", "lgpl", "library"}, {"sharealike", "sa"}, {"noncommercial", "nc"}, {"noderivatives", "noderivs", "nd"}]
+
+
+def _agpl(gpl: str) -> str:
+    """The Affero licence as its changes to the GPL of the same version make it: name, and the section on networks."""
+    section = (
+        "13. Remote Network Interaction; Use with the GNU General Public License.\nNotwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer "
+        "all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access "
+        "to the Corresponding Source from a network server at no charge, through some standard or customary means of facilitating copying of software. This Corresponding Source shall include the Corresponding "
+        "Source for any work covered by version 3 of the GNU General Public License that is incorporated pursuant to the following paragraph.\n"
+    )
+    renamed = gpl.replace("GNU General Public License", "GNU Affero General Public License").replace("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE")
+    return renamed.replace("  13. Use with the GNU Affero General Public License.", section)
+
 
 #: Full texts, without copyright lines, for licence files as a whole.
 TEXTS: dict[str, list[str]] = {p.stem: [p.read_text()] for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+TEXTS["AGPL-3.0"] = [_agpl(TEXTS["GPL-3.0"][0])]
+
+
+def terms_of(text: str) -> list[str]:
+    """Lower-case runs of letters and digits of a template, with dots inside numbers."""
+    return re.findall(r"\d+(?:\.\d+)*|[^\W_]+", text.lower())
+
+
+def marks(text: str, notice: bool) -> tuple[list[str], list[str]]:
+    """Terms that a unit must hold to be this template's (a notice's numbers and telling words), and those it must not."""
+    own = set(terms_of(text))
+    needed = {t for t in own if t[0].isdigit()} | (own & set().union(*TELLING)) if notice else set()
+    return sorted(needed), sorted(set().union(*(words for words in TELLING if not words & own)))
+
 
 #: Lines of the longest run: the longest notice wrapped at 32 columns.
 RUN = 8
@@ -57,82 +115,77 @@ def scan(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", path_col
 
     ``license`` is the template's with the highest cosine among the file's lines and its runs of up to ``RUN`` lines (a header
     wrapped over lines; comment marks are no terms), or, for a licence file, also of its text as a whole, to notices and to full
-    ``texts``, if that is at least ``threshold`` (the first name among equals); ``declared`` is then true. A file without one
-    inherits from the nearest directory at or above its own that holds a licence file with one (the highest score there, then
-    the first name), and ``inherited_from`` is that directory. The root directory is the empty string.
+    ``texts``, if that is at least ``threshold``; a full text goes before notices, which others quote, and the first name
+    before equals; ``declared`` is then true. A file without one inherits from the nearest directory at or above its own that
+    holds a licence file with one (the best there, in the same order), and ``inherited_from`` is that directory. The root
+    directory is the empty string.
 
     A null or empty text declares nothing; a null path has no directory and inherits nothing; repeated rows are scanned each
     and agree; an empty table gives an empty table; further columns are ignored. Every line of a text is read, whole.
     """
     spark = df.sparkSession
-    notices = [(name, i, text) for name, texts in sorted((templates or TEMPLATES).items()) for i, text in enumerate(texts)]
-    template = spark.createDataFrame([(f"{n}#{i}", n, t) for n, i, t in notices], "template string, license string, notice string")
-    # Terms of the templates: a table as large as the templates are, whatever the scan.
-    weights = template.select("template", "license", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
-    vocabulary = sorted({r.term for r in weights.select("term").distinct().collect()})
-    full = [(f"{n}#{i}", n, t) for n, found in sorted((TEXTS if texts is None else texts).items()) for i, t in enumerate(found)]
-    full_tf = spark.createDataFrame(full, "template string, license string, notice string").select("template", "license", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
-    full_vocabulary = sorted({r.term for r in full_tf.select("term").distinct().collect()})
-    known = F.split(F.lit(" ".join(sorted({*vocabulary, *full_vocabulary}))), " ")
-
-    files = df.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
+    given = [(name, i, text, True) for name, found in sorted((TEMPLATES if templates is None else templates).items()) for i, text in enumerate(found)]
+    given += [(name, i, text, False) for name, found in sorted((TEXTS if texts is None else texts).items()) for i, text in enumerate(found)]
+    told = [(f"{n}#{i}{'' if notice else '#full'}", n, not notice, *marks(t, notice), terms_of(t)) for n, i, t, notice in given]
+    template = spark.createDataFrame(told, "template string, license string, full boolean, needed array<string>, barred array<string>, terms array<string>")
+    # Terms of the templates: tables as large as the templates are, whatever the scan.
+    counts = template.select("template", "license", "full", F.explode("terms").alias("term")).groupBy("template", "license", "full", "term").agg(F.count("*").alias("tf"))
+    vocabulary = sorted({t for row in told for t in row[-1]})
+    known = F.split(F.lit(" ".join(vocabulary)), " ")
+
+    files = df.select(col(id_col).alias("id"), col(path_col).alias("path"), col(text_col).alias("text"))
     held = files.select(F.explode(F.array_intersect(_terms(F.col("text")), known)).alias("term"))
     total = files.count()
-    df_counts = {r.term: r.n for r in held.groupBy("term").agg(F.count("*").alias("n")).collect()}  # at most a row per template term
+    in_files = {r.term: r.n for r in held.groupBy("term").agg(F.count("*").alias("n")).collect()}  # at most a row per template term
     # A term that no template has weighs as one that a single file holds.
     rarest = F.log(F.lit(1.0 + total)) + 1.0
-    idf_of = {t: (1.0 + total) / (1.0 + df_counts.get(t, 0)) for t in vocabulary}
-    idf = F.create_map(*[x for t in vocabulary for x in (F.lit(t), F.log(F.lit(idf_of[t])) + 1.0)])
-
-    vectors = weights.withColumn("w", F.col("tf") * idf[F.col("term")])
-    norms = vectors.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    vectors = vectors.join(norms, "template").withColumn("w", F.col("w") / F.col("norm"))
-    # Rarest terms first, until what is left could not reach the threshold without them.
-    rest = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template").orderBy("w", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    keys = [r.term for r in vectors.withColumn("rest", rest).where(F.col("rest") >= threshold * threshold * 0.999).select("term").distinct().collect()]
-    by_template = vectors.groupBy("template", "license").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("weights"))
-    table = sorted((r.template, r.license, dict(r.weights)) for r in by_template.collect())
+    idf = spark.createDataFrame([(t, in_files.get(t, 0)) for t in vocabulary], "term string, files long").select("term", "files", (F.log((1.0 + total) / (1.0 + F.col("files"))) + 1.0).alias("idf"))
+    vectors = counts.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    vectors = vectors.withColumn("v", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))).select("template", "license", "full", "term", "files", "v")
+    # Terms in fewest files first: a unit without all of those that weigh more than the rest may lack cannot reach the threshold.
+    before = F.coalesce(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("template").orderBy("files", "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    reaching = vectors.withColumn("before", before).where(F.col("before") <= 1.001 - threshold * threshold).select("term", "full").distinct().collect()
+    keys, full_keys = (F.split(F.lit(" ".join(sorted({r.term for r in reaching if r.full <= full}))), " ") for full in (False, True))
+    of_notices = F.split(F.lit(" ".join(sorted({t for row in told if not row[2] for t in row[-1]}))), " ")
 
     base = F.element_at(F.split(F.col("path"), "/"), -1)
     is_license = F.coalesce(base.rlike(LICENSE_FILE), F.lit(False))
-    units = F.split(F.col("text"), "\n")
-    units = F.when(is_license, F.concat(units, F.array("text"))).otherwise(units)
-    reachable = F.filter(units, lambda u: F.arrays_overlap(_terms(u), F.array(*[F.lit(k) for k in sorted(keys)])))
-    # Whole texts without any key term are left alone before their lines are told apart.
-    candidates = files.where(F.arrays_overlap(_terms(F.col("text")), F.array(*[F.lit(k) for k in sorted(keys)])))
-    unit = candidates.select("id", "path", is_license.alias("is_license"), F.explode(F.array_distinct(reachable)).alias("unit"))
-    unit = unit.select("id", "path", "is_license", _terms(F.col("unit")).alias("terms"))
-    # Runs of two lines or more around a line with a key term; each line's terms are found once.
+    # Whole texts without any key term are left alone before their lines are told apart; each line's terms are found once.
+    candidates = files.where(F.arrays_overlap(_terms(F.col("text")), F.when(is_license, full_keys).otherwise(keys)))
     lines = candidates.select("id", "path", is_license.alias("is_license"), F.transform(F.split("text", "\n"), _terms).alias("lines"))
-    lines = lines.withColumn("hits", F.transform("lines", lambda t: F.arrays_overlap(t, F.array(*[F.lit(k) for k in sorted(keys)]))))
-    spans = lines.select("*", F.explode(F.sequence(F.lit(1), F.size("lines"))).alias("at")).where(F.exists(F.slice("hits", F.col("at"), F.lit(RUN)), lambda h: h))
-    spans = spans.select("id", "path", "is_license", F.slice("lines", F.col("at"), F.lit(RUN)).alias("lines"), F.slice("hits", F.col("at"), F.lit(RUN)).alias("hits"))
+    lines = lines.withColumn("hits", F.transform("lines", lambda t: F.arrays_overlap(t, keys)))
+    single = lines.select("id", "path", "is_license", F.explode(F.array_distinct(F.filter("lines", lambda t: F.arrays_overlap(t, keys)))).alias("terms"))
+    whole = lines.where("is_license").select("id", "path", "is_license", F.flatten("lines").alias("terms"))
+    # Runs of two lines or more around a line with a key term. Places are chosen before rows are made of them, so that no row
+    # holds a text's lines for each of its lines.
+    places = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.exists(F.slice("hits", i, F.lit(RUN)), lambda h: h))
+    slices = F.transform(places, lambda i: F.struct(F.slice("lines", i, F.lit(RUN)).alias("lines"), F.slice("hits", i, F.lit(RUN)).alias("hits")))
+    spans = lines.select("id", "path", "is_license", F.explode(slices).alias("s")).select("id", "path", "is_license", "s.lines", "s.hits")
     spans = spans.where(F.size("lines") > 1).select("*", F.explode(F.sequence(F.lit(2), F.size("lines"))).alias("n"))
-    # A line without a term of the templates at either end only lowers a run's cosines.
-    ends = lambda at: F.arrays_overlap(F.element_at("lines", at), F.array(*[F.lit(t) for t in vocabulary]))
+    # A line without a term of the notices at either end only lowers a run's cosines.
+    ends = lambda at: F.arrays_overlap(F.element_at("lines", at), of_notices)
     spans = spans.where(F.exists(F.slice("hits", F.lit(1), F.col("n")), lambda h: h) & ends(F.lit(1)) & ends(F.col("n")))
     runs = spans.select("id", "path", "is_license", F.flatten(F.slice("lines", F.lit(1), F.col("n"))).alias("terms"))
-    unit = unit.unionByName(runs).withColumn("distinct", F.array_distinct("terms"))
-    tf = lambda t: F.size(F.filter("terms", lambda x: x == t)).cast("double")
-    unit = unit.withColumn("vector", F.transform("distinct", lambda t: F.struct(t.alias("t"), (tf(t) * F.coalesce(F.try_element_at(idf, t), rarest)).alias("w"))))
-    unit = unit.withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v["w"] * v["w"])))
-
-    def cosine(weights: dict[str, float]) -> Column:
-        own = F.create_map(*[x for t in sorted(weights) for x in (F.lit(t), F.lit(weights[t]))])
-        return F.aggregate("vector", F.lit(0.0), lambda s, v: s + v["w"] * F.coalesce(F.try_element_at(own, v["t"]), F.lit(0.0))) / F.col("norm")
-
-    scores = F.array(*[F.struct(F.round(cosine(w), 9).alias("score"), F.lit(name).alias("license")) for _, name, w in table])
-    best = F.filter(scores, lambda s: s["score"] >= threshold)
-    declared = unit.select("id", "path", "is_license", F.explode(best).alias("b")).select("id", "path", "is_license", "b.score", "b.license")
-    if full:
-        declared = declared.unionByName(_whole_files(files.where(is_license), full_tf, full_vocabulary, df_counts, total, threshold))
-    rank = Window.partitionBy("id", "path").orderBy(F.col("score").desc(), "license")
+    units = staged(single.unionByName(runs).unionByName(whole).withColumn("unit", F.sha2(F.array_join("terms", " "), 256)), "units")
+
+    # Equal units are one: a header that a third of all files carry is weighed once.
+    distinct = units.groupBy("unit").agg(F.first("terms").alias("terms"))
+    weighed = distinct.select("unit", F.explode("terms").alias("term")).groupBy("unit", "term").agg(F.count("*").alias("n"))
+    weighed = weighed.join(F.broadcast(idf.select("term", "idf")), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", rarest))
+    weighed = weighed.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("unit"))))
+    products = weighed.join(F.broadcast(vectors.select("template", "license", "full", "term", "v")), "term").groupBy("unit", "norm", "template", "license", "full").agg(F.sum(F.col("w") * F.col("v")).alias("s"))
+    scored = products.select("unit", "template", "license", "full", F.round(F.col("s") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
+    scored = scored.join(F.broadcast(template.select("template", "needed", "barred")), "template").join(distinct, "unit")
+    scored = scored.where((F.size(F.array_except("needed", "terms")) == 0) & ~F.arrays_overlap("barred", "terms"))
+    declared = units.select("id", "path", "is_license", "unit").join(scored.select("unit", "full", "score", "license"), "unit").drop("unit")
+    order = [F.col("full").desc(), F.col("score").desc(), F.col("license")]
+    rank = Window.partitionBy("id", "path").orderBy(*order)
     declared = staged(declared.withColumn("rank", F.row_number().over(rank)).where("rank = 1").drop("rank"), "declared")
 
     # Directories of licence files, one licence each; then, per directory that a file lies in, the nearest one above.
     folder = F.regexp_replace(F.col("path"), "/?[^/]*$", "")
-    at = F.first_value("license").over(Window.partitionBy("dir").orderBy(F.col("score").desc(), "license"))
-    licensed = declared.where("is_license").select(folder.alias("dir"), "license", "score").withColumn("license", at).groupBy("dir").agg(F.first("license").alias("license"))
+    place = F.row_number().over(Window.partitionBy("dir").orderBy(*order))
+    licensed = declared.where("is_license").select(folder.alias("dir"), "full", "license", "score").withColumn("place", place).where("place = 1").select("dir", "license")
     dirs = files.where("path is not null").select(folder.alias("dir")).distinct()
     parts = F.filter(F.split("dir", "/"), lambda p: p != "")
     lead = F.when(F.startswith(F.col("dir"), F.lit("/")), F.lit("/")).otherwise(F.lit(""))
@@ -152,22 +205,3 @@ def scan(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", path_col
         F.col("own").isNotNull().alias("declared"),
         F.when(F.col("own").isNull(), F.col("up")).alias("inherited_from"),
     )
-
-
-def _whole_files(files: DataFrame, tf: DataFrame, vocabulary: list[str], df_counts: dict[str, int], total: int, threshold: float) -> DataFrame:
-    """Licence files (id, path, text) whose whole text has a cosine of at least the threshold to a full text."""
-    rarest = F.log(F.lit(1.0 + total)) + 1.0
-    counts = files.sparkSession.createDataFrame([(t, df_counts.get(t, 0)) for t in vocabulary], "term string, df long")
-    idf = counts.select("term", "df", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    vectors = tf.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    vectors = vectors.withColumn("v", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))).select("template", "license", "term", "df", "v")
-    # Terms in fewest files first: a text without all of those that hold more than the rest may lack cannot reach the threshold.
-    before = F.coalesce(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("template").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    keys = sorted({r.term for r in vectors.withColumn("before", before).where(F.col("before") <= 1.001 - threshold * threshold).select("term").distinct().collect()})
-    reached = files.where(F.arrays_overlap(_terms(F.col("text")), F.split(F.lit(" ".join(keys)), " ")))
-    terms = reached.select("id", "path", F.sha2("text", 256).alias("sha"), F.explode(_terms(F.col("text"))).alias("term")).groupBy("id", "path", "sha", "term").agg(F.count("*").alias("n"))
-    weighed = terms.join(F.broadcast(idf.select("term", "idf")), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", rarest))
-    weighed = weighed.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id", "path", "sha"))))
-    products = weighed.join(F.broadcast(vectors.select("template", "license", "term", "v")), "term").groupBy("id", "path", "sha", "norm", "template", "license").agg(F.sum(F.col("w") * F.col("v")).alias("s"))
-    scored = products.select("id", "path", F.lit(True).alias("is_license"), F.round(F.col("s") / F.col("norm"), 9).alias("score"), "license")
-    return scored.where(F.col("score") >= threshold)

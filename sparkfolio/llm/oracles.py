@@ -1,11 +1,15 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from sparkfolio.llm.licenses import TEMPLATES
+from collections import Counter
+
+from sparkfolio.llm.licenses import TEMPLATES, TEXTS, marks, terms_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 TERM = r"regexp_extract_all(lower({}), '\d+(?:\.\d+)*|[\p{{L}}\p{{N}}]+')"
-_NOTICES = ", ".join(f"('{name}#{i}', '{name}', '{notice}')" for name, notices in sorted(TEMPLATES.items()) for i, notice in enumerate(notices))
+_ALL = [(f"{name}#{i}{end}", name, notice, text) for notice, end, group in ((True, "", TEMPLATES), (False, "#full", TEXTS)) for name, texts in sorted(group.items()) for i, text in enumerate(texts)]
+_TF = ", ".join(f"('{t}', '{n}', {not notice}, '{term}', {k})" for t, n, notice, text in _ALL for term, k in sorted(Counter(terms_of(text)).items()))
+_MARKS = ", ".join(f"('{t}', {needed!r}::VARCHAR[], {barred!r}::VARCHAR[])" for t, _, notice, text in _ALL for needed, barred in [marks(text, notice)])
 _PART, _SET = "source || '/part' || doc_id // 1000", "source || '/part' || doc_id // 1000 || '/set' || doc_id // 100"
 
 OP4 = f"""
@@ -13,23 +17,25 @@ WITH files AS (
   SELECT doc_id, text, CASE WHEN doc_id % 100 = 0 THEN {_PART} || '/LICENSE' WHEN doc_id % 10 = 0 THEN {_SET} || '/LICENSE' ELSE {_SET} || '/' || doc_id || '.txt' END AS path
   FROM documents),
 placed AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir, path LIKE '%/LICENSE' AS is_license FROM files),
-notices(template, license, notice) AS (VALUES {_NOTICES}),
-tf AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest({TERM.format("notice")}) AS term FROM notices) GROUP BY ALL),
+tf(template, license, full_text, term, tf) AS (VALUES {_TF}),
+marks(template, needed, barred) AS (VALUES {_MARKS}),
 vocabulary AS (SELECT DISTINCT term FROM tf),
 total AS (SELECT count(*) AS n FROM files),
 held AS (SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct({TERM.format("text")})) AS term FROM files) WHERE term IN (SELECT term FROM vocabulary) GROUP BY term),
 idf AS (SELECT v.term, ln((1.0 + t.n) / (1.0 + coalesce(h.n, 0))) + 1.0 AS w FROM vocabulary v LEFT JOIN held h USING (term), total t),
-vectors AS (SELECT template, license, term, tf * w AS w FROM tf JOIN idf USING (term)),
+vectors AS (SELECT template, license, full_text, term, tf * w AS w FROM tf JOIN idf USING (term)),
 norms AS (SELECT template, sqrt(sum(w * w)) AS norm FROM vectors GROUP BY template),
 units AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM placed UNION SELECT doc_id, text FROM placed WHERE is_license),
 unit_terms AS (SELECT doc_id, unit, term, count(*) AS tf FROM (SELECT doc_id, unit, unnest({TERM.format("unit")}) AS term FROM units) GROUP BY ALL),
 weighed AS (SELECT doc_id, unit, term, tf * coalesce(w, (SELECT ln(1.0 + n) + 1.0 FROM total)) AS w FROM unit_terms LEFT JOIN idf USING (term)),
 unit_norms AS (SELECT doc_id, unit, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
-products AS (SELECT u.doc_id, u.unit, v.template, v.license, sum(u.w * v.w) AS s FROM weighed u JOIN vectors v USING (term) GROUP BY ALL),
-scores AS (SELECT p.doc_id, p.license, round(s / (n.norm * u.norm), 9) AS score FROM products p JOIN norms n USING (template) JOIN unit_norms u ON u.doc_id = p.doc_id AND u.unit = p.unit),
-declared AS (SELECT doc_id, license, score FROM scores WHERE score >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
-licensed AS (SELECT dir, license FROM declared JOIN placed USING (doc_id) WHERE is_license QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
+products AS (SELECT u.doc_id, u.unit, v.template, v.license, v.full_text, sum(u.w * v.w) AS s FROM weighed u JOIN vectors v USING (term) GROUP BY ALL),
+held_terms AS (SELECT doc_id, unit, list(term) AS terms FROM unit_terms GROUP BY ALL),
+scores AS (SELECT p.doc_id, p.license, p.full_text, round(s / (n.norm * u.norm), 9) AS score FROM products p JOIN norms n USING (template) JOIN unit_norms u ON u.doc_id = p.doc_id AND u.unit = p.unit
+  JOIN marks m USING (template) JOIN held_terms h ON h.doc_id = p.doc_id AND h.unit = p.unit WHERE list_has_all(h.terms, m.needed) AND NOT list_has_any(h.terms, m.barred)),
+declared AS (SELECT doc_id, license, full_text, score FROM scores WHERE score >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY full_text DESC, score DESC, license) = 1),
+licensed AS (SELECT dir, license FROM declared JOIN placed USING (doc_id) WHERE is_license QUALIFY row_number() OVER (PARTITION BY dir ORDER BY full_text DESC, score DESC, license) = 1),
 nearest AS (
   SELECT d.dir, l.dir AS up, l.license FROM (SELECT DISTINCT dir FROM placed) d JOIN licensed l ON l.dir = '' OR d.dir = l.dir OR starts_with(d.dir, l.dir || '/')
   QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY length(l.dir) DESC) = 1)
