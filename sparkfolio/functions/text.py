@@ -176,6 +176,16 @@ def backoff_seconds(attempts: Column, most: int = 300) -> Column:
     return F.least(F.lit(most).cast("long"), F.pow(F.lit(2), exponent).cast("long"))
 
 
+def plus_seconds(time: Column, seconds: Column) -> Column:
+    """A time some seconds later, or earlier where there are less than none."""
+    return F.timestamp_micros(F.unix_micros(time) + seconds.cast("long") * 1_000_000)
+
+
+def iso8601(time: Column) -> Column:
+    """A time in UTC as ISO 8601 with milliseconds; the session's time zone is UTC."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def idempotency_key(paper: Column, kind: Column, version: Column) -> Column:
     return F.concat_ws(":", paper.cast("string"), kind, version)
 

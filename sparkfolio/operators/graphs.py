@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -282,6 +283,25 @@ def topic_signature(memberships: DataFrame, prefix: str = "tags-v2;") -> DataFra
     return per_tag.agg(F.sha2(F.concat(F.lit(prefix), F.coalesce(joined, F.lit(""))).cast("binary"), 256).alias("signature"))
 
 
+def rebuilt_topics(memberships: DataFrame, vectors: DataFrame, folder: str, threshold: float = TOPIC_SIMILARITY, keep: int = TOPIC_NEIGHBOURS) -> bool:
+    """Writes topics (tag_id, label, n_papers), edges and the signature of the memberships (tag_id, label, source, paper_id) to a
+    folder, unless the signature stored there is theirs already. Whether anything was written."""
+    spark = memberships.sparkSession
+    own = topic_signature(memberships.select("tag_id", "label", "paper_id")).first().signature
+    try:
+        stored = spark.read.parquet(f"{folder}/signature").first()
+    except AnalysisException:  # nothing was ever built there
+        stored = None
+    if stored is not None and stored.signature == own:
+        return False
+    tag_units(memberships).write.mode("overwrite").parquet(f"{folder}/topics")
+    memberships.select(F.col("tag_id").alias("topic_id"), "paper_id").distinct().write.mode("overwrite").parquet(f"{folder}/links")
+    topic_edges(memberships.select("tag_id", "paper_id"), vectors, threshold, keep).write.mode("overwrite").parquet(f"{folder}/edges")
+    # Last: what was never finished is built anew.
+    spark.createDataFrame([(own,)], "signature string").write.mode("overwrite").parquet(f"{folder}/signature")
+    return True
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """Rows (id, neighbours): sorted names on the other ends of undirected edges (a, b)."""
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(edges.select("b", "a"))

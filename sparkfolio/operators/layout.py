@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfolio.functions.text import ends_sentence
+from sparkfolio.operators.documents import sentence_ranges
 
 LINE_TOLERANCE, FOOT_TOP, FOOT_RATIO, TITLE_BOTTOM, TITLE_RATIO, TITLE_PROMINENCE, SHORT_MARGIN, PARAGRAPH_GAP = 0.6, 0.88, 0.85, 0.5, 0.9, 1.15, 0.12, 1.6
 
@@ -143,6 +144,61 @@ def paragraph_texts(lines: DataFrame) -> DataFrame:
     return _per_page(paragraphs(lines), [*PAGE, "column", "paragraph"], run, "paper_id long, page_number long, column int, paragraph long, text string")
 
 
+SENTENCES = "paper_id long, page_number long, order_index long, paragraph_index long, text string, rects array<struct<x:double,y:double,width:double,height:double>>"
+
+
+def paragraph_pieces(lines: list[dict]) -> tuple[str, list[tuple[int, int, dict]]]:
+    """A paragraph's text, as ``joined_lines`` has it, and the range of each item in it."""
+    text, pieces = "", []
+    for n, line in enumerate(lines):
+        for item in line["items"]:
+            pieces.append((len(text), len(text) + len(item["text"]), item))
+            text += item["text"]
+        if n + 1 < len(lines):
+            bare = text.rstrip()
+            if bare[-1:] in ("-", "­") and re.match("[a-z]", "".join(i["text"] for i in lines[n + 1]["items"]).lstrip()):
+                text = bare[:-1]
+                start, end, item = pieces[-1]
+                pieces[-1] = (start, min(end, len(text)), item)
+            else:
+                text += " "
+    return text, pieces
+
+
+def paragraphs_of(lines: list[dict]) -> Iterator[list[dict]]:
+    """Lines of a column in paragraphs, which end where ``paragraphs`` ends them."""
+    widest, held = max((x["right"] for x in lines), default=0.0), []
+    for line, after in zip(lines, [*lines[1:], None]):
+        held.append(line)
+        gap = after is None or after["baseline"] - line["baseline"] > line["height_pt"] * PARAGRAPH_GAP
+        if gap or (line["right"] < widest - SHORT_MARGIN and re.search(r"""[.!?。！？…]["')\]”’]*$""", line["text"].rstrip())):
+            yield held
+            held = []
+
+
+def extracted(items: DataFrame) -> DataFrame:
+    """Sentences of pages from their glyph items: columns in reading order, lines, paragraphs with words put together again,
+    sentences, and for each the rectangles of its items, one per line. Pages are independent: one is read by one task."""
+    columns = reading_columns(items)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, out, paragraph = table.to_pylist(), [], 0
+        for column in sorted({r["column"] for r in rows}):
+            lines = [x for x in lines_of([r for r in rows if r["column"] == column]) if x["text"]]
+            for held in paragraphs_of(lines):
+                text, pieces = paragraph_pieces(held)
+                before = len(out)
+                for start, end in sentence_ranges(text):
+                    rects = [{k: i[k] for k in ("x", "y", "width", "height")} for a, b, i in pieces if b > start and a < end]
+                    if text[start:end].strip() and rects:
+                        out.append((rows[0]["paper_id"], rows[0]["page_number"], len(out), paragraph, text[start:end].strip(), merge_rects(rects)))
+                paragraph += len(out) > before
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([(n, pa.float64()) for n in ("x", "y", "width", "height")]))]
+        return pa.table({n: pa.array([r[k] for r in out], kind) for k, (n, kind) in enumerate(zip(("paper_id", "page_number", "order_index", "paragraph_index", "text", "rects"), kinds))})
+
+    return columns.groupBy(*PAGE).applyInArrow(run, SENTENCES)
+
+
 def layout_titles(items: DataFrame) -> DataFrame:
     """Rows (paper_id, title): the first run of lines in nearly the largest size of a first page's upper half, if it stands
     out from the page's median."""

@@ -49,6 +49,11 @@ def orders(sort: str) -> list[Column]:
     }.get(sort, [F.col("created_at").desc(), F.col("id").asc()])
 
 
+def existing_tags(tags: DataFrame, most: int = 100) -> DataFrame:
+    """The first tags (tag) by name without regard to ASCII case, as many as a prompt shows."""
+    return tags.select("tag").distinct().orderBy(ascii_lower(F.col("tag")), "tag").limit(most)
+
+
 def placed(papers: DataFrame, sort: str) -> DataFrame:
     """Papers with their ``place`` in the list, from 1.
 

@@ -70,6 +70,32 @@ def without_word(highlights: DataFrame, word: Column) -> DataFrame:
     return highlights.select("id", F.posexplode(parts).alias("part", "rects"))
 
 
+def sync_list(records: DataFrame, papers: DataFrame) -> DataFrame:
+    """Sync records (paper_id, vault_path, status, updated_at) with their papers' titles; those of papers that are gone are not
+    listed. The list is shown by ``updated_at``, newest first."""
+    return records.join(papers.select(F.col("id").alias("paper_id"), F.col("title").alias("paper_title")), "paper_id").select("paper_id", "paper_title", "vault_path", "status", "updated_at")
+
+
+def with_citations(messages: DataFrame, citations: DataFrame, papers: DataFrame) -> DataFrame:
+    """Messages (message_id, ...) with ``citations``: their sources (chunk_id, paper_id, paper_title, page_start, page_end) in the
+    order of ``place``, without those of papers that are gone; empty where a message cites nothing."""
+    titled = citations.join(papers.select(F.col("id").alias("paper_id"), F.col("title").alias("paper_title")), "paper_id")
+    source = F.struct("place", F.struct("chunk_id", "paper_id", "paper_title", "page_start", "page_end").alias("c"))
+    cited = titled.groupBy("message_id").agg(F.transform(F.sort_array(F.collect_list(source)), lambda x: x["c"]).alias("citations"))
+    out = messages.join(cited, "message_id", "left")
+    kind = cited.schema["citations"].dataType
+    return out.withColumn("citations", F.coalesce("citations", F.array().cast(kind)))
+
+
+def topic_nodes(topics: DataFrame, links: DataFrame, papers: DataFrame) -> DataFrame:
+    """Topics (id, label, paper_count) with ``papers``: their existing papers (id, title) by title; links are rows (topic_id,
+    paper_id)."""
+    titled = links.join(papers.select(F.col("id").alias("paper_id"), "title"), "paper_id")
+    held = titled.groupBy(F.col("topic_id").alias("_topic")).agg(F.transform(F.sort_array(F.collect_list(F.struct("title", "paper_id"))), lambda x: F.struct(x["paper_id"].alias("id"), x["title"].alias("title"))).alias("papers"))
+    out = topics.join(held, F.col("id") == F.col("_topic"), "left").drop("_topic")
+    return out.withColumn("papers", F.coalesce("papers", F.array().cast(held.schema["papers"].dataType)))
+
+
 def source_prompts(hits: DataFrame) -> DataFrame:
     """Rows (query_id, prompt): a query's sources, numbered in rank order, with title and pages."""
     head = F.format_string("[S%d] %s (p. %d-%d)", F.col("no"), F.col("title"), F.col("page_start"), F.col("page_end"))

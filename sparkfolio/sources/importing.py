@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +42,38 @@ def outcomes(files: DataFrame, papers: DataFrame) -> DataFrame:
     return f.select("path", "sha256", title_from_file_name(F.col("path")).alias("title"), outcome.alias("outcome"), "reason", F.when(F.col("reason").isNull(), F.coalesce("_id", "sha256")).alias("paper_id"))
 
 
+def copied(files: DataFrame, report: DataFrame, folder: str) -> DataFrame:
+    """Rows (path, target, bytes): files that were imported, copied below a folder under their hash, whole or not at all; a copy
+    that is there already stays. Lazy: an action on the result copies."""
+    wanted = report.where("outcome = 'imported'").select("path", F.concat(F.lit(folder.rstrip("/") + "/"), "sha256", F.lit(".pdf")).alias("target"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from uuid import uuid4
+
+        from pyarrow import fs
+
+        for batch in batches:
+            sizes = []
+            for target, content in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                system, place = fs.FileSystem.from_uri(target)
+                if system.get_file_info(place).type == fs.FileType.NotFound:
+                    system.create_dir(place.rpartition("/")[0], recursive=True)
+                    draft = f"{place}.{uuid4().hex}"
+                    with system.open_output_stream(draft) as out:
+                        out.write(content)
+                    system.move(draft, place)
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["path", "target", "bytes"])
+
+    return wanted.join(files.select("path", "content"), "path").select("path", "target", "content").mapInArrow(write, "path string, target string, bytes long")
+
+
+def inserted(papers: DataFrame, report: DataFrame, now: Column) -> DataFrame:
+    """Papers with the imported files as new ones, in the state that importing begins with."""
+    new = report.where("outcome = 'imported'").select(F.col("paper_id").alias("id"), "sha256", "title", F.lit("file").alias("title_source"), F.lit("copying").alias("status"), now.alias("created_at"))
+    return papers.unionByName(new.select(*[F.col(c).cast(papers.schema[c].dataType).alias(c) if c in new.columns else F.lit(None).cast(papers.schema[c].dataType).alias(c) for c in papers.columns]))
+
+
 def to_enqueue(report: DataFrame) -> DataFrame:
     return report.where("outcome = 'imported'").select("paper_id", F.explode(F.array(F.lit("extract"), F.lit("thumbnail"))).alias("kind"))
 

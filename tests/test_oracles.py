@@ -2,7 +2,7 @@
 
 import pytest
 
-from sparkfolio.plans import more, registry  # noqa: F401  more registers further queries
+from sparkfolio.plans import more, parts, registry  # noqa: F401  more and parts register further queries
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
