@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkfolio.functions import text as X
-from sparkfolio.operators import blocks, graphs, layout, library, lookups, search, translation, upserts
+from sparkfolio.operators import analysis, blocks, graphs, layout, library, lookups, notes, search, translation, upserts
 from sparkfolio.operators import jobs as queue
 from sparkfolio.plans import model as M
 from sparkfolio.plans.model import with_
@@ -474,3 +474,49 @@ k AS (SELECT doc_id, i, regexp_replace(w, '[^\p{L}\p{N}_-]', '', 'g') AS t FROM
 def question_terms(spark, sf):
     out = M.table(spark, sf, "documents").select("doc_id", search.chunk_terms(F.col("text")).alias("terms"))
     return out.where("size(terms) > 0").select("doc_id", X.text_hash(F.array_join("terms", " ")).alias("terms"))
+
+
+# -- analyses and notes -----------------------------------------------------------------------------------------------
+
+_ANSWER = """{"schemaVersion": "%s", "shortSummary": "%s", "detailedSummary": "d", "researchProblem": "r", "contributions": [{"claim": "c", "evidencePages": [3, 1, 99, 3]}], "methodology": "m", "results": [], "limitations": [],
+"keywords": [" ", "k"], "suggestedTags": ["Alpha", "a tag of far too many words to be one"], "tagInsights": [{"tag": "ALPHA", "insight": "x", "evidencePages": [1]}, {"tag": "Beta", "insight": "y"}], "followUpQuestions": []}"""
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'schema' WHEN 2 THEN 'version' WHEN 3 THEN 'empty summary' END AS error, CASE WHEN doc_id % 5 IN (0, 4) THEN 'Alpha,Beta' END AS tags,
+ CASE WHEN doc_id % 5 IN (0, 4) THEN CASE WHEN doc_id % 4 >= 2 THEN '1,3' ELSE '1' END END AS pages, CASE WHEN doc_id % 5 IN (0, 4) THEN 'k' END AS keywords FROM documents"""
+)
+def analyses_validated(spark, sf):
+    """Answers that are valid, lack fields, have another version, say nothing, or stand in a fenced block."""
+    kind = F.col("doc_id") % 5
+    js = F.when(kind == 1, '{"schemaVersion": "1"}').when(kind == 2, _ANSWER % ("0", "s")).when(kind == 3, _ANSWER % ("1", "  ")).when(kind == 4, "```json\n" + _ANSWER % ("1", "s") + "\n```").otherwise(_ANSWER % ("1", "s"))
+    rows = M.table(spark, sf, "documents").select("doc_id", js.alias("json"), (F.col("doc_id") % 4 + 1).alias("page_count"))
+    out = analysis.validate(rows)
+    pages = F.array_join(F.col("analysis.contributions")[0]["evidencePages"].cast("array<string>"), ",")
+    return out.select("doc_id", "error", F.array_join("analysis.suggestedTags", ",").alias("tags"), pages.alias("pages"), F.array_join("analysis.keywords", ",").alias("keywords"))
+
+
+@query(
+    """SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 4 <> 1 THEN doc_id::VARCHAR END AS id, CASE WHEN doc_id % 4 <> 1 THEN source || ',' || 'all' END AS groups, CASE WHEN doc_id % 4 <> 1 THEN lang END AS tags,
+ CASE WHEN doc_id % 4 <> 1 THEN 'my ' || lang END AS user_text, CASE WHEN doc_id % 4 = 1 THEN 'unbalanced managed markers' END AS error FROM documents"""
+)
+def notes_parsed(spark, sf):
+    """Notes with frontmatter, a generated and a user's block; one in four is damaged, and says nothing of itself here."""
+    end = F.when(F.col("doc_id") % 4 == 1, "").otherwise("<!-- managed:end -->")
+    content = F.concat(F.lit('---\npaper_id: "'), F.col("doc_id"), F.lit('"\ngroups:\n  - "'), "source", F.lit('"\n  - all\ntags:\n  - '), "lang", F.lit("\nother: x\n---\nabove\n<!-- managed:start -->\nbody\n"), end, F.lit("\n<!-- user:start -->\nmy "), "lang", F.lit("\n<!-- user:end -->\nbelow\n"))
+    out = notes.parsed_notes(M.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), content.alias("content")))
+    good = F.col("error").isNull()
+    return out.select("path", F.when(good, F.col("id")).alias("id"), F.when(good, F.array_join("groups", ",")).alias("groups"), F.when(good, F.array_join("tags", ",")).alias("tags"), F.when(good, F.col("user")).alias("user_text"), "error")
+
+
+@query(
+    """WITH p AS (SELECT id, string_agg('- [[' || t || ']]', chr(10) ORDER BY t) AS papers FROM (SELECT DISTINCT l_suppkey AS id, 'T' || l_orderkey AS t FROM lineitem) GROUP BY 1)
+SELECT s_suppkey AS id, sha256('# s' || s_suppkey || chr(10) || chr(10) || '## Topics' || chr(10) || chr(10) || '- [[s' || (s_suppkey - 1) || ']]' || chr(10) || '- [[s' || (s_suppkey + 1) || ']]'
+ || coalesce(chr(10) || chr(10) || '## Papers' || chr(10) || chr(10) || papers, '') || chr(10)) AS content FROM supplier LEFT JOIN p ON p.id = s_suppkey"""
+)
+def topic_notes(spark, sf):
+    topics = M.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("s"), "s_suppkey").alias("label"))
+    name = lambda d: F.concat(F.lit("s"), F.col("id") + d)
+    papers = M.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("id"), F.concat(F.lit("T"), "l_orderkey").alias("title")).distinct()
+    out = notes.topic_notes(topics, topics.select("id", F.array(name(-1), name(1)).alias("neighbours")), papers)
+    return out.select("id", X.text_hash(F.col("content")).alias("content"))

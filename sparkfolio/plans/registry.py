@@ -754,7 +754,12 @@ def _label_tags(spark, sf):
     return t.select(F.explode(forms).alias("label"), "paper_id").select(F.xxhash64("label").alias("tag_id"), "label", F.when(F.col("label") == F.lower("label"), "user").otherwise("ai").alias("source"), "paper_id")
 
 
-@query()
+@query(
+    r"""WITH w AS (SELECT unnest(string_split(p_type, ' ')) AS w, p_partkey AS p FROM part), f AS (SELECT unnest([w, lower(w), upper(w[1]) || lower(w[2:]) || 's']) AS label, p FROM w),
+u AS (SELECT label, (label <> lower(label))::INT AS ai, count(DISTINCT p) AS n, lower(regexp_replace(label, '[^\p{L}\p{N}]', '', 'g')) AS k FROM f GROUP BY label),
+g AS (SELECT *, CASE WHEN strlen(k) > 3 AND strlen(k) = length(k) AND k LIKE '%s' AND k NOT LIKE '%ss' THEN k[:-2] ELSE k END AS key FROM u)
+SELECT label, first_value(label) OVER (PARTITION BY key ORDER BY ai, n DESC, length(label), label) AS kept FROM g"""
+)
 def greedy_tag_groups(spark, sf):
     tags = _label_tags(spark, sf)
     units = graphs.tag_units(tags)
@@ -931,7 +936,17 @@ def ready_after_embedding(spark, sf):
     return queue.ready_after_embedding(M.papers(spark, sf), M.jobs(spark, sf).withColumn("kind", F.lit("analyze"))).select("id", "status")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE ev AS (SELECT user_id AS j, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, ['claim', 'fail', 'claim', 'complete', 'retry', 'cancel', 'recover'][(event_id % 7 + 1)::INT] AS e,
+  {list(M.JOB_CODES)!r}[(event_id % {len(M.JOB_CODES)} + 1)::INT] AS c FROM events),
+st AS (SELECT DISTINCT j, 0::BIGINT AS n, 'queued' AS s, 0::BIGINT AS a FROM ev UNION ALL
+  SELECT st.j, ev.n, CASE WHEN e = 'claim' AND s = 'queued' THEN 'running' WHEN e = 'complete' AND s = 'running' THEN 'completed'
+    WHEN e = 'fail' AND s = 'running' THEN CASE WHEN c IN {queue.WAIT_CODES!r} THEN 'waiting_for_key' WHEN c IN {queue.RETRY_CODES!r} AND a < {queue.MAX_ATTEMPTS} THEN 'queued' ELSE 'failed' END
+    WHEN e = 'retry' AND s IN ('failed', 'waiting_for_key') THEN 'queued' WHEN e = 'cancel' AND s IN ('queued', 'waiting_for_key') THEN 'cancelled' WHEN e = 'recover' AND s = 'running' THEN 'queued' ELSE s END,
+    CASE WHEN e = 'claim' AND s = 'queued' THEN a + 1 WHEN e = 'retry' AND s IN ('failed', 'waiting_for_key') THEN 0 ELSE a END
+  FROM st JOIN ev ON ev.j = st.j AND ev.n = st.n + 1)
+SELECT j AS job_id, arg_max(s, n) AS status, arg_max(a, n) AS attempts FROM st GROUP BY 1"""
+)
 def job_states(spark, sf):
     kinds = F.element_at(F.array(*[F.lit(x) for x in ("claim", "fail", "claim", "complete", "retry", "cancel", "recover")]), (F.col("event_id") % 7 + 1).cast("int"))
     code = F.element_at(F.array(*[F.lit(c) for c in M.JOB_CODES]), (F.col("event_id") % len(M.JOB_CODES) + 1).cast("int"))

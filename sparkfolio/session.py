@@ -48,3 +48,12 @@ def get_spark(app: str = "sparkfolio", master: str | None = None, shuffle_partit
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, where it isn't installed on them: operators' functions import it there."""
+    from pathlib import Path
+
+    here = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{here.name}", "zip", here.parent, here.name))

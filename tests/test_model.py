@@ -209,6 +209,38 @@ def test_citations_by_any_doi_and_title(spark, automaton_bytes):
     assert {(r.source, r.target, r.provenance) for r in found.collect()} == {("t1", "p1", "doi"), ("t1", "p2", "doi"), ("t3", "p3", "title"), ("t4", "p3", "title"), ("t6", "p4", "doi")}
 
 
+def plain_sentences(text):
+    """Sentence ranges sign by sign."""
+    out, start, i = [], 0, 0
+    while i < len(text):
+        if text[i] in ".!?。！？":
+            end = i + 1 + (text[i + 1 : i + 2] in tuple("\"')]”’"))
+            after, number = text[end : end + 1], text[start : i + 1].strip()
+            seen = text[end + 1 : end + 2] if after.isspace() else after
+            decimal = text[max(i - 1, 0) : i].isdigit() and after.isdigit()
+            digits = number[:-1] if number.endswith(".") else number
+            numbered = digits != "" and all(part.isdigit() for part in digits.split("."))
+            k = i + 1
+            while k > start and (text[k - 1].isascii() and text[k - 1].isalpha() or text[k - 1] == "."):
+                k -= 1
+            short = text[k : i + 1].replace(".", "").lower() in documents.ABBREVIATIONS
+            if not (decimal or numbered or short or "a" <= seen <= "z") and (not after or after.isspace()):
+                out.append((start, end))
+                start = end
+            i = end
+        else:
+            i += 1
+    return out + [(start, len(text))] * (start < len(text))
+
+
+def test_sentences_of_all_documents_equal_plain_reading(spark, sf_dir):
+    got = {}
+    for r in documents.sentence_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id").collect():
+        got.setdefault(r.id, []).append((r.order_index, r.start, r.end))
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        assert sorted(got.get(r.doc_id, [])) == [(n, a, b) for n, (a, b) in enumerate(plain_sentences(r.text or ""))]
+
+
 def test_lines_of_units_end_at_newlines_only():
     assert [u.text for u in documents.units_of([(1, "One\x0cline of words here.\r\nAnother\u2028line of words.")])] == ["One\x0cline of words here.", "Another\u2028line of words."]
 
