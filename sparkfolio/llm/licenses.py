@@ -11,10 +11,12 @@ in the unit, and words that name a sibling must not.
 
 from __future__ import annotations
 
+import json
 import re
+from collections import Counter
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkfolio.llm.shared import col, staged
@@ -110,6 +112,13 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(\d+(?:\.\d+)*|[\p{L}\p{N}]+)"), F.lit(1))
 
 
+def _literal(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A table as small as the templates, as a literal of the plan: no Python worker takes part."""
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    text = json.dumps([dict(zip(names, row)) for row in rows])
+    return spark.range(0, 1, 1, 1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{', '.join(p.strip().replace(' ', ':', 1) for p in schema.split(','))}>>")).alias("r")).select("r.*")
+
+
 def scan(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, list[str]] | None = None, texts: dict[str, list[str]] | None = None) -> DataFrame:
     """Rows (id, path, license, score, declared, inherited_from), one per row of ``df``.
 
@@ -127,9 +136,9 @@ def scan(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", path_col
     given = [(name, i, text, True) for name, found in sorted((TEMPLATES if templates is None else templates).items()) for i, text in enumerate(found)]
     given += [(name, i, text, False) for name, found in sorted((TEXTS if texts is None else texts).items()) for i, text in enumerate(found)]
     told = [(f"{n}#{i}{'' if notice else '#full'}", n, not notice, *marks(t, notice), terms_of(t)) for n, i, t, notice in given]
-    template = spark.createDataFrame(told, "template string, license string, full boolean, needed array<string>, barred array<string>, terms array<string>")
+    template = _literal(spark, "template string, needed array<string>, barred array<string>", [(t, needed, barred) for t, _, _, needed, barred, _ in told])
     # Terms of the templates: tables as large as the templates are, whatever the scan.
-    counts = template.select("template", "license", "full", F.explode("terms").alias("term")).groupBy("template", "license", "full", "term").agg(F.count("*").alias("tf"))
+    counts = _literal(spark, "template string, license string, full boolean, term string, tf bigint", [(t, n, full, term, k) for t, n, full, _, _, terms in told for term, k in sorted(Counter(terms).items())])
     vocabulary = sorted({t for row in told for t in row[-1]})
     known = F.split(F.lit(" ".join(vocabulary)), " ")
 
@@ -139,7 +148,7 @@ def scan(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", path_col
     in_files = {r.term: r.n for r in held.groupBy("term").agg(F.count("*").alias("n")).collect()}  # at most a row per template term
     # A term that no template has weighs as one that a single file holds.
     rarest = F.log(F.lit(1.0 + total)) + 1.0
-    idf = spark.createDataFrame([(t, in_files.get(t, 0)) for t in vocabulary], "term string, files long").select("term", "files", (F.log((1.0 + total) / (1.0 + F.col("files"))) + 1.0).alias("idf"))
+    idf = _literal(spark, "term string, files bigint", [(t, in_files.get(t, 0)) for t in vocabulary]).select("term", "files", (F.log((1.0 + total) / (1.0 + F.col("files"))) + 1.0).alias("idf"))
     vectors = counts.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
     vectors = vectors.withColumn("v", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))).select("template", "license", "full", "term", "files", "v")
     # Terms in fewest files first: a unit without all of those that weigh more than the rest may lack cannot reach the threshold.
@@ -154,19 +163,21 @@ def scan(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", path_col
     candidates = files.where(F.arrays_overlap(_terms(F.col("text")), F.when(is_license, full_keys).otherwise(keys)))
     lines = candidates.select("id", "path", is_license.alias("is_license"), F.transform(F.split("text", "\n"), _terms).alias("lines"))
     lines = lines.withColumn("hits", F.transform("lines", lambda t: F.arrays_overlap(t, keys)))
-    single = lines.select("id", "path", "is_license", F.explode(F.array_distinct(F.filter("lines", lambda t: F.arrays_overlap(t, keys)))).alias("terms"))
-    whole = lines.where("is_license").select("id", "path", "is_license", F.flatten("lines").alias("terms"))
-    # Runs of two lines or more around a line with a key term. Places are chosen before rows are made of them, so that no row
-    # holds a text's lines for each of its lines.
+    # Slices of lines with a key term among them, and the whole of a licence file. Places are chosen before rows are made of them,
+    # so that no row holds a text's lines for each of its lines.
     places = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.exists(F.slice("hits", i, F.lit(RUN)), lambda h: h))
-    slices = F.transform(places, lambda i: F.struct(F.slice("lines", i, F.lit(RUN)).alias("lines"), F.slice("hits", i, F.lit(RUN)).alias("hits")))
-    spans = lines.select("id", "path", "is_license", F.explode(slices).alias("s")).select("id", "path", "is_license", "s.lines", "s.hits")
-    spans = spans.where(F.size("lines") > 1).select("*", F.explode(F.sequence(F.lit(2), F.size("lines"))).alias("n"))
-    # A line without a term of the notices at either end only lowers a run's cosines.
+    slices = F.transform(places, lambda i: F.struct(F.slice("lines", i, F.lit(RUN)).alias("lines"), F.slice("hits", i, F.lit(RUN)).alias("hits"), F.lit(False).alias("whole")))
+    all_lines = F.array(F.struct("lines", "hits", F.lit(True).alias("whole")))
+    spans = lines.select("id", "path", "is_license", F.explode(F.when(F.col("is_license"), F.concat(slices, all_lines)).otherwise(slices)).alias("s")).select("id", "path", "is_license", "s.*")
+    # A unit is a line with a key term, a run of two and more around one, or the whole. A line without a term of the notices at
+    # either end only lowers a run's cosines.
+    size = F.size("lines")
+    spans = spans.select("*", F.explode(F.when(F.col("whole"), F.array(size)).otherwise(F.sequence(F.lit(1), size))).alias("n"))
     ends = lambda at: F.arrays_overlap(F.element_at("lines", at), of_notices)
-    spans = spans.where(F.exists(F.slice("hits", F.lit(1), F.col("n")), lambda h: h) & ends(F.lit(1)) & ends(F.col("n")))
-    runs = spans.select("id", "path", "is_license", F.flatten(F.slice("lines", F.lit(1), F.col("n"))).alias("terms"))
-    units = staged(single.unionByName(runs).unionByName(whole).withColumn("unit", F.sha2(F.array_join("terms", " "), 256)), "units")
+    around = F.exists(F.slice("hits", F.lit(1), F.col("n")), lambda h: h) & ends(F.lit(1)) & ends(F.col("n"))
+    spans = spans.where(F.col("whole") | F.when(F.col("n") == 1, F.col("hits")[0]).otherwise(around))
+    units = spans.select("id", "path", "is_license", F.flatten(F.slice("lines", F.lit(1), F.col("n"))).alias("terms"))
+    units = staged(units.withColumn("unit", F.sha2(F.array_join("terms", " "), 256)), "units")
 
     # Equal units are one: a header that a third of all files carry is weighed once.
     distinct = units.groupBy("unit").agg(F.first("terms").alias("terms"))
