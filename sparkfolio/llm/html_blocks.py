@@ -207,8 +207,9 @@ def main_text(html: str | None, window: int = 3, surge: int = 60, link_share: fl
             text, _, element = lines[i]
             if not text or bool(element) != marked:
                 continue
-            # Inside, a link on a line of its own stays between lines of text, or alone before them, as a linked title does.
-            if not links[i] or (marked and (begun or not (i and links[i - 1]) and not links[i + 1])):
+            # Inside, a link on a line of its own stays between lines of text, or alone before them, as a linked title does; elsewhere
+            # a single one between two lines of text.
+            if not links[i] or (marked and (begun or not (i and links[i - 1]) and not links[i + 1])) or (begun and length[i - 1] and i + 1 < b and length[i + 1]):
                 kept.append(text)
             begun = begun or not links[i]
     return "\n".join(kept)

@@ -253,3 +253,17 @@ def test_one_dense_group_and_squares_of_tiles(spark, monkeypatch):
 def test_vectors_with_clashing_columns(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.1])], "vec_id long, embedding array<float>").selectExpr("*", "1 as id", "2 as v", "3 as node", "'x' as root", "4 as copies", "5 as n_links")
     assert sorted(map(tuple, vector_dedup.near_duplicates(df).collect())) == [(1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_hot_nodes_are_split(spark):
+    """A star of many leaves, stars joined by their centres, and a chain: keys above and below the limit."""
+    edges = [(0, i) for i in range(1, 1500)] + [(5000, i) for i in range(2000, 2800)] + [(5000, 1499)] + [(i, i + 1) for i in range(6000, 6040)]
+    got = {r.node: r.root for r in shared.components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    want = roots({x for e in edges for x in e}, edges)
+    assert got == want
+
+
+def test_split_join_equals_join(spark):
+    rows = spark.range(4000).selectExpr("case when id % 3 = 0 then null when id % 2 = 0 then 7 else id % 50 end as k", "id")
+    table = spark.range(0, 60).selectExpr("id as k", "id * 2 as w")
+    assert sorted(map(tuple, shared.join_split(rows, table, "k", 4000).collect())) == sorted(map(tuple, rows.join(table, "k").collect()))

@@ -51,6 +51,11 @@ def test_surge_and_dive_decide_inside_marked_elements():
     assert main_text(linked).split("\n") == ["A linked title", *STORY, "A linked line between", "The end."]
 
 
+def test_unmarked_page_keeps_linked_and_short_lines_of_its_text():
+    text = f"<div>{STORY_HTML}<p><a href='/2'>A study that the story links to</a></p>{STORY_HTML}<p>The end.</p><div class=ad>Buy</div><p>Printed in May.</p></div>"
+    assert main_text(f"<body><div class=top>{LINKS}</div>{text}<div>{LINKS}</div></body>").split("\n") == [*STORY, "A study that the story links to", *STORY, "The end.", "Printed in May."]
+
+
 def test_story_beside_marked_teasers():
     teasers = "".join(f"<article><h3>Teaser {i}</h3><p>A card that says in a few words what page {i} holds for its readers.</p></article>" for i in range(20))
     for page in (f"<body><div>{STORY_HTML}</div>{teasers}</body>", f"<body>{teasers}<div>{STORY_HTML}</div></body>"):

@@ -76,6 +76,21 @@ def test_joint_limits_on_labelled_rows(spark, sf_dir):
         assert n - kept <= 0.01 * n if good else kept == 0
 
 
+def test_fitted_limits_hold_on_other_rows(spark, sf_dir):
+    """Limits fitted to sf0.1's labelled rows reject junk and keep clean rows of sf0.01, which are others."""
+    frames = {}
+    for name in ("sf0.1", "sf0.01"):
+        docs, labels = (spark.read.parquet(f"{Path(sf_dir).parent / name}/{t}.parquet") for t in ("documents", "labels"))
+        scored = quality.score_quality(docs.join(labels, "doc_id").repartition(8), piece_model(), carry=["lang", "quality"], out="q")
+        frames[name] = scored.where("not q.base_failed").select("lang", "quality", "q.chars_per_token", "q.token_entropy", "q.n_tokens")
+    limits = quality.fit_joint(frames["sf0.1"], max_rows=1500)
+    assert set(limits) == set(quality.LANGUAGES)
+    rows = frames["sf0.01"].toPandas()
+    kept = [r.chars_per_token + limits[r.lang][0] * r.token_entropy - limits[r.lang][1] * math.log2(r.n_tokens) >= limits[r.lang][2] for r in rows.itertuples()]
+    clean = rows["quality"] == 1
+    assert sum(k for k, c in zip(kept, clean) if c) >= 0.97 * clean.sum() and sum(k for k, c in zip(kept, clean) if not c) <= 0.1 * (~clean).sum()
+
+
 @pytest.mark.parametrize(
     "text",
     [
