@@ -61,7 +61,8 @@ def test_fertility_bands():
     assert not quality.measure("buy " * 60 + "now " * 60, "en", model)["kept"]
     noise = " ".join(chr(0x10300 + i % 30) * 3 for i in range(80))
     assert quality.measure(noise, "en", model)["byte_share"] > 0.5 and not quality.measure(noise, "en", model)["kept"]
-    assert quality.script_of("Пример текста".encode()) == "greek_cyrillic" and quality.script_of("日本語".encode()) == "cjk" and quality.script_of(b"123") == "none"
+    groups = {"Пример текста": "greek_cyrillic", "日本語": "cjk", "한국어": "cjk", "123 !?": "none", "": "none", "ḀṀẼ": "latin", "ἀρχή": "greek_cyrillic", "שלום": "semitic_indic", "हिन्दी": "semitic_indic", "ภาษา": "semitic_indic", "Ça été": "latin"}
+    assert {t: quality.script_of(t) for t in groups} == groups
 
 
 def test_joint_limits_on_labelled_rows(spark, sf_dir):
