@@ -27,9 +27,20 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """The application's own folder below the shared one."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+
+
 def stage_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path in the application's folder."""
+    return f"{stage_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Removes all that the application has written to its folder; results that read it can't be read any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def get_spark(app: str = "sparkfolio", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:

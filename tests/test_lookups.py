@@ -51,3 +51,15 @@ def test_notes_are_written_and_watched(spark, tmp_path):
         assert {r.content for r in spark.table("watched").collect()} == {"é", "x"}
     finally:
         q.stop()
+
+
+def test_stages_are_cleared(spark, tmp_path, monkeypatch):
+    from sparkfolio import session
+
+    monkeypatch.setattr(session, "shared_folder", lambda spark: f"file://{tmp_path}/shared")
+    path = session.stage_path(spark, "rows")
+    spark.range(3).write.parquet(path)
+    own = tmp_path / "shared" / spark.sparkContext.applicationId
+    assert spark.read.parquet(path).count() == 3 and own.exists()
+    session.clear_stages(spark)
+    assert not own.exists()
