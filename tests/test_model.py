@@ -241,6 +241,69 @@ def test_sentences_of_all_documents_equal_plain_reading(spark, sf_dir):
         assert sorted(got.get(r.doc_id, [])) == [(n, a, b) for n, (a, b) in enumerate(plain_sentences(r.text or ""))]
 
 
+def plain_tokens(text):
+    wide = sum("\u1100" <= c <= "\u11ff" or "\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u4dbf" or "\u4e00" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7af" for c in text)
+    return wide + (len(text) - wide + 3) // 4
+
+
+def plain_units(pages):
+    """Sentences with page and section, sign by sign."""
+    section, out = None, []
+    for number, text in pages:
+        for line in text.split("\n"):
+            bare = line.strip()
+            name = bare.lower().lstrip("0123456789. ").strip()
+            numbered = bare[:1].isdigit() and bare[:1].isascii() and " " in bare and len(bare.split()) <= documents.MAX_HEADING_WORDS
+            if bare and len(bare.encode()) <= 80 and (name in documents.HEADINGS or numbered):
+                section = bare
+                continue
+            held = ""
+            for c in line.removesuffix("\r"):
+                held += c
+                if c in ".!?。！？" and len(held.strip().encode()) > 12:
+                    out.append((held.strip(), number, section))
+                    held = ""
+            if held.strip():
+                out.append((held.strip(), number, section))
+    return out
+
+
+def plain_chunks(pages, target=420, limit=480, overlap=60):
+    units, chunks, at = plain_units(pages), [], 0
+    while at < len(units):
+        section, text, tokens, first, last, end = units[at][2], "", 0, units[at][1], units[at][1], at
+        if plain_tokens(units[at][0]) > limit:
+            size = target if plain_tokens(units[at][0]) > -(-len(units[at][0]) // 4) else 4 * target
+            chunks += [(section, units[at][1], units[at][1], units[at][0][i : i + size]) for i in range(0, len(units[at][0]), size)]
+            at += 1
+            continue
+        while end < len(units) and units[end][2] == section and (not text or tokens + plain_tokens(units[end][0]) <= target):
+            text += " " * bool(text) + units[end][0]
+            tokens += plain_tokens(units[end][0])
+            first, last, end = min(first, units[end][1]), units[end][1], end + 1
+        chunks.append((section, first, last, text))
+        back, carried = end, 0
+        while back > at + 1 and carried < overlap:
+            back -= 1
+            carried += plain_tokens(units[back][0])
+        at = max(back, at + 1)
+    return chunks
+
+
+def test_chunks_of_all_documents_equal_plain_reading(spark, sf_dir):
+    from sparkfolio.plans import model
+
+    pages = model.pages(spark, sf_dir)
+    got, given = {}, {}
+    for r in documents.chunk_documents(pages).collect():
+        got.setdefault(r.paper_id, []).append((r.chunk_no, (r.section, r.page_start, r.page_end, r.text), r.token_count))
+    for r in pages.collect():
+        given.setdefault(r.paper_id, []).append((r.page_number, r.text or ""))
+    for paper, own in given.items():
+        want = plain_chunks(sorted(own), documents.TARGET, documents.LIMIT, documents.OVERLAP)
+        assert sorted(got.get(paper, [])) == [(n, c, plain_tokens(c[3])) for n, c in enumerate(want)]
+
+
 def test_lines_of_units_end_at_newlines_only():
     assert [u.text for u in documents.units_of([(1, "One\x0cline of words here.\r\nAnother\u2028line of words.")])] == ["One\x0cline of words here.", "Another\u2028line of words."]
 
