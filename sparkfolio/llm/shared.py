@@ -2,39 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkfolio.session import stage_path
+
 #: A word is a maximal run of characters other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_local_folder: str | None = None
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset, a temporary one, in local mode only."""
-    global _local_folder
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if _local_folder is None:
-        folder = tempfile.mkdtemp(prefix="sparkfolio-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _local_folder = "file://" + folder
-    return _local_folder
-
-
-def stage_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: cuts the lineage, survives lost executors."""
@@ -61,18 +36,33 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def join_split(rows: DataFrame, table: DataFrame, key: str, total: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with the rows of a table that has few per key (inner).  total: the number of rows; more: columns that belong to the
+    key beside the first, which is then a hash of them.
+
+    A key with more than a 200th of all rows, and more than 500, would be one long task; there are fewer than 200 such keys,
+    whatever the table's size: their rows of the table are broadcast, and their own rows stay where they are.
+    """
+    limit = max(500, total // 200)
+    hot = [r[0] for r in rows.groupBy(key).count().where((F.col("count") > limit) & F.col(key).isNotNull()).select(key).collect()]
+    if not hot:
+        return rows.join(table, [key, *more])
+    is_hot = F.col(key).isin(hot)
+    return rows.where(~is_hot).join(table, [key, *more]).unionByName(rows.where(is_hot).join(F.broadcast(table.where(is_hot)), [key, *more]))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components as rows (node, root): root is the smallest node reachable. Nodes without an edge don't appear.
 
     Alternating large-star and small-star rounds. Each round is two grouped minima (summed before the shuffle) joined
     back to the edges, written to the shared folder; rounds go on until nothing changes, and their number grows with the
-    logarithm of the longest path.  Only a count and a hash of the edges reach the driver.  The joins on a node with very many
-    neighbours are split by adaptive execution.
+    logarithm of the longest path.  Only a count and a hash of the edges, and nodes with very many neighbours, of which there
+    are fewer than 200, reach the driver.
     """
 
-    def star(pairs: DataFrame) -> DataFrame:
+    def star(pairs: DataFrame, total: int) -> DataFrame:
         low = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        return pairs.join(low, "u")
+        return join_split(pairs, low, "u", total)
 
     def mark(pairs: DataFrame) -> tuple[int, int]:
         row = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -83,11 +73,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while last[0]:
         # Large star: every neighbour above u moves to the smallest node around u, u included.
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u > v")
+        large = star(both, 2 * last[0]).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u > v")
         # ... keeps v > old u only; the pairs with v < u come again from the other direction.
         large = large.distinct()
         # Small star: what lies below u, and u itself, moves to the smallest of them.
-        small = star(large)
+        small = star(large, last[0])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         e = staged(small.where("u > v").distinct(), "edges")
         now = mark(e)

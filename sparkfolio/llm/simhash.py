@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkfolio.llm.shared import col, components, fresh, staged
+from sparkfolio.llm.shared import col, components, fresh, join_split, staged
 
 SHINGLE_WORDS, SEED, MAX_BITS, BYTES = 4, 42, 4, 8
 
@@ -178,12 +178,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _classes(prints: DataFrame, id_col: str) -> DataFrame:
     """Fingerprints (id, fp) with their components."""
-    distinct = staged(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")), "distinct")
+    distinct = staged(prints.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count("*").alias("n")), "distinct")
     roots = components(near_links(distinct.select("fp")))
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    named = staged(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root")), "named")
+    total = named.agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(ids, "root").select(F.col("fp").alias("fp_"), "component_id")
-    return prints.join(classes, F.col("fp") == F.col("fp_")).select(id_col, "fp", "component_id")
+    classes = staged(join_split(named, ids, "root", total.n).select("fp", "component_id"), "classes")
+    return join_split(prints, classes, "fp", total.rows).select(id_col, "fp", "component_id")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.shared import components, staged
+from sparkfolio.llm.shared import components, join_split, staged
 
 #: Shares of the dimensions after which products are bounded, and rows and columns multiplied at once.
 STEPS, SUB = (0.25, 0.5), 2048
@@ -150,8 +150,9 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
         roots = components(links.where("a <> b").select("a", "b")).withColumnRenamed("node", "node__")
         named = distinct.join(counts, F.col("node") == F.col("node_"), "left").join(roots, F.col("node") == F.col("node__"), "left")
         named = named.select("v", "copies", "first_id", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("root", "node").alias("root"))
+    named = staged(named, "named")
     ids = named.groupBy("root").agg(F.min("first_id").alias("component"))
-    answers = named.join(ids, "root").select(F.col("v").alias("v_"), (F.col("others") + F.col("copies") - 1).alias("links"), "component")
+    answers = join_split(named, ids, "root", named.count()).select(F.col("v").alias("v_"), (F.col("others") + F.col("copies") - 1).alias("links"), "component")
     out = rows.join(answers, F.col("v") == F.col("v_"), "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
