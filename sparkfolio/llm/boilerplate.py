@@ -10,9 +10,12 @@ from sparkfolio.llm.shared import col, fresh, staged
 BLANK = " \t\x0b\x0c\r"
 
 
-def _key(line: Column) -> Column:
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANK))
+
+
+def _key(bare: Column) -> Column:
     """96 bits that stand for a line without its outer white space."""
-    bare = F.btrim(line, F.lit(BLANK))
     return F.struct(F.xxhash64(bare).alias("a"), F.hash(bare).alias("b"))
 
 
@@ -21,8 +24,9 @@ def boilerplate_lines(df: DataFrame, host_col: str, text_col: str, max_ratio: fl
 
     A host has at most (distinct lines per page) / max_ratio such lines, whatever its size, so one row holds them.
     """
-    lines = F.filter(F.split(col(text_col), "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != "")
-    seen = df.select(col(host_col).alias("host"), F.explode(F.array_distinct(F.transform(lines, _key))).alias("key"))
+    # A page's lines are told apart as strings, by a hash set; keys, as structs, would be compared each with each.
+    lines = F.array_distinct(F.filter(F.transform(F.split(col(text_col), "\n"), _bare), lambda x: x != ""))
+    seen = df.select(col(host_col).alias("host"), F.explode(F.transform(lines, _key)).alias("key"))
     pages = seen.groupBy("host", "key").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     totals = df.groupBy(col(host_col).alias("host_")).agg(F.count("*").alias("total"))
     often = pages.join(totals, F.col("host").eqNullSafe(F.col("host_"))).where(F.col("pages") > max_ratio * F.col("total"))
@@ -44,7 +48,7 @@ def drop_boilerplate(df: DataFrame, max_ratio: float = 0.05, min_pages: int = 5,
     host, keys, kept = (fresh(df, name) for name in ("host", "keys", "kept"))
     joined = df.join(table.select(F.col("host").alias(host), F.col("keys").alias(keys)), col(host_col).eqNullSafe(F.col(host)), "left")
     lines = F.split(col(text_col), "\n")
-    rest = F.when(F.col(keys).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col(keys), _key(x))))
+    rest = F.when(F.col(keys).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col(keys), _key(_bare(x)))))
     rows = joined.withColumn(kept, rest)
     return rows.select(
         *[F.array_join(kept, "\n").alias(c) if c == text_col else col(c) for c in df.columns if c.lower() not in ("n_lines", "n_dropped")],
