@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkfolio.llm.sentencepiece_codec import codec_of
+from sparkfolio.llm.sentencepiece_codec import CACHE_WORDS, codec_of
 from sparkfolio.llm.shared import col
 
 
@@ -172,7 +172,7 @@ def script_of(text: str) -> str:
     return best if found[best] else "none"
 
 
-def measure(text: str | None, lang: str | None, model: bytes, min_words: int = 50, max_repeat: int = 50) -> dict:
+def measure(text: str | None, lang: str | None, model: bytes, min_words: int = 50, max_repeat: int = 50, cache_words: int = CACHE_WORDS) -> dict:
     """All fields of ``QUALITY`` for one text."""
     import numpy as np
 
@@ -181,7 +181,7 @@ def measure(text: str | None, lang: str | None, model: bytes, min_words: int = 5
     words = raw.split()  # splits at just the six white space characters
     n = len(words)
     repeat = repeated_words(words)
-    codec = codec_of(model)
+    codec = codec_of(model, cache_words)
     ids = np.frombuffer(codec.encode(text), "<u4")
     total = len(ids)
     kinds, counts = np.unique(ids, return_counts=True)
@@ -209,7 +209,7 @@ def measure(text: str | None, lang: str | None, model: bytes, min_words: int = 5
 ROWS = 256
 
 
-def score_quality(df: DataFrame, model: bytes, text_col: str = "text", lang_col: str | None = "lang", out: str = "quality", only_kept: bool = False, carry: list[str] | None = None) -> DataFrame:
+def score_quality(df: DataFrame, model: bytes, text_col: str = "text", lang_col: str | None = "lang", out: str = "quality", only_kept: bool = False, carry: list[str] | None = None, cache_words: int = CACHE_WORDS) -> DataFrame:
     """``carry`` columns of ``df`` (all by default) and a struct ``out`` of base counts, fertility and verdict.
 
     Each row is measured alone, whole text, in one pass without a shuffle.  A null text counts as an empty one: no words,
@@ -226,7 +226,7 @@ def score_quality(df: DataFrame, model: bytes, text_col: str = "text", lang_col:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                found = [measure(t, x, model) for t, x in zip(part.column("text").to_pylist(), part.column("lang").to_pylist())]
+                found = [measure(t, x, model, cache_words=cache_words) for t, x in zip(part.column("text").to_pylist(), part.column("lang").to_pylist())]
                 full = pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + [pa.array(found, arrow)], names=[*names, "verdict"])
                 yield full.filter(pa.array([f["kept"] for f in found])) if only_kept else full
 
