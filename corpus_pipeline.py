@@ -16,10 +16,14 @@ from sparkfolio.llm.queries import piece_model
 from sparkfolio.llm.shared import col, fresh, staged
 
 
+#: Words whose ids a Python worker keeps through all stages: half the operators' own default, as other stages need memory too.
+CACHE_WORDS = 500_000
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the fertility bands keep."""
     verdict = fresh(docs, "quality")
-    return quality.score_quality(docs, piece_model(), only_kept=True, out=verdict).drop(verdict)
+    return quality.score_quality(docs, piece_model(), only_kept=True, out=verdict, cache_words=CACHE_WORDS).drop(verdict)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document and digests of them and of the decoded text."""
-    return sentencepiece_codec.digests(sentencepiece_codec.encode_documents(docs, piece_model()))
+    return sentencepiece_codec.digests(sentencepiece_codec.encode_documents(docs, piece_model(), cache_words=CACHE_WORDS))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
