@@ -19,7 +19,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.shared import col, staged
+from sparkfolio.llm.shared import col, join_split, staged
 
 _GNU = "This {thing} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{b} either version {version} of the License, or (at your option) any later version."
 
@@ -188,7 +188,9 @@ def scan(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", path_col
     scored = products.select("unit", "template", "license", "full", F.round(F.col("s") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
     scored = scored.join(F.broadcast(template.select("template", "needed", "barred")), "template").join(distinct, "unit")
     scored = scored.where((F.size(F.array_except("needed", "terms")) == 0) & ~F.arrays_overlap("barred", "terms"))
-    declared = units.select("id", "path", "is_license", "unit").join(scored.select("unit", "full", "score", "license"), "unit").drop("unit")
+    # A header that very many files carry is dealt to no single task.
+    scored = staged(scored.select("unit", "full", "score", "license"), "scored")
+    declared = join_split(units.select("id", "path", "is_license", "unit"), scored, "unit", units.count()).drop("unit")
     order = [F.col("full").desc(), F.col("score").desc(), F.col("license")]
     rank = Window.partitionBy("id", "path").orderBy(*order)
     declared = staged(declared.withColumn("rank", F.row_number().over(rank)).where("rank = 1").drop("rank"), "declared")
