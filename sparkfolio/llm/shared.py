@@ -36,9 +36,8 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def join_split(rows: DataFrame, table: DataFrame, key: str, total: int, more: tuple[str, ...] = ()) -> DataFrame:
-    """Rows with the rows of a table that has few per key (inner).  total: the number of rows; more: columns that belong to the
-    key beside the first, which is then a hash of them.
+def join_split(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """Rows with the rows of a table that has few per key (inner).  total: the number of rows.
 
     A key with more than a 200th of all rows, and more than 500, would be one long task; there are fewer than 200 such keys,
     whatever the table's size: their rows of the table are broadcast, and their own rows stay where they are.
@@ -46,9 +45,9 @@ def join_split(rows: DataFrame, table: DataFrame, key: str, total: int, more: tu
     limit = max(500, total // 200)
     hot = [r[0] for r in rows.groupBy(key).count().where((F.col("count") > limit) & F.col(key).isNotNull()).select(key).collect()]
     if not hot:
-        return rows.join(table, [key, *more])
+        return rows.join(table, key)
     is_hot = F.col(key).isin(hot)
-    return rows.where(~is_hot).join(table, [key, *more]).unionByName(rows.where(is_hot).join(F.broadcast(table.where(is_hot)), [key, *more]))
+    return rows.where(~is_hot).join(table, key).unionByName(rows.where(is_hot).join(F.broadcast(table.where(is_hot)), key))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
