@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkfolio.llm import archive, boilerplate, html_blocks, licenses, mixing, quality, sentencepiece_codec, simhash, substring_dedup, vector_dedup
+from sparkfolio.llm import archive, boilerplate, byte_bpe, fill_middle, html_blocks, licenses, mixing, quality, sentencepiece_codec, simhash, substring_dedup, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> bytes:
+    """Content of a public vocabulary file."""
+    return piece_model(name)
+
+
 def piece_model(name: str = "piece_bpe_32k.model") -> bytes:
     """Content of a public model file; its place comes from the tokenizers' own package."""
     import public_tokenizers
@@ -71,6 +76,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "lpad(lower(hex(fp)), 16, '0') as fingerprint", "component_id")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(byte_bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary()))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_substring_dedup": op2_substring_dedup,
@@ -82,4 +95,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_fill_middle": op12_fill_middle,
 }
