@@ -105,9 +105,33 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(a, b) END AS prefix
 FROM cut
 """
 
+OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang),
+grams AS (SELECT lang, m, unnest([array_to_string(w[i : i + m - 1], ' ') FOR i IN range(1, len(w) - m + 2)]) AS phrase FROM split, (VALUES (1), (2), (3), (4)) t(m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+candidates AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2),
+cuts AS (SELECT *, unnest(range(1, m)) AS k FROM candidates),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1 :], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, a, m, w, unnest(range(2, m)) AS size FROM candidates),
+parts AS (SELECT lang, a, unnest([array_to_string(w[i : i + size - 1], ' ') FOR i IN range(1, m - size + 2)]) AS phrase FROM inner_),
+longer AS (SELECT lang, phrase, max(a) AS above FROM parts GROUP BY ALL),
+free AS (
+  SELECT b.* FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase WHERE g.above IS NULL OR 100::HUGEINT * g.above < 80::HUGEINT * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM free JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op4_licenses": OP4,
     "op7_mixing": OP7,
     "op9_line_dedup": OP9,
     "op12_fill_middle": OP12,
+    "op13_collocations": OP13,
 }

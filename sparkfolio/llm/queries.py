@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkfolio.llm import archive, boilerplate, byte_bpe, fill_middle, html_blocks, licenses, mixing, quality, sentencepiece_codec, simhash, substring_dedup, vector_dedup
+from sparkfolio.llm import archive, boilerplate, byte_bpe, collocations, fill_middle, html_blocks, licenses, mixing, quality, sentencepiece_codec, simhash, substring_dedup, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,10 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_substring_dedup": op2_substring_dedup,
@@ -97,4 +101,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_byte_bpe": op11_byte_bpe,
     "op12_fill_middle": op12_fill_middle,
+    "op13_collocations": op13_collocations,
 }
