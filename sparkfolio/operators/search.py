@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkfolio.operators import blocks, keyword_index
-from sparkfolio.operators.keyword_index import Keywords, tokens  # noqa: F401  tokens is part of what this module offers
+from sparkfolio.operators.keyword_index import Keywords, Stored, tokens  # noqa: F401  tokens is part of what this module offers
+from sparkfolio.session import stage_path
 
 K1, B = 1.2, 0.75
 RRF_K, PER_SOURCE, FUSED, MAX_CHUNKS, MAX_PAPERS, MMR_LAMBDA, DUPLICATE = 60, 40, 80, 10, 5, 0.7, 0.95
@@ -27,35 +30,248 @@ def library_terms(search: Column) -> Column:
     return F.filter(F.transform(F.split(search, r"(?U)\s+"), lambda w: F.regexp_replace(w, '"', "")), lambda w: w != "")
 
 
-def bm25(queries: DataFrame, docs: DataFrame | Keywords, k: int | None = PER_SOURCE, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", terms: Column | None = None, scope: DataFrame | None = None) -> DataFrame:
+def _weight(idf: Column, tf: Column, length: Column, average: Column) -> Column:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+
+
+def _idf(n: Column, df: Column) -> Column:
+    return F.greatest(F.lit(1e-6), F.log((n - df + 0.5) / (df + 0.5)))
+
+
+def bm25(queries: DataFrame, docs: DataFrame | Keywords, k: int | None = PER_SOURCE, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", terms: Column | None = None, scope: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Rows (query_id, id, score, rank): lower scores are better.
 
-    docs: rows with texts, which are read whole by each search, or a stored index.  Statistics are those of all rows; a
-    ``scope`` as ``within`` takes it is applied before the k best are taken.
+    docs: rows with texts, which are read whole by each search, or a stored index, of which only the postings that can matter to
+    the k best are read.  Statistics are those of all rows; a ``scope`` as ``within`` takes it is applied before the k best are
+    taken.
     """
-    keywords = docs if isinstance(docs, Keywords) else keyword_index.of_rows(docs, id_col, text_col)
-    found = keyword_index.matches(queries, keywords, query_col, chunk_terms(F.col("question")) if terms is None else terms)
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (F.col("total") / F.col("N"))))
-    scored = found.join(F.broadcast(keywords.totals))  # one row
-    scores = within(scored.groupBy(F.col("query").alias("query_id"), "id").agg(F.round(-F.sum(weight), 6).alias("score")), scope)
+    asked = keyword_index.term_tokens(queries, query_col, chunk_terms(F.col("question")) if terms is None else terms)
+    if isinstance(docs, Stored) and k is not None:
+        # Terms of several tokens need positions; their queries, mostly none, are answered from all their postings.
+        if not asked.where(F.size("phrase") > 1).head(1):
+            scores = _Pruned(asked, docs, k, scope).scores()
+        else:
+            asked = _staged(asked, "terms")
+            phrases = asked.where(F.size("phrase") > 1).select("query").distinct()
+            scores = _Pruned(asked.join(phrases, "query", "left_anti"), docs, k, scope).scores()
+            scores = scores.unionByName(within(_all_scores(asked.join(phrases, "query", "left_semi"), docs), scope))
+    else:
+        keywords = docs if isinstance(docs, Keywords) else keyword_index.of_rows(docs, id_col, text_col)
+        scores = within(_all_scores(asked, keywords), scope)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k) if k else scores.withColumn("rank", rank)
 
 
+def _all_scores(asked: DataFrame, keywords: Keywords) -> DataFrame:
+    """Rows (query_id, id, score) from all postings of all terms."""
+    found = keyword_index.matches(asked, keywords).join(F.broadcast(keywords.totals))  # one row
+    weight = _weight(_idf(F.col("N"), F.col("df")), F.col("tf"), F.col("length"), F.col("total") / F.col("N"))
+    return found.groupBy(F.col("query").alias("query_id"), "id").agg(F.round(-F.sum(weight), 6).alias("score"))
+
+
+def _staged(df: DataFrame, label: str) -> DataFrame:
+    """Writes a small table that several steps read, so that its size is known to the joins."""
+    path = stage_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Postings, in multiples of k, of its rarest terms from which a query's first threshold is taken.
+FIRST = 4
+#: Scores are compared after rounding to six decimals, so bounds leave this much room.
+ROOM = 2e-6
+#: Postings of all asked terms from which bounds are worked out before any are read; with fewer, that costs more than it saves.
+PRUNE_FROM = 50_000_000
+#: Blocks of rows that are scored together.
+SHARD_BLOCKS = 8
+
+
+class _Pruned:
+    """Scores of the rows that can be among each query's k best, from a stored index.
+
+    1. The rarest terms' postings give each query a threshold: its k-th best partial score.
+    2. Terms with the least bounds, as long as these sum up to less than the threshold, are left aside: a row that holds no other
+       term isn't among the best.  Of the others the bounds are summed by block of rows; blocks whose sum, with the bounds of
+       the terms aside, doesn't reach the threshold are never read.
+    3. What is left is dealt by rows: a task has all asked postings of some blocks of rows, adds up scores, and returns each
+       query's k best of these.
+    Queries with a bounded scope rank the rows of their scope only; where these are, is known beforehand.
+    """
+
+    def __init__(self, asked: DataFrame, index: Stored, k: int, scope: tuple[DataFrame, DataFrame] | None, prune_from: int | None = None):
+        self.index, self.k, self.scope = index, k, scope
+        self.prune_from = PRUNE_FROM if prune_from is None else prune_from
+        self.average = index.total / max(index.n, 1)
+        words = asked.select("query", F.col("phrase")[0].alias("token")).groupBy("query", "token").agg(F.count("*").alias("times"))
+        self.words = _staged(words.join(index.terms, "token").withColumn("idf", _idf(F.lit(index.n), F.col("df")) * F.col("times")).select("query", "token", "df", "idf", self.weight("max_tf", "min_length").alias("bound")), "words")
+
+    def weight(self, tf: str, length: str) -> Column:
+        return _weight(F.col("idf"), F.col(tf), F.col(length), F.lit(self.average))
+
+    def essential(self) -> tuple[DataFrame, DataFrame]:
+        """Words (query, token, df, idf, bound, least, aside: whether the word is left aside, rest: bounds of all that are), and the
+        blocks (query, segment, block) whose rows may reach the threshold."""
+        rare = Window.partitionBy("query").orderBy(F.col("bound").desc(), "token")
+        common = Window.partitionBy("query").orderBy("bound", F.col("token").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        every = Window.partitionBy("query")
+        # before: postings of rarer terms; up_to: bounds of this and all more common terms.
+        words = self.words.withColumn("before", F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, 0)) - F.col("df")).withColumn("up_to", F.sum("bound").over(common))
+        if self.scope is not None:
+            words = words.join(self.scope[0].select(F.col("query_id").alias("query")), "query", "left_anti")
+        rows = self.index.blocks.select("token", "segment", "block", "ids", "tfs", "lengths").join(words.where(F.col("before") < FIRST * self.k).select("query", "token", "idf"), "token")
+        each = rows.select("query", "segment", "idf", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"), F.col("lengths").alias("length"))))
+        partial = self.index.live(each).groupBy("query", "id").agg(F.sum(self.weight("tf", "length")).alias("s"))
+        place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("s").desc()))
+        least = partial.withColumn("place", place).where(F.col("place") == self.k).select("query", F.col("s").alias("least"))
+        judged = words.join(least, "query", "left").withColumn("least", F.coalesce("least", F.lit(0.0))).withColumn("aside", F.col("up_to") + ROOM < F.col("least"))
+        judged = judged.withColumn("rest", F.coalesce(F.max(F.when(F.col("aside"), F.col("up_to"))).over(every), F.lit(0.0)))
+        judged = _staged(judged.select("query", "token", "df", "idf", "bound", "least", "aside", "rest"), "judged")
+        bounds = self.index.blocks.select("token", "segment", "block", "max_tf", "min_length").join(judged.where("not aside"), "token")
+        reach = bounds.groupBy("query", "segment", "block", "least", "rest").agg(F.sum(self.weight("max_tf", "min_length")).alias("most"))
+        return judged, reach.where(F.col("most") + F.col("rest") + ROOM >= F.col("least")).select("query", "segment", "block")
+
+    def scores(self) -> DataFrame:
+        """Rows (query_id, id, score), of each query at least the k best."""
+        index, words, shard = self.index, self.words, F.floor(F.col("block") / SHARD_BLOCKS).alias("shard")
+        postings, distinct = words.agg(F.sum("df"), F.count_distinct("token")).first()
+        blocks = index.blocks.select("token", "segment", "block", "ids", "tfs", "lengths")
+        if distinct > keyword_index.PUSHED:
+            blocks = blocks.join(words.select("token").distinct(), "token", "left_semi")
+        else:
+            blocks = blocks.where(F.col("token").isin([r.token for r in words.select("token").distinct().collect()]))
+        queries, allowed = words.select("query").distinct(), None
+        if self.scope is not None:
+            bounded = self.scope[0].select(F.col("query_id").alias("query"))
+            scoped = self.scope[1].select(F.col("query_id").alias("query"), "id").join(queries, "query", "left_semi").distinct()
+            allowed = index.rows.select("id", "segment").join(scoped, "id").withColumn("block", index.block())
+            queries = queries.join(bounded, "query", "left_anti")
+        if (postings or 0) >= self.prune_from:
+            _, reached = self.essential()
+            places = reached if allowed is None else reached.unionByName(allowed.select("query", "segment", "block").distinct())
+            needed = places.join(words.select("query", "token"), "query").select("token", "segment", "block").distinct()
+            blocks = blocks.join(needed, ["token", "segment", "block"], "left_semi")
+            free = reached.select("query", "segment", shard).distinct()
+        else:
+            free = keyword_index.together([queries.select("query", F.lit(s.number).alias("segment"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit((s.blocks - 1) // SHARD_BLOCKS).cast("long"))).alias("shard")) for s in index.segments])
+        kind = blocks.schema["ids"].dataType
+        asked = free.withColumn("only", F.lit(None).cast(kind))
+        if allowed is not None:
+            asked = asked.unionByName(allowed.groupBy("query", "segment", shard).agg(F.collect_set("id").alias("only")))  # at most a shard's rows
+        per_query = words.groupBy("query").agg(F.collect_list("token").alias("tokens"), F.collect_list("idf").alias("idfs"))
+        asked = asked.join(per_query, "query").select("segment", "shard", "query", "tokens", "idfs", "only")
+        rows = blocks.select("segment", shard, "token", "ids", "tfs", "lengths")
+        if (gone := index.gone()) is not None:
+            nothing = F.array().cast("array<int>")
+            rows = rows.unionByName(gone.groupBy("segment", shard).agg(F.collect_set("id").alias("ids")).select("segment", "shard", F.lit(None).cast("string").alias("token"), "ids", nothing.alias("tfs"), nothing.alias("lengths")))
+        schema = T.StructType([T.StructField("query_id", words.schema["query"].dataType), T.StructField("id", kind.elementType), T.StructField("score", T.DoubleType())])
+        k, average = self.k, self.average
+        return rows.groupBy("segment", "shard").cogroup(asked.groupBy("segment", "shard")).applyInArrow(lambda left, right: _score_shard(left, right, k, average), schema)
+
+    def reads(self) -> DataFrame:
+        """Rows (query, asked, essential, in_blocks): postings of all words, of those not left aside, and of all words in the blocks read."""
+        judged, blocks = self.essential()
+        sizes = self.index.blocks.select("token", "segment", "block", F.size("ids").alias("n")).join(judged.select("query", "token", "aside"), "token")
+        marked = sizes.join(blocks.withColumn("open", F.lit(True)), ["query", "segment", "block"], "left")
+        return marked.groupBy("query").agg(F.sum("n").alias("asked"), F.sum(F.when(~F.col("aside"), F.col("n")).otherwise(0)).alias("essential"), F.sum(F.when(F.col("open"), F.col("n")).otherwise(0)).alias("in_blocks"))
+
+
+def _score_shard(blocks: pa.Table, asked: pa.Table, k: int, average: float) -> pa.Table:
+    """Each query's k best rows of a shard, and those that tie with the last: blocks (token, ids, tfs, lengths; without a token: ids that
+    no longer count) and queries (query, tokens, idfs, only: ids of its scope)."""
+    blocks, asked = blocks.combine_chunks(), asked.combine_chunks()
+    names = ["query_id", "id", "score"]
+    kinds = [asked.schema.field("query").type, blocks.schema.field("ids").type.value_type, pa.float64()]
+    nothing = pa.Table.from_arrays([pa.array([], t) for t in kinds], names=names)
+    token = blocks.column("token").combine_chunks()
+    held = blocks.filter(pc.is_valid(token)).combine_chunks()
+    if not held.num_rows or not asked.num_rows:
+        return nothing
+    ids = pc.list_flatten(held.column("ids")).combine_chunks().dictionary_encode()
+    rows, codes = ids.dictionary, ids.indices.to_numpy(zero_copy_only=False)
+    tf, length = (pc.list_flatten(held.column(c)).to_numpy().astype(np.float64) for c in ("tfs", "lengths"))
+    weights = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(held.column("ids")).to_numpy())])
+    of_token: dict[str, list[int]] = {}
+    for i, name in enumerate(held.column("token").to_pylist()):
+        of_token.setdefault(name, []).append(i)
+    gone = pc.list_flatten(blocks.filter(pc.is_null(token)).column("ids"))
+    counts = ~pc.is_in(rows, value_set=gone.combine_chunks() if isinstance(gone, pa.ChunkedArray) else gone).to_numpy(zero_copy_only=False)
+    found_q, found_i, found_s = [], [], []
+    for n in range(asked.num_rows):
+        s = np.zeros(len(rows))
+        for name, idf in zip(asked.column("tokens")[n].as_py(), asked.column("idfs")[n].as_py()):
+            for i in of_token.get(name, ()):
+                s[codes[ends[i] : ends[i + 1]]] += idf * weights[ends[i] : ends[i + 1]]  # an id stands once in a block
+        ok = (s > 0) & counts
+        only = asked.column("only")[n]
+        if only.is_valid:
+            ok &= pc.is_in(rows, value_set=only.values).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(ok)
+        score = np.round(s[at], 6)
+        if len(at) > k:
+            best = score >= np.partition(score, len(at) - k)[len(at) - k]
+            at, score = at[best], score[best]
+        found_q.append(np.full(len(at), n))
+        found_i.append(at)
+        found_s.append(-score)
+    at = np.concatenate(found_i)
+    query = asked.column("query").combine_chunks().take(pa.array(np.concatenate(found_q)))
+    return pa.Table.from_arrays([query, rows.take(pa.array(at)), pa.array(np.concatenate(found_s))], names=names)
+
+
+def postings_read(queries: DataFrame, index: Stored, k: int = PER_SOURCE, query_col: str = "query_id", terms: Column | None = None) -> DataFrame:
+    """Rows (query, asked, essential, in_blocks): how many postings a ranked search would read without and with its bounds."""
+    asked = keyword_index.term_tokens(queries, query_col, chunk_terms(F.col("question")) if terms is None else terms)
+    return _Pruned(_staged(asked.where(F.size("phrase") == 1), "terms"), index, k, None).reads()
+
+
 def match_all(queries: DataFrame, docs: DataFrame | Keywords, id_col: str = "id", text_col: str = "text", query_col: str = "query_id", terms: Column | None = None) -> DataFrame:
     """Rows (query_id, id) of the rows that hold every term of a library search.
     A search without terms finds nothing here; a library list without a search isn't filtered.
+
+    Of a stored index the rarest term's postings are read, and of the other terms the blocks that these rows fall into.
     """
+    asked = keyword_index.term_tokens(queries, query_col, library_terms(F.col("question")) if terms is None else terms)
+    if isinstance(docs, Stored):
+        return _match_stored(_staged(asked, "terms"), docs)
     keywords = docs if isinstance(docs, Keywords) else keyword_index.of_rows(docs, id_col, text_col)
-    found = keyword_index.matches(queries, keywords, query_col, library_terms(F.col("question")) if terms is None else terms)
+    found = keyword_index.matches(asked, keywords)
     return found.groupBy(F.col("query").alias("query_id"), "id", "n_terms").agg(F.count_distinct("term_no").alias("n")).where("n = n_terms").select("query_id", "id")
 
 
+def _match_stored(asked: DataFrame, index: Stored) -> DataFrame:
+    several = asked.where(F.size("phrase") > 1)
+    words = asked.where(F.size("phrase") == 1).select("query", F.col("phrase")[0].alias("token")).distinct()
+    counted = words.join(keyword_index.having(index.terms.select("token", "df"), words), "token", "left")
+    by_rarity = Window.partitionBy("query").orderBy("df", "token")
+    every = Window.partitionBy("query")
+    # A word that no row holds ends its query.
+    ranked = counted.withColumn("unknown", F.count(F.when(F.col("df").isNull(), 1)).over(every)).where("unknown = 0")
+    ranked = _staged(ranked.withColumn("place", F.row_number().over(by_rarity)).withColumn("n", F.count("*").over(every)).select("query", "token", "place", "n"), "ranked")
+    stored = index.blocks.select("token", "segment", "block", "ids")
+    rows = index.live(stored.join(ranked.where("place = 1"), "token").select("query", "n", "segment", "block", F.explode("ids").alias("id")))
+    for place in (2, None):  # the next rarest alone, then all others at once
+        per_block = rows.groupBy("query", "n", "segment", "block").agg(F.collect_set("id").alias("wanted"))
+        rest = ranked.where("place = 2" if place else "place > 2").select("query", "token")
+        held = stored.join(per_block.where("n >= 2" if place else "n > 2").join(rest, "query"), ["token", "segment", "block"])
+        hits = held.select("query", "n", "segment", "block", F.explode(F.array_intersect("wanted", "ids")).alias("id"))
+        all_of = hits.groupBy("query", "n", "segment", "block", "id").count().where("count = 1" if place else "count = n - 2").drop("count")
+        rows = rows.where("n < 2" if place else "n <= 2").unionByName(all_of)
+    found = rows.select(F.col("query").alias("query_id"), "id").distinct()
+    if not several.head(1):
+        return found
+    # Queries with phrases must match these too.
+    wanted = several.groupBy("query").agg(F.count("*").alias("wanted"))
+    hits = keyword_index.matches(several, index).groupBy("query", "id").agg(F.count_distinct("term_no").alias("n")).join(wanted, "query").where("n = wanted").select(F.col("query").alias("query_id"), "id")
+    with_words, with_phrases = words.select(F.col("query").alias("query_id")).distinct(), wanted.select(F.col("query").alias("query_id"))
+    both = found.join(hits, ["query_id", "id"], "left_semi")
+    return found.join(with_phrases, "query_id", "left_anti").unionByName(hits.join(with_words, "query_id", "left_anti")).unionByName(both)
+
+
 def match_columns(queries: DataFrame, docs: DataFrame, id_col: str, text_cols: list[str], query_col: str = "query_id", terms: Column | None = None) -> DataFrame:
     """Rows (query_id, id) of the rows that hold every term of a library search in any of several columns, a phrase in one."""
-    asked = library_terms(F.col("question")) if terms is None else terms
-    found = [keyword_index.matches(queries, keyword_index.of_rows(docs, id_col, c), query_col, asked).select("query", "id", "n_terms", "term_no") for c in text_cols]
+    asked = keyword_index.term_tokens(queries, query_col, library_terms(F.col("question")) if terms is None else terms)
+    found = [keyword_index.matches(asked, keyword_index.of_rows(docs, id_col, c)).select("query", "id", "n_terms", "term_no") for c in text_cols]
     everything = found[0]
     for other in found[1:]:
         everything = everything.unionByName(other)
