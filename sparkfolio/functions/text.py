@@ -31,7 +31,8 @@ def ascii_lower(c: Column) -> Column:
 def strip_accents(c: Column) -> Column:
     """Latin letters without their marks, whether one sign holds both or the mark follows; letters of other alphabets keep theirs
     where one sign holds both, as the keyword index that results are held against has it."""
-    return F.translate(F.regexp_replace(c, "[\\u0300-\\u036F]", ""), ACCENTED + "ſς", PLAIN + "sσ")
+    marked = F.translate(F.regexp_replace(c, "[\\u0300-\\u036F]", ""), ACCENTED + "ſς", PLAIN + "sσ")
+    return F.when(F.length(c) == F.octet_length(c), c).otherwise(marked)  # as many bytes as letters: nothing to strip
 
 
 def collapse(c: Column) -> Column:

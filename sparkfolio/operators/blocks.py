@@ -1,4 +1,4 @@
-"""Vectors compared in packed blocks: exact products by matrix multiplication, for a stated set of queries or for all pairs."""
+"""Vectors compared in packed blocks: exact products by matrix multiplication, for a stated set of queries."""
 
 from __future__ import annotations
 
@@ -71,24 +71,6 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, id_col: str, vector_col
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def similar_pairs(df: DataFrame, threshold: float, id_col: str, vector_col: str) -> DataFrame:
-    """Rows (a, b, score) with a < b of all pairs whose product reaches the threshold.  Two blocks meet once, in the order of
-    their least ids, which are no other block's: half of all meetings are never sent to a task."""
-    one = packed(df, id_col, vector_col)
-    tiles = one.select(F.col("ids").alias("a_ids"), F.col("x").alias("a_x"), "d", F.col("least").alias("a_least")).crossJoin(one.select("ids", "x", F.col("d").alias("d_"), "least")).where("d = d_ and a_least <= least")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a_ids, a_x, d, ids, x in zip(*(batch.column(n).to_pylist() for n in ("a_ids", "a_x", "d", "ids", "x"))):
-                same = a_ids == ids
-                a_ids, ids = np.frombuffer(a_ids, np.int64), np.frombuffer(ids, np.int64)
-                s = np.frombuffer(a_x).reshape(-1, d) @ np.frombuffer(x).reshape(-1, d).T
-                i, j = np.nonzero((s >= threshold) & ((a_ids[:, None] < ids[None, :]) if same else (a_ids[:, None] != ids[None, :])))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a_ids[i], ids[j])), pa.array(np.maximum(a_ids[i], ids[j])), pa.array(s[i, j])], names=["a", "b", "score"])
-
-    return tiles.select("a_ids", "a_x", "d", "ids", "x").mapInArrow(score, "a long, b long, score double")
-
-
 def mean_vectors(df: DataFrame, key: str, vector_col: str) -> DataFrame:
     """Rows (key, embedding): the sum of each key's vectors, scaled to length 1; a zero sum stays zero."""
     sums = df.select(key, F.posexplode(vector_col)).groupBy(key, "pos").agg(F.sum(F.col("col").cast("double")).alias("s"))

@@ -48,7 +48,7 @@ def undirected_top(pairs: DataFrame, keep: int) -> DataFrame:
 
 
 def peer_edges(vectors: DataFrame, threshold: float = PEER_SIMILARITY, keep: int = PEER_EDGES) -> DataFrame:
-    return undirected_top(blocks.similar_pairs(vectors, threshold, "id", "embedding"), keep)
+    return undirected_top(cells.similar_pairs(vectors, threshold, "id", "embedding"), keep)
 
 
 #: Bytes of DOIs and titles up to which one automaton of all of them is sent to every task.
@@ -267,7 +267,7 @@ def cooccurrence(memberships: DataFrame, item: str = "tag_id", basket: str = "pa
 def topic_edges(memberships: DataFrame, vectors: DataFrame, threshold: float = TOPIC_SIMILARITY, keep: int = TOPIC_NEIGHBOURS) -> DataFrame:
     """Edges (a, b, kind, weight): co-occurrence, and similarity of topics that don't co-occur, the best of either end."""
     together = cooccurrence(memberships)
-    apart = blocks.similar_pairs(vectors, threshold, "id", "embedding").join(together.select("a", "b"), ["a", "b"], "left_anti")
+    apart = cells.similar_pairs(vectors, threshold, "id", "embedding").join(together.select("a", "b"), ["a", "b"], "left_anti")
     semantic = undirected_top(apart, keep).select("a", "b", F.lit("semantic").alias("kind"), F.col("score").alias("weight"))
     return together.select("a", "b", F.lit("cooccurrence").alias("kind"), "weight").unionByName(semantic)
 

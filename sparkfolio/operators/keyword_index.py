@@ -302,7 +302,8 @@ def having(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def term_tokens(queries: DataFrame, query_col: str, terms: Column) -> DataFrame:
     """Rows (query, n_terms, term_no, phrase): each query's terms as lists of tokens; a term that splits into none is left out."""
     split = queries.select(F.col(query_col).alias("query"), F.filter(F.transform(terms, tokens), lambda t: F.size(t) > 0).alias("phrases"))
-    return split.select("query", F.size("phrases").alias("n_terms"), F.posexplode("phrases").alias("term_no", "phrase"))
+    # Outer, as else the terms would be worked out once more for a filter of empty lists.
+    return split.select("query", F.size("phrases").alias("n_terms"), F.posexplode_outer("phrases").alias("term_no", "phrase")).where(F.col("phrase").isNotNull())
 
 
 def matches(asked: DataFrame, keywords: Keywords) -> DataFrame:

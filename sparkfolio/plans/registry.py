@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfolio.functions import text as X
-from sparkfolio.operators import blocks, documents, graphs, keyword_index, library, search, translation, upserts
+from sparkfolio.operators import blocks, cells, documents, graphs, keyword_index, library, search, translation, upserts
 from sparkfolio.operators import jobs as queue
 from sparkfolio.plans import model as M
 from sparkfolio.plans.model import with_
@@ -619,7 +619,7 @@ TAU = 0.30
 
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3")
 def similarity_pairs(spark, sf):
-    return blocks.similar_pairs(M.vectors(spark, sf), TAU, "id", "embedding").select("a", "b", F.round("score", 6).alias("score"))
+    return cells.similar_pairs(M.vectors(spark, sf), TAU, "id", "embedding").select("a", "b", F.round("score", 6).alias("score"))
 
 
 _PAIRS = "pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)"
