@@ -425,3 +425,20 @@ def test_pipeline_stages_equal_brute_force(spark, sf_dir):
         longest[r.source] = max(longest[r.source], len(WORDS.findall(r.text)))
     assert max(times.values()) <= 3 and all(abs(taken[s] - t) <= longest[s] / 2 + 1 for s, t in target.items())
     assert stages["encoding"](spark, mixed, sf_dir).count() == mixed.count()
+
+
+def test_time_of_line_dedup_grows_with_the_lines(spark):
+    """Hosts with very many boilerplate lines: each line looks into one bucket, not at all of them."""
+    import time
+
+    def took(lines):
+        rows = [(i, "h", "\n".join(f"line {k} of the host" for k in range(lines)) + f"\nown {i}") for i in range(6)]
+        df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+        start = time.perf_counter()
+        kept = boilerplate.drop_boilerplate(df).collect()
+        assert sorted((r.text, r.n_dropped) for r in kept) == [(f"own {i}", lines) for i in range(6)]
+        return time.perf_counter() - start
+
+    took(10)
+    few, many = took(2_000), took(32_000)
+    assert many < 16 * few + 5
