@@ -86,6 +86,41 @@ def test_named_furniture_goes(start):
     assert main_text(f"<article><p>First.</p>{start}Gone.</{start[1:].split()[0]}><p>Last.</p></article>") == "First.\nLast."
 
 
+WRAPPED = [
+    ("<form id='aspnetForm'><div>{}</div></form>", ""),
+    ("<div class='container sidebar-right'>{}</div>", ""),
+    ("<div class='page with-sidebar-left menu-open'>{}</div>", ""),
+    ("<div class='comments-open'>{}</div>", ""),
+    ("<article>{}<p class='social'>Social policy changed.</p></article>", "Social policy changed."),
+    ("<article>{}<section class='related'><h2>Related work</h2><p>Others did it.</p></section></article>", "Related work\nOthers did it."),
+    ("<article>{}<div class='share'>Share prices rose.</div></article>", "Share prices rose."),
+    ("<article>{}<div class='share'>Share this page: <a>here</a> <a>and there</a>.</div></article>", ""),
+    ("<article>{}<aside>x</aside><aside>x</aside><aside>x</aside><aside>x</aside><p>The end.</p></article>", "The end."),
+    ("<article>{}<p>Press <button>OK</button> to go</p></article>", "Press OK to go"),
+    ("<article>{}<button>Share</button><p>More.</p></article>", "More."),
+    ("<article>{}<p>Let <math><mi>x</mi></math> be</p></article>", "Let x be"),
+    ("<article>{}<section id='comments'>First! A nice post.</section></article>", ""),
+    ("<article>{}<ol id='comments'><li>First!</li></ol></article>", ""),
+    ("<div>{}</div><form><p>Sign up</p><input name=q><button>Go</button></form>", ""),
+    ("<div class='sidebar'><p>About us.</p></div><div>{}</div><div class='comments'><p>Nice.</p></div>", ""),
+    ("<article><p>Brief.</p></article><div class='sidebar'>{}</div>", None),
+]
+
+
+@pytest.mark.parametrize("page,end", WRAPPED)
+def test_text_decides_before_names(page, end):
+    """Wrappers of the page's text are no furniture, whatever they are called; small boxes are."""
+    want = ["Brief."] if end is None else STORY + [x for x in end.split("\n") if x]
+    assert main_text(page.format(STORY_HTML)).split("\n") == want
+
+
+def test_pages_without_names_give_the_same(spark, sf_dir):
+    """Line blocks alone find the same text: a plain version over all pages whose elements' names and classes are taken away."""
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        bare = re.sub(r"<(/?)(?:article|main|nav|aside|footer|header|form|section)\b[^>]*>", r"<\1div>", re.sub(r" (?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", r.html))
+        assert set(main_text(r.html).split("\n")) <= set(main_text(bare).split("\n"))
+
+
 @pytest.mark.parametrize(
     "part,end",
     [("<a ", '"'), ('<a ="', ""), ("<div>", "</b>"), ("<title>", ""), ("<b>", "<div></div>" * 100_000), ("<p><td>", "<b>" * 100_000 + "<div></div>" * 100_000), ("<!--", ""), ("<a href='x", ""), ("<svg>", ""), ("<", ""), ("</i>", ""), ("<nav><b></nav>", "")],
