@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkfolio.functions.text import aggressive_key, lineage, normalize_title
-from sparkfolio.operators import blocks
+from sparkfolio.operators import blocks, cells
+from sparkfolio.sources import versions
 
 RELATION_SIMILARITY, RELATION_NEIGHBOURS = 0.75, 5
 FOCUS_SIZE, FOCUS_SIMILARITY, PEER_SIMILARITY, PEER_EDGES = 16, 0.70, 0.78, 3
@@ -284,21 +284,20 @@ def topic_signature(memberships: DataFrame, prefix: str = "tags-v2;") -> DataFra
 
 
 def rebuilt_topics(memberships: DataFrame, vectors: DataFrame, folder: str, threshold: float = TOPIC_SIMILARITY, keep: int = TOPIC_NEIGHBOURS) -> bool:
-    """Writes topics (tag_id, label, n_papers), edges and the signature of the memberships (tag_id, label, source, paper_id) to a
-    folder, unless the signature stored there is theirs already. Whether anything was written."""
+    """Writes topics (tag_id, label, n_papers), links, edges and the signature of the memberships (tag_id, label, source, paper_id) to a
+    folder's tables, in one commit, unless the signature stored there is theirs already. Whether anything was written."""
     spark = memberships.sparkSession
     own = topic_signature(memberships.select("tag_id", "label", "paper_id")).first().signature
-    try:
-        stored = spark.read.parquet(f"{folder}/signature").first()
-    except AnalysisException:  # nothing was ever built there
-        stored = None
-    if stored is not None and stored.signature == own:
+    base = versions.opened(spark, folder)
+    if base.version >= 0 and base.table("signature").first().signature == own:
         return False
-    tag_units(memberships).write.mode("overwrite").parquet(f"{folder}/topics")
-    memberships.select(F.col("tag_id").alias("topic_id"), "paper_id").distinct().write.mode("overwrite").parquet(f"{folder}/links")
-    topic_edges(memberships.select("tag_id", "paper_id"), vectors, threshold, keep).write.mode("overwrite").parquet(f"{folder}/edges")
-    # Last: what was never finished is built anew.
-    spark.createDataFrame([(own,)], "signature string").write.mode("overwrite").parquet(f"{folder}/signature")
+    tables = {
+        "topics": ("tag_id", tag_units(memberships)),
+        "links": ("topic_id", memberships.select(F.col("tag_id").alias("topic_id"), "paper_id").distinct()),
+        "edges": ("a", topic_edges(memberships.select("tag_id", "paper_id"), vectors, threshold, keep)),
+        "signature": ("signature", spark.createDataFrame([(own,)], "signature string")),
+    }
+    versions.commit(base, {name: versions.Change(key, rows, everything=True) for name, (key, rows) in tables.items()})
     return True
 
 

@@ -18,21 +18,37 @@ def build_source(sentences: DataFrame, partition: str = "page_id") -> tuple[Data
     return s.groupBy(partition).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("source")), ranges
 
 
+#: Characters of a bin; a range stands in each bin that it touches.
+BIN = 1024
+
+
+def _binned(rows: DataFrame, start: str, end: str) -> DataFrame:
+    return rows.withColumn("bin", F.explode(F.sequence(F.floor(F.col(start) / BIN), F.floor(F.greatest(F.col(start), F.col(end) - 1) / BIN))))
+
+
 def map_segments(ranges: DataFrame, segments: DataFrame, partition: str = "page_id") -> DataFrame:
     """Rows (page, segment_no, text, sentence_ids, paragraph_index): each translated segment (page, segment_no, original,
     translated) with the sentences its original overlaps, or else the nearest before it. Blank segments are dropped.
 
-    Segments and sentences meet within a page only, so the range join is an equi-join on the page.
+    Ranges are cut into bins of a page, and meet where they share one, in the first that they share; the sentence before a
+    segment comes from one pass over both in order.  A page of many sentences takes time in proportion to them.
     """
     before = Window.partitionBy(partition).orderBy("segment_no").rowsBetween(Window.unboundedPreceding, -1)
     s = segments.withColumn("s_start", F.coalesce(F.sum(F.length("original")).over(before), F.lit(0))).withColumn("s_end", F.col("s_start") + F.length("original"))
     s = s.withColumn("text", F.trim("translated")).where("text <> ''").select(partition, "segment_no", "text", "s_start", "s_end")
-    r = ranges.select(F.col(partition).alias("_p"), F.struct("start", "order_index", "id", "paragraph_index").alias("r"), "start", "end")
-    met = s.join(r, (F.col(partition) == F.col("_p")) & (F.col("start") <= F.greatest(F.col("s_start"), F.col("s_end") - 1)), "left")
-    over = (F.col("start") < F.col("s_end")) & (F.col("end") > F.col("s_start"))
-    g = met.groupBy(partition, "segment_no", "text").agg(F.sort_array(F.collect_list(F.when(over, F.col("r")))).alias("hit"), F.max(F.when(F.col("start") <= F.col("s_start"), F.col("r"))).alias("last"))
-    chosen = F.when(F.size("hit") > 0, F.col("hit")).when(F.col("last").isNotNull(), F.array("last")).otherwise(F.slice("hit", 1, 0))
-    out = g.withColumn("chosen", chosen)
+    r = ranges.select(F.col(partition).alias("_p"), F.struct("start", "order_index", "id", "paragraph_index").alias("r"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    over = (F.col("r_start") < F.col("s_end")) & (F.col("r_end") > F.col("s_start"))
+    first_shared = F.floor(F.greatest("s_start", "r_start") / BIN) == F.col("bin")
+    pairs = _binned(s, "s_start", "s_end").join(_binned(r, "r_start", "r_end").withColumnRenamed("bin", "_bin"), (F.col(partition) == F.col("_p")) & (F.col("bin") == F.col("_bin")) & over & first_shared)
+    hits = pairs.groupBy(F.col(partition).alias("_p"), F.col("segment_no").alias("_s")).agg(F.sort_array(F.collect_list("r")).alias("hit"))
+    # Sentences before segments that start at the same place, then the last sentence so far.
+    marks = r.select(F.col("_p").alias(partition), F.col("r_start").alias("at"), F.lit(0).alias("is_segment"), F.lit(None).cast(s.schema["segment_no"].dataType).alias("segment_no"), "r")
+    asked = s.select(partition, F.col("s_start").alias("at"), F.lit(1).alias("is_segment"), "segment_no", F.lit(None).cast(r.schema["r"].dataType).alias("r"))
+    so_far = Window.partitionBy(partition).orderBy("at", "is_segment", F.col("r.order_index")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = marks.unionByName(asked).withColumn("last", F.last("r", True).over(so_far)).where("is_segment = 1").select(F.col(partition).alias("_q"), F.col("segment_no").alias("_t"), "last")
+    met = s.join(hits, (F.col(partition) == F.col("_p")) & (F.col("segment_no") == F.col("_s")), "left").join(last, (F.col(partition) == F.col("_q")) & (F.col("segment_no") == F.col("_t")), "left")
+    none = F.array().cast(hits.schema["hit"].dataType)
+    out = met.withColumn("chosen", F.when(F.col("hit").isNotNull(), F.col("hit")).when(F.col("last").isNotNull(), F.array("last")).otherwise(none))
     return out.select(partition, "segment_no", "text", F.transform("chosen", lambda x: x["id"]).alias("sentence_ids"), F.coalesce(F.try_element_at("chosen", F.lit(1))["paragraph_index"], F.lit(0)).alias("paragraph_index"))
 
 

@@ -401,6 +401,7 @@ def topic_graph_edges(spark, sf):
 def topics_rebuilt(spark, sf):
     """Topics written, not written again while nothing changed, and again after a change; then as the first time."""
     from sparkfolio.session import stage_path
+    from sparkfolio.sources import versions
 
     folder, vectors = stage_path(spark, "topics"), _topic_vectors(spark, sf)
     rows = _memberships(spark, sf).select("tag_id", F.col("tag_id").cast("string").alias("label"), F.lit("user").alias("source"), "paper_id")
@@ -408,7 +409,7 @@ def topics_rebuilt(spark, sf):
     again = graphs.rebuilt_topics(rows, vectors, folder)
     changed = graphs.rebuilt_topics(rows.where("paper_id % 2 = 0"), vectors, folder)
     graphs.rebuilt_topics(rows, vectors, folder)
-    return spark.read.parquet(f"{folder}/topics").select(F.lit(again).alias("again"), F.lit(changed).alias("after_change"), "tag_id", "n_papers")
+    return versions.opened(spark, folder).table("topics").select(F.lit(again).alias("again"), F.lit(changed).alias("after_change"), "tag_id", "n_papers")
 
 
 @query(
@@ -520,3 +521,25 @@ def topic_notes(spark, sf):
     papers = M.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("id"), F.concat(F.lit("T"), "l_orderkey").alias("title")).distinct()
     out = notes.topic_notes(topics, topics.select("id", F.array(name(-1), name(1)).alias("neighbours")), papers)
     return out.select("id", X.text_hash(F.col("content")).alias("content"))
+
+
+@query(
+    """WITH p AS (SELECT doc_id AS paper_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+now AS (SELECT paper_id, count(*) AS n FROM p WHERE paper_id % 10 <> 3 AND paper_id % 10 <> 7 GROUP BY 1 UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id % 10 = 7)
+SELECT a.paper_id, a.n AS lines_before, n.n AS lines_now, CASE WHEN n.n IS NOT NULL THEN 1 END AS papers_now
+FROM (SELECT paper_id, count(*) AS n FROM p GROUP BY 1) a LEFT JOIN now n USING (paper_id)"""
+)
+def committed_together(spark, sf):
+    """Two tables changed in one commit: lines of some papers replaced, other papers gone from both; and what was read before."""
+    from sparkfolio.session import stage_path
+    from sparkfolio.sources import versions
+    from sparkfolio.sources.versions import Change
+
+    docs = M.table(spark, sf, "documents")
+    lines = docs.select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    first = versions.commit(versions.opened(spark, stage_path(spark, "library")), {"papers": Change("paper_id", docs.select(F.col("doc_id").alias("paper_id"), "source")), "lines": Change("paper_id", lines)})
+    gone = docs.where("doc_id % 10 = 3").select(F.col("doc_id").alias("paper_id"))
+    again = docs.where("doc_id % 10 = 7").select(F.col("doc_id").alias("paper_id"), F.lit(0).alias("no"), F.lit("anew").alias("line"))
+    second = versions.commit(first, {"papers": Change("paper_id", replaced=gone), "lines": Change("paper_id", again, replaced=gone)})
+    count = lambda s, t, name: s.table(t).groupBy("paper_id").agg(F.count("*").alias(name))
+    return count(first, "lines", "lines_before").join(count(second, "lines", "lines_now"), "paper_id", "left").join(count(second, "papers", "papers_now"), "paper_id", "left")

@@ -65,3 +65,59 @@ def job_states(events: DataFrame) -> DataFrame:
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [attempts]})
 
     return events.groupBy("job_id").applyInPandasWithState(fold, "job_id long, status string, attempts long", "status string, attempts long", "update", "NoTimeout")
+
+
+class EventLines:
+    """Data of one event stream, from its bytes as they come: what isn't decoded and what isn't a whole line yet is kept.
+
+    A stream ends at its end mark, and what comes later is not read. ``kept`` is all that a later batch needs.
+    """
+
+    END = "[DONE]"
+
+    def __init__(self, kept: bytes = b"", number: int = 0, ended: bool = False):
+        self.kept, self.number, self.ended = kept, number, ended
+
+    def read(self, chunk: bytes) -> list[tuple[int, str]]:
+        """Numbers and data of the events that a chunk completes."""
+        out: list[tuple[int, str]] = []
+        *lines, self.kept = (self.kept + chunk).split(b"\n")  # no byte of another character is a line end
+        for line in lines:
+            text = line.removesuffix(b"\r").decode("utf-8", "replace")
+            if self.ended or not text.startswith("data:"):
+                continue
+            data = text[5:].strip(" ")
+            if data == self.END:
+                self.ended = True
+            elif data:
+                out.append((self.number, data))
+                self.number += 1
+        if self.ended:
+            self.kept = b""
+        return out
+
+
+def event_stream(chunks: DataFrame) -> DataFrame:
+    """Rows (stream_id, event_no, data) of a stream of chunks (stream_id, seq, chunk): the events that each batch completes.
+
+    Characters and lines may be cut anywhere, between batches too.  A stream's chunks come in order of ``seq``; those of one
+    batch are sorted.  A chunk that is null cancels its stream: what is kept of it is dropped, and nothing more is read.
+    """
+    import pyarrow as pa  # noqa: F401  the state's rows are exchanged through it
+
+    def decode(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        reader = EventLines(*state.get) if state.exists else EventLines()
+        rows = pd.concat(list(frames)).sort_values("seq")
+        found: list[tuple[int, str]] = []
+        for chunk in rows["chunk"]:
+            if chunk is None:
+                reader.kept, reader.ended = b"", True
+            elif not reader.ended:
+                found += reader.read(bytes(chunk))
+        state.update((bytes(reader.kept), reader.number, reader.ended))
+        yield pd.DataFrame({"stream_id": [key[0]] * len(found), "event_no": [n for n, _ in found], "data": [d for _, d in found]}).astype({"event_no": "int64"})
+
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    id_type = chunks.schema["stream_id"].dataType.simpleString()
+    return chunks.groupBy("stream_id").applyInPandasWithState(decode, f"stream_id {id_type}, event_no long, data string", "kept binary, number long, ended boolean", "append", GroupStateTimeout.NoTimeout)
