@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from sparkfolio.functions.text import aggressive_key, lineage, normalize_title
 from sparkfolio.operators import blocks, cells
+from sparkfolio.session import stage_path
 from sparkfolio.sources import versions
 
 RELATION_SIMILARITY, RELATION_NEIGHBOURS = 0.75, 5
@@ -216,7 +217,8 @@ def tag_units(paper_tags: DataFrame) -> DataFrame:
 
 
 def leader_groups(keys: list[str], vectors: np.ndarray | None, threshold: float = TAG_MERGE) -> list[int]:
-    """For each item in order, the number of its leader: the first leader with an equal key or a similar vector."""
+    """For each item in order, the number of its leader: the first leader with an equal key or a similar vector. What
+    ``duplicate_tags`` computes in rounds, for a list of items one after the other."""
     leaders: list[int] = []
     by_key: dict[str, int] = {}
     out = []
@@ -235,21 +237,41 @@ def leader_groups(keys: list[str], vectors: np.ndarray | None, threshold: float
 
 
 def duplicate_tags(units: DataFrame, threshold: float = TAG_MERGE, vector_col: str | None = None) -> DataFrame:
-    """Rows (tag_id, keep_id): each tag and the one it merges into, by greedy grouping in ``place`` order.
+    """Rows (tag_id, keep_id): each tag and the one it merges into, by greedy grouping in ``place`` order: a tag joins the first
+    leader with its key, or a vector whose product with its own reaches the threshold, and leads a new group if there is none.
 
-    The grouping is sequential by definition, over tags: a vocabulary, not the corpus.
+    The sequential result, in rounds over all tags: who has a leader before it, by key or vector, is a member; who has neither a
+    leader nor an undecided tag before it is a leader.  Each round decides the first undecided tag of each neighbourhood at
+    least; rounds are written to the shared folder.
     """
-    rows = units.select("tag_id", "place", aggressive_key(F.col("label")).alias("key"), *([F.col(vector_col).alias("v")] if vector_col else []))
-
-    def group(table: pa.Table) -> pa.Table:
-        table = table.sort_by("place").combine_chunks()
-        vectors = np.array(table.column("v").to_pylist(), np.float64) if vector_col else None
-        ids = table.column("tag_id").to_pylist()
-        keep = leader_groups(table.column("key").to_pylist(), vectors, threshold)
-        return pa.table({"tag_id": pa.array(ids), "keep_id": pa.array([ids[k] for k in keep])})
-
-    kind = units.schema["tag_id"].dataType.simpleString()
-    return rows.withColumn("_all", F.lit(1)).groupBy("_all").applyInArrow(group, f"tag_id {kind}, keep_id {kind}")
+    spark = units.sparkSession
+
+    def written(df: DataFrame, label: str) -> DataFrame:
+        path = stage_path(spark, label)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    tags = written(units.select("tag_id", F.col("place").cast("long").alias("place"), aggressive_key(F.col("label")).alias("key")), "tags")
+    edges = spark.createDataFrame([], "before long, place long")
+    if vector_col:
+        near = cells.similar_pairs(units.select(F.col("place").cast("long").alias("place"), vector_col), threshold, "place", vector_col)
+        edges = written(near.select(F.col("a").alias("before"), F.col("b").alias("place")), "likenesses")
+
+    def first_before(some: DataFrame, name: str) -> DataFrame:
+        """Rows (place, name): the first of some tags that stands before a tag and is alike or has its key."""
+        by_key = tags.join(some.groupBy("key").agg(F.min("place").alias(name)), "key").where(F.col(name) < F.col("place")).select("place", name)
+        by_edge = edges.join(some.select(F.col("place").alias("before")), "before").select("place", F.col("before").alias(name))
+        return by_key.unionByName(by_edge).groupBy("place").agg(F.min(name).alias(name))
+
+    state = written(tags.select("place", "key", F.lit("undecided").alias("status")), "states")
+    while (undecided := state.where("status = 'undecided'")).head(1):
+        led = first_before(state.where("status = 'leader'"), "leader")
+        waits = first_before(undecided, "waits_for")
+        status = F.when(F.col("status") != "undecided", F.col("status")).when(F.col("leader").isNotNull(), "member").when(F.col("waits_for").isNull(), "leader").otherwise("undecided")
+        state = written(state.join(led, "place", "left").join(waits, "place", "left").select("place", "key", status.alias("status")), "states")
+    leaders = state.where("status = 'leader'")
+    joined = tags.join(first_before(leaders, "leader"), "place", "left").select("tag_id", F.coalesce("leader", "place").alias("leader"))
+    return joined.join(tags.select(F.col("place").alias("leader"), F.col("tag_id").alias("keep_id")), "leader").select("tag_id", "keep_id")
 
 
 def merge_tags(paper_tags: DataFrame, merged: DataFrame) -> DataFrame:

@@ -413,14 +413,20 @@ def topics_rebuilt(spark, sf):
 
 
 @query(
-    """WITH n AS (SELECT l_suppkey AS id, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1)
-SELECT id, round(16 + 30 * n / (SELECT greatest(1, max(n)) FROM n), 6) AS size, row_number() OVER (ORDER BY id) - 1 AS place FROM n"""
+    """WITH n AS (SELECT l_suppkey AS id, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1),
+e AS (SELECT a.l_suppkey AS x, b.l_suppkey AS y, count(*) AS w FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem WHERE l_orderkey % 20 = 0) a JOIN (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem WHERE l_orderkey % 20 = 0) b
+  ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY ALL)
+SELECT id, NULL::BIGINT AS other, round(16 + 30 * n / (SELECT greatest(1, max(n)) FROM n), 6) AS size, row_number() OVER (ORDER BY id) - 1 AS place FROM n
+UNION ALL SELECT x, y, round(1 + 3 * w / (SELECT greatest(1, max(w)) FROM e), 6), NULL FROM e"""
 )
 def graph_layout(spark, sf):
-    nodes = M.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.count_distinct("l_orderkey").alias("n_papers"))
-    edges = spark.createDataFrame([], "a long, b long, weight double")
-    sized, _ = graphs.layout(nodes, edges)
-    return sized.select("id", F.round("size", 6).alias("size"), F.round((F.col("x") * F.col("x") + F.col("y") * F.col("y")) / 1600).cast("long").alias("place"))
+    """Suppliers by their orders, and lines between those that share an order of a twentieth of all."""
+    lines = M.table(spark, sf, "lineitem")
+    nodes = lines.groupBy(F.col("l_suppkey").alias("id")).agg(F.count_distinct("l_orderkey").alias("n_papers"))
+    edges = graphs.cooccurrence(lines.where("l_orderkey % 20 = 0"), "l_suppkey", "l_orderkey")
+    sized, wide = graphs.layout(nodes, edges)
+    placed = sized.select("id", F.lit(None).cast("long").alias("other"), F.round("size", 6).alias("size"), F.round((F.col("x") * F.col("x") + F.col("y") * F.col("y")) / 1600).cast("long").alias("place"))
+    return placed.unionByName(wide.select(F.col("a").alias("id"), F.col("b").alias("other"), F.round("width", 6).alias("size"), F.lit(None).cast("long").alias("place")))
 
 
 # -- scalar functions -------------------------------------------------------------------------------------------------
