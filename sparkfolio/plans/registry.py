@@ -90,6 +90,23 @@ def cosine_topk(spark, sf):
     return with_long(blocks.top_k(v.where("id % 100 = 0"), v, 40, "id", "embedding"), "rank").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(
+    """WITH own AS (SELECT e.vec_id AS id, coalesce(o.embedding, e.embedding)::DOUBLE[] AS v FROM embeddings e LEFT JOIN embeddings o ON e.vec_id % 50 = 3 AND o.vec_id = e.vec_id - 1 WHERE e.vec_id % 50 <> 7),
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, id, list_inner_product(qv, v) AS s FROM q, own WHERE id <> query_id)
+SELECT query_id, id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, id) AS rank FROM s QUALIFY rank <= 40"""
+)
+def stored_vectors_topk(spark, sf):
+    """Nearest vectors from a stored index after a refresh: some vectors are others', and some are gone."""
+    v = M.vectors(spark, sf)
+    root = stage_path(spark, "vectors")
+    cells.build(v, root)
+    others = v.select((F.col("id") + 1).alias("id"), "embedding").where("id % 50 = 3").join(v.select("id"), "id", "left_semi")
+    gone = v.where("id % 50 = 7").select("id", F.lit(None).cast(v.schema["embedding"].dataType).alias("embedding"))
+    index = cells.refresh(others.unionByName(gone), root)
+    found = cells.nearest(v.where("id % 100 = 0"), index, 40)
+    return with_long(found, "rank").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 def _legs(spark, sf):
     questions = document_questions(spark, sf)
     keyword = search.bm25(questions, document_index(spark, sf))

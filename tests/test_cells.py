@@ -55,3 +55,32 @@ def test_no_cartesian_product(spark, sf_dir):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     rows = [(r.vec_id, r.embedding) for r in df.select("vec_id", "embedding").collect()]
     assert {(r.a, r.b) for r in found.collect()} == set(brute(rows, 0.8))
+
+
+def brute_nearest(rows, asked, k):
+    out = set()
+    for q, x in asked:
+        ranked = sorted((-round(float(np.dot(x, v)), 12), i) for i, v in rows.items() if v is not None and len(v) == len(x) and i != q)
+        out |= {(q, i, r + 1) for r, (_, i) in enumerate(ranked[:k])}
+    return out
+
+
+def test_stored_index_after_refreshes(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(cells, "PACK", 5)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(15, 5)) * 3
+    vector = lambda i: (centres[i % 15] + rng.normal(size=5) * 0.1).tolist()
+    frame = lambda rows: spark.createDataFrame(sorted(rows.items()), "id long, embedding array<double>").repartition(3)
+    rows = {i: vector(i) for i in range(400)} | {400: [1.0, 2.0], 401: [2.0, 1.0], 402: None}
+    asked = [(i, rows[i]) for i in (0, 7, 44, 100, 101, 333, 400)] + [(1000, [0.0] * 5)]
+    queries = spark.createDataFrame([*asked, (1001, None)], "id long, embedding array<double>")
+    first = cells.build(frame(rows), str(tmp_path / "v"))
+    for k in (1, 6, 500):
+        assert {(r.query_id, r.id, r.rank) for r in cells.nearest(queries, first, k).collect()} == brute_nearest(rows, asked, k)
+    assert cells.Search(queries, first, 3).share_read() < 0.6
+    before = dict(rows)
+    for change in ({5: vector(9), 6: None, 500: vector(3)}, {500: None, 501: vector(1), 5: vector(5), 44: rows[45]}):
+        rows |= change
+        index = cells.refresh(frame(change), str(tmp_path / "v"))
+        assert {(r.query_id, r.id, r.rank) for r in cells.nearest(queries, index, 6).collect()} == brute_nearest(rows, asked, 6)
+    assert {(r.query_id, r.id, r.rank) for r in cells.nearest(queries, first, 6).collect()} == brute_nearest(before, asked, 6)
