@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from sparkfolio.operators import blocks, cells, documents, graphs, keyword_index
 from sparkfolio.operators import jobs as queue
 from sparkfolio.plans import model as M
 from sparkfolio.plans.model import with_
-from sparkfolio.session import stage_path
+from sparkfolio.session import shared_folder, stage_path
 from sparkfolio.sources import importing, records
 from sparkfolio.streaming import changes
 
@@ -55,15 +57,29 @@ _indexes: dict[tuple[str, str], str] = {}
 
 
 def document_index(spark: SparkSession, sf: str) -> keyword_index.Keywords:
-    """The stored keyword index of all documents: written by an application's first search, read by all others."""
+    """The stored keyword index of all documents: written by the first search, read by all others, those of later applications
+    too where ``spark.checkpoint.dir`` names a folder that outlives them.  Other files, or changed ones, have another index."""
     key = spark.sparkContext.applicationId, sf
     if key not in _indexes:
-        folder = stage_path(spark, "keyword-index")
-        keyword_index.build(M.table(spark, sf, "documents"), folder, "doc_id")
+        folder = f"{shared_folder(spark)}/keyword-index-{files_hash(M.table(spark, sf, 'documents'))}"
+        try:
+            keyword_index.opened(spark, folder)
+        except AnalysisException:  # nothing was ever committed there
+            keyword_index.build(M.table(spark, sf, "documents"), folder, "doc_id")
         _indexes[key] = folder
     return keyword_index.opened(spark, _indexes[key])
 
 
+def files_hash(df: DataFrame) -> str:
+    """A hash of the names, sizes and times of the files that a table is read from."""
+    spark, known = df.sparkSession, []
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        known.append(f"{name}|{status.getLen()}|{status.getModificationTime()}")
+    return hashlib.sha256("\n".join(known).encode()).hexdigest()[:32]
+
+
 def benchmark_questions(spark: SparkSession, sf: str) -> DataFrame:
     return M.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
