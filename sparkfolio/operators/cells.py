@@ -273,9 +273,10 @@ class Search:
         heads = self.blocks.select("d", "block", "centre", "radius", (F.length("ids") / 8).cast("long").alias("n"))
         self.n_blocks = heads.count()
         groups = max(1, -(-self.n_blocks // HEADS))
+        enough = k + (not include_self)  # a query may itself be among the vectors that a bound counts
         left = heads.withColumn("g", F.pmod("block", F.lit(groups)))
         right = self.packs.select("d", "pack", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
-        plan = left.groupBy("d", "g").cogroup(right.groupBy("d", "g")).applyInArrow(lambda a, b: _bounded(a, b, k), "pack long, block long, first boolean, most binary")
+        plan = left.groupBy("d", "g").cogroup(right.groupBy("d", "g")).applyInArrow(lambda a, b: _bounded(a, b, enough), "pack long, block long, first boolean, most binary")
         self.plan = self._written(plan, "plan")
         self.near = self._written(self.scored(self.plan.where("first").select("pack", "block")), "near")
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))

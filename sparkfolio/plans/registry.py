@@ -15,7 +15,7 @@ from sparkfolio.operators import jobs as queue
 from sparkfolio.plans import model as M
 from sparkfolio.plans.model import with_
 from sparkfolio.session import shared_folder, stage_path
-from sparkfolio.sources import importing, records
+from sparkfolio.sources import catalog, importing, records
 from sparkfolio.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,18 @@ def bm25_topk(spark, sf):
     return with_long(search.bm25(benchmark_questions(spark, sf), document_index(spark, sf)), "rank")
 
 
+@query("WITH questions AS (SELECT item_id AS query_id, text AS question FROM benchmark WHERE item_id % 40 = 0),\n" + _DOC_BM25 + "\nSELECT query_id, bm.id, d.lang, score, rank FROM bm JOIN documents d ON d.doc_id = bm.id")
+def searched_in_sql(spark, sf):
+    """Ranked search written in SQL alone: a table function over the index's views, joined with a view of the documents."""
+    catalog.keyword_search(spark, document_index(spark, sf), "find_documents")
+    M.table(spark, sf, "documents").createOrReplaceTempView("find_documents_rows")
+    M.table(spark, sf, "benchmark").where("item_id % 40 = 0").createOrReplaceTempView("find_documents_questions")
+    return spark.sql(
+        """SELECT q.item_id AS query_id, f.id, d.lang, f.score, CAST(f.rank AS BIGINT) AS rank
+        FROM find_documents_questions q, LATERAL find_documents(q.text) f JOIN find_documents_rows d ON d.doc_id = f.id"""
+    )
+
+
 _COS = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 0),
 cos AS (SELECT query_id, vec_id AS id, list_inner_product(qv, embedding::DOUBLE[]) AS s FROM q, embeddings WHERE vec_id <> query_id)
 SELECT query_id, id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, id) AS rank FROM cos QUALIFY rank <= 40"""

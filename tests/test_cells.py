@@ -78,6 +78,9 @@ def test_stored_index_after_refreshes(spark, small, tmp_path, monkeypatch):
     for k in (1, 6, 500):
         assert {(r.query_id, r.id, r.rank) for r in cells.nearest(queries, first, k).collect()} == brute_nearest(rows, asked, k)
     assert cells.Search(queries, first, 3).share_read() < 0.6
+    # A query that is one of the vectors counts for no bound: all queries are vectors here, and blocks hold just k of them.
+    own = frame({i: rows[i] for i in range(0, 400, 5)})
+    assert {(r.query_id, r.id, r.rank) for r in cells.nearest(own, first, 8).collect()} == brute_nearest(rows, [(i, rows[i]) for i in range(0, 400, 5)], 8)
     before = dict(rows)
     for change in ({5: vector(9), 6: None, 500: vector(3)}, {500: None, 501: vector(1), 5: vector(5), 44: rows[45]}):
         rows |= change
