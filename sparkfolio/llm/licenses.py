@@ -6,7 +6,9 @@ a whole, is a unit; it is compared with the templates it can reach: a cosine of
 template's rarest terms, whose absence alone would keep the cosine below it, so only units with such a term are built up
 into vectors, and equal units once.  Vectors are rows (unit, term, weight), joined with the templates' by term.  Licences of
 a family differ in few terms ("3", "Affero", "ShareAlike"), which a cosine hardly feels: a template's own such terms must be
-in the unit, and words that name a sibling must not.
+in the unit, and words that name a sibling, or say "not", must not.  A short notice inside a longer line is a unit too: the
+longest runs of words known to the notices within a sentence.  Licences that share their first sentence are told apart by what
+the file says further on.  Identifiers (``SPDX-License-Identifier:``, ``License:``) are no prose and are read as they stand.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ def _cc(parts: str, words: str) -> list[str]:
 TEMPLATES: dict[str, list[str]] = {
     "MIT": [
         "Released under the MIT License.",
+        "Licensed under the MIT License.",
+        "Licensed under the terms of the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction.",
     ],
     "Apache-2.0": [
@@ -50,7 +54,14 @@ TEMPLATES: dict[str, list[str]] = {
     "LGPL-3.0": _gnu("Lesser General Public License", "3"),
     "AGPL-3.0": _gnu("Affero General Public License", "3"),
     "BSD-2-Clause": [],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software.",
+    ],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "CC0-1.0": ["This work is dedicated to the public domain under CC0 1.0 Universal."],
@@ -70,6 +81,25 @@ for _name, _notices in TEMPLATES.items():
 #: Words, and their short forms, that name one licence of a family beside numbers.
 TELLING = [{"affero", "agpl"}, {"lesser", "lgpl", "library"}, {"sharealike", "sa"}, {"noncommercial", "nc"}, {"noderivatives", "noderivs", "nd"}]
 
+#: Names that a notice's unit must hold where the notice does: a licence isn't named by the words around its name.
+NAMES = {"mit", "apache", "bsd", "boost", "isc", "mozilla", "cc", "cc0", "creative", "gnu"}
+
+#: Words that make another statement of a notice, unless it holds them itself.
+TURNING = {"not", "never", "nor", "organization"}
+
+#: Licences that share a notice: the other one, a phrase that its files hold, and one that they don't.
+SHARED = {"BSD-3-Clause": [("BSD-4-Clause", "all advertising materials mentioning", None), ("BSD-2-Clause", "redistributions in binary form must reproduce", "endorse or promote")]}
+
+_ID = r"\(*[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?\)*"
+#: An SPDX identifier or expression after its tag.
+SPDX = rf"SPDX-License-Identifier:[ \t]*({_ID}(?:[ \t]+(?:OR|AND|WITH)[ \t]+{_ID})*)"
+
+
+def field_pattern(names: list[str]) -> str:
+    """A line ``License: name`` of known names, also quoted or with ``=``, as headers and manifests have it."""
+    name = "(?:" + "|".join(re.escape(n) for n in sorted(names, reverse=True)) + ")(?:-only|-or-later|[+])?"
+    return rf"""(?m)^[^\p{{L}}\p{{N}}\n]*[Ll][Ii][Cc][Ee][Nn][CcSs][Ee]["']?[ \t]*[:=][ \t]*["']?({name}(?:[ \t]+(?:OR|AND)[ \t]+{name})*)[^\p{{L}}\p{{N}}\n]*$"""
+
 
 def _agpl(gpl: str) -> str:
     """The Affero licence as its changes to the GPL of the same version make it: name, and the section on networks."""
@@ -96,8 +126,14 @@ def terms_of(text: str) -> list[str]:
 def marks(text: str, notice: bool) -> tuple[list[str], list[str]]:
     """Terms that a unit must hold to be this template's (a notice's numbers and telling words), and those it must not."""
     own = set(terms_of(text))
-    needed = {t for t in own if t[0].isdigit()} | (own & set().union(*TELLING)) if notice else set()
-    return sorted(needed), sorted(set().union(*(words for words in TELLING if not words & own)))
+    needed = {t for t in own if t[0].isdigit()} | (own & (NAMES | TURNING).union(*TELLING)) if notice else set()
+    barred = set().union(*(words for words in TELLING if not words & own))
+    return sorted(needed), sorted(barred | (TURNING - own) if notice else barred)
+
+
+def clause_words(texts: list[str]) -> list[str]:
+    """Words that a clause may be made of: those of the notices, and all that would turn them into something else."""
+    return sorted({t for text in texts for t in terms_of(text)}.union(TURNING, *TELLING))
 
 
 #: Lines of the longest run: the longest notice wrapped at 32 columns.
@@ -119,13 +155,27 @@ def _literal(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     return spark.range(0, 1, 1, 1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{', '.join(p.strip().replace(' ', ':', 1) for p in schema.split(','))}>>")).alias("r")).select("r.*")
 
 
+def _first(pattern: str) -> Column:
+    """What the pattern's first match in the text names, or null."""
+    return F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
+
+
+def _plain(expression: Column) -> Column:
+    """An expression with single spaces, and without brackets that don't pair."""
+    spaced = F.regexp_replace(expression, r"[ \t]+", " ")
+    count = lambda sign: F.length(spaced) - F.length(F.replace(spaced, F.lit(sign), F.lit("")))
+    return F.when(count("(") == count(")"), spaced).otherwise(F.translate(spaced, "()", ""))
+
+
 def scan(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, list[str]] | None = None, texts: dict[str, list[str]] | None = None) -> DataFrame:
     """Rows (id, path, license, score, declared, inherited_from), one per row of ``df``.
 
-    ``license`` is the template's with the highest cosine among the file's lines and its runs of up to ``RUN`` lines (a header
-    wrapped over lines; comment marks are no terms), or, for a licence file, also of its text as a whole, to notices and to full
-    ``texts``, if that is at least ``threshold``; a full text goes before notices, which others quote, and the first name
-    before equals; ``declared`` is then true. A file without one inherits from the nearest directory at or above its own that
+    ``license`` is the template's with the highest cosine among the file's lines, its runs of up to ``RUN`` lines (a header
+    wrapped over lines; comment marks are no terms) and its clauses (the longest runs of known words of a line's sentences), or,
+    for a licence file, also of its text as a whole, to notices and to full ``texts``, if that is at least ``threshold``; a full
+    text goes before notices, which others quote, a file's first SPDX expression, or else its first field ``License:`` of known
+    names, before other notices (as it stands, with score 1), a ``LicenseRef-`` after all others and only for whole lines, and
+    the first name before equals; ``declared`` is then true. A file without one inherits from the nearest directory at or above its own that
     holds a licence file with one (the best there, in the same order), and ``inherited_from`` is that directory. The root
     directory is the empty string.
 
@@ -176,7 +226,14 @@ def scan(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", path_col
     ends = lambda at: F.arrays_overlap(F.element_at("lines", at), of_notices)
     around = F.exists(F.slice("hits", F.lit(1), F.col("n")), lambda h: h) & ends(F.lit(1)) & ends(F.col("n"))
     spans = spans.where(F.col("whole") | F.when(F.col("n") == 1, F.col("hits")[0]).otherwise(around))
-    units = spans.select("id", "path", "is_license", F.flatten(F.slice("lines", F.lit(1), F.col("n"))).alias("terms"))
+    # Clauses: what is left of a line's sentences between words that no notice has.
+    inside = F.split(F.lit(" ".join(clause_words([row[2] for row in given if row[3]]))), " ")
+    clauses = candidates.select("id", "path", is_license.alias("is_license"), F.explode(F.split("text", "\n")).alias("line")).where(F.arrays_overlap(_terms(F.col("line")), keys))
+    sentences = F.split(F.regexp_replace("line", r"([.;!?])[ \t]+(\p{Lu})", "$1\n$2"), "\n")
+    clauses = clauses.select("id", "path", "is_license", F.explode(F.transform(sentences, _terms)).alias("t")).where(F.arrays_overlap("t", keys))
+    pieces = F.split(F.array_join(F.transform("t", lambda t: F.when(F.array_contains(inside, t), t).otherwise("|")), " "), r"\|")
+    clauses = clauses.select("id", "path", "is_license", F.explode(F.transform(pieces, lambda p: F.split(F.trim(p), " "))).alias("terms")).where(F.arrays_overlap("terms", keys))
+    units = spans.select("id", "path", "is_license", F.flatten(F.slice("lines", F.lit(1), F.col("n"))).alias("terms"), F.lit(False).alias("clause")).unionByName(clauses.withColumn("clause", F.lit(True)))
     units = staged(units.withColumn("unit", F.sha2(F.array_join("terms", " "), 256)), "units")
 
     # Equal units are one: a header that a third of all files carry is weighed once.
@@ -190,15 +247,29 @@ def scan(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", path_col
     scored = scored.where((F.size(F.array_except("needed", "terms")) == 0) & ~F.arrays_overlap("barred", "terms"))
     # A header that very many files carry is dealt to no single task.
     scored = staged(scored.select("unit", "full", "score", "license"), "scored")
-    declared = join_split(units.select("id", "path", "is_license", "unit"), scored, "unit", units.count()).drop("unit")
-    order = [F.col("full").desc(), F.col("score").desc(), F.col("license")]
+    declared = join_split(units.select("id", "path", "is_license", "clause", "unit"), scored, "unit", units.count()).drop("unit")
+    reference = F.startswith(F.col("license"), F.lit("LicenseRef-"))
+    declared = declared.where(~(F.col("clause") & reference)).select("id", "path", "is_license", "full", "score", "license", F.lit(False).alias("tag"))
+    # Identifiers as they stand.
+    tag = F.coalesce(_first(SPDX), _first(field_pattern(sorted({row[0] for row in given}))))
+    tags = files.select("id", "path", is_license.alias("is_license"), F.lit(False).alias("full"), F.lit(1.0).alias("score"), _plain(tag).alias("license"), F.lit(True).alias("tag")).where("license is not null")
+    declared = declared.unionByName(tags)
+    order = [F.col("full").desc(), F.col("tag").desc(), reference, F.col("score").desc(), F.col("license")]
     rank = Window.partitionBy("id", "path").orderBy(*order)
-    declared = staged(declared.withColumn("rank", F.row_number().over(rank)).where("rank = 1").drop("rank"), "declared")
+    declared = staged(declared.withColumn("rank", F.row_number().over(rank)).where("rank = 1").drop("rank"), "best")
+    # What a file says further on tells the licences of a shared notice apart.
+    same = lambda name: F.col("id").eqNullSafe(F.col(f"id{name}")) & F.col("path").eqNullSafe(F.col(f"path{name}"))
+    unclear = F.broadcast(_literal(spark, "shared string", [(name,) for name in SHARED]))
+    unclear = declared.where("not full and not tag").join(unclear, F.col("license") == F.col("shared")).select(F.col("id").alias("id_"), F.col("path").alias("path_"), "shared")
+    said = F.array_join(_terms(F.col("text")), " ")
+    other = F.coalesce(*[F.when((F.col("shared") == name) & F.contains(said, F.lit(held)) & (~F.contains(said, F.lit(missing)) if missing else F.lit(True)), F.lit(other)) for name, ways in SHARED.items() for other, held, missing in ways])
+    told = files.join(unclear, same("_")).groupBy("id_", "path_").agg(F.max(other).alias("other"))
+    declared = staged(declared.join(told, same("_"), "left").withColumn("license", F.coalesce("other", "license")).drop("id_", "path_", "other"), "declared")
 
     # Directories of licence files, one licence each; then, per directory that a file lies in, the nearest one above.
     folder = F.regexp_replace(F.col("path"), "/?[^/]*$", "")
     place = F.row_number().over(Window.partitionBy("dir").orderBy(*order))
-    licensed = declared.where("is_license").select(folder.alias("dir"), "full", "license", "score").withColumn("place", place).where("place = 1").select("dir", "license")
+    licensed = declared.where("is_license").select(folder.alias("dir"), "full", "tag", "license", "score").withColumn("place", place).where("place = 1").select("dir", "license")
     dirs = files.where("path is not null").select(folder.alias("dir")).distinct()
     parts = F.filter(F.split("dir", "/"), lambda p: p != "")
     lead = F.when(F.startswith(F.col("dir"), F.lit("/")), F.lit("/")).otherwise(F.lit(""))

@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from sparkfolio.llm.licenses import TEMPLATES, TEXTS, marks, terms_of
+from sparkfolio.llm.licenses import SHARED, SPDX, TEMPLATES, TEXTS, clause_words, field_pattern, marks, terms_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -10,6 +10,9 @@ TERM = r"regexp_extract_all(lower({}), '\d+(?:\.\d+)*|[\p{{L}}\p{{N}}]+')"
 _ALL = [(f"{name}#{i}{end}", name, notice, text) for notice, end, group in ((True, "", TEMPLATES), (False, "#full", TEXTS)) for name, texts in sorted(group.items()) for i, text in enumerate(texts)]
 _TF = ", ".join(f"('{t}', '{n}', {not notice}, '{term}', {k})" for t, n, notice, text in _ALL for term, k in sorted(Counter(terms_of(text)).items()))
 _MARKS = ", ".join(f"('{t}', {needed!r}::VARCHAR[], {barred!r}::VARCHAR[])" for t, _, notice, text in _ALL for needed, barred in [marks(text, notice)])
+_INSIDE = repr(clause_words([text for _, _, notice, text in _ALL if notice]))
+_FIELD = field_pattern(sorted({name for _, name, _, _ in _ALL})).replace("'", "''")
+_OTHER = " ".join(f"WHEN d.license = '{name}' AND contains(said, '{held}') AND {f"NOT contains(said, '{missing}')" if missing else 'true'} THEN '{other}'" for name, ways in SHARED.items() for other, held, missing in ways)
 _PART, _SET = "source || '/part' || doc_id // 1000", "source || '/part' || doc_id // 1000 || '/set' || doc_id // 100"
 
 OP4 = f"""
@@ -25,17 +28,24 @@ held AS (SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct({TERM.form
 idf AS (SELECT v.term, ln((1.0 + t.n) / (1.0 + coalesce(h.n, 0))) + 1.0 AS w FROM vocabulary v LEFT JOIN held h USING (term), total t),
 vectors AS (SELECT template, license, full_text, term, tf * w AS w FROM tf JOIN idf USING (term)),
 norms AS (SELECT template, sqrt(sum(w * w)) AS norm FROM vectors GROUP BY template),
-units AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM placed UNION SELECT doc_id, text FROM placed WHERE is_license),
-unit_terms AS (SELECT doc_id, unit, term, count(*) AS tf FROM (SELECT doc_id, unit, unnest({TERM.format("unit")}) AS term FROM units) GROUP BY ALL),
-weighed AS (SELECT doc_id, unit, term, tf * coalesce(w, (SELECT ln(1.0 + n) + 1.0 FROM total)) AS w FROM unit_terms LEFT JOIN idf USING (term)),
-unit_norms AS (SELECT doc_id, unit, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
-products AS (SELECT u.doc_id, u.unit, v.template, v.license, v.full_text, sum(u.w * v.w) AS s FROM weighed u JOIN vectors v USING (term) GROUP BY ALL),
-held_terms AS (SELECT doc_id, unit, list(term) AS terms FROM unit_terms GROUP BY ALL),
-scores AS (SELECT p.doc_id, p.license, p.full_text, round(s / (n.norm * u.norm), 9) AS score FROM products p JOIN norms n USING (template) JOIN unit_norms u ON u.doc_id = p.doc_id AND u.unit = p.unit
-  JOIN marks m USING (template) JOIN held_terms h ON h.doc_id = p.doc_id AND h.unit = p.unit WHERE list_has_all(h.terms, m.needed) AND NOT list_has_any(h.terms, m.barred)),
-declared AS (SELECT doc_id, license, full_text, score FROM scores WHERE score >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY full_text DESC, score DESC, license) = 1),
-licensed AS (SELECT dir, license FROM declared JOIN placed USING (doc_id) WHERE is_license QUALIFY row_number() OVER (PARTITION BY dir ORDER BY full_text DESC, score DESC, license) = 1),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM placed),
+sentences AS (SELECT doc_id, unnest(string_split(regexp_replace(line, '([.;!?])[ \\t]+(\\p{{Lu}})', '\\1' || chr(10) || '\\2', 'g'), chr(10))) AS sentence FROM lines),
+clauses AS (SELECT doc_id, trim(unnest(string_split(array_to_string(list_transform({TERM.format("sentence")}, lambda t: CASE WHEN list_contains({_INSIDE}, t) THEN t ELSE '|' END), ' '), '|'))) AS unit FROM sentences),
+units AS (SELECT doc_id, line AS unit, false AS clause FROM lines UNION SELECT doc_id, text, false FROM placed WHERE is_license UNION SELECT doc_id, unit, true FROM clauses WHERE unit <> ''),
+unit_terms AS (SELECT doc_id, unit, clause, term, count(*) AS tf FROM (SELECT doc_id, unit, clause, unnest({TERM.format("unit")}) AS term FROM units) GROUP BY ALL),
+weighed AS (SELECT doc_id, unit, clause, term, tf * coalesce(w, (SELECT ln(1.0 + n) + 1.0 FROM total)) AS w FROM unit_terms LEFT JOIN idf USING (term)),
+unit_norms AS (SELECT doc_id, unit, clause, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
+products AS (SELECT u.doc_id, u.unit, u.clause, v.template, v.license, v.full_text, sum(u.w * v.w) AS s FROM weighed u JOIN vectors v USING (term) GROUP BY ALL),
+held_terms AS (SELECT doc_id, unit, clause, list(term) AS terms FROM unit_terms GROUP BY ALL),
+scores AS (SELECT p.doc_id, p.license, p.full_text, false AS tag, round(s / (n.norm * u.norm), 9) AS score FROM products p JOIN norms n USING (template) JOIN unit_norms u ON u.doc_id = p.doc_id AND u.unit = p.unit AND u.clause = p.clause
+  JOIN marks m USING (template) JOIN held_terms h ON h.doc_id = p.doc_id AND h.unit = p.unit AND h.clause = p.clause WHERE NOT (p.clause AND p.license LIKE 'LicenseRef-%') AND list_has_all(h.terms, m.needed) AND NOT list_has_any(h.terms, m.barred)),
+tags AS (SELECT doc_id, regexp_replace(coalesce(nullif(regexp_extract(text, '{SPDX}', 1), ''), nullif(regexp_extract(text, '{_FIELD}', 1), '')), '[ \\t]+', ' ', 'g') AS expression FROM files),
+named AS (SELECT doc_id, CASE WHEN length(replace(expression, '(', '')) = length(replace(expression, ')', '')) THEN expression ELSE translate(expression, '()', '') END AS license FROM tags WHERE expression IS NOT NULL),
+best AS (SELECT doc_id, license, full_text, tag, score FROM (SELECT * FROM scores WHERE score >= 0.8 UNION ALL SELECT doc_id, license, false, true, 1.0 FROM named)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY full_text DESC, tag DESC, license LIKE 'LicenseRef-%', score DESC, license) = 1),
+declared AS (SELECT d.doc_id, CASE WHEN d.full_text OR d.tag THEN d.license {_OTHER} ELSE d.license END AS license, d.full_text, d.tag, d.score
+  FROM best d JOIN (SELECT doc_id, array_to_string({TERM.format("text")}, ' ') AS said FROM files) USING (doc_id)),
+licensed AS (SELECT dir, license FROM declared JOIN placed USING (doc_id) WHERE is_license QUALIFY row_number() OVER (PARTITION BY dir ORDER BY full_text DESC, tag DESC, license LIKE 'LicenseRef-%', score DESC, license) = 1),
 nearest AS (
   SELECT d.dir, l.dir AS up, l.license FROM (SELECT DISTINCT dir FROM placed) d JOIN licensed l ON l.dir = '' OR d.dir = l.dir OR starts_with(d.dir, l.dir || '/')
   QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY length(l.dir) DESC) = 1)

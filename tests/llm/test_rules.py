@@ -1,3 +1,4 @@
+import itertools
 import math
 import re
 from collections import Counter
@@ -245,15 +246,24 @@ def brute_cosine(line, template, idf, rarest):
     return sum(a[t] * b.get(t, 0) for t in a) / (norm(a) * norm(b)) if a else 0.0
 
 
-def brute_license(units, templates, idf, rarest):
-    """The best of all templates by plain cosines over all units: (is a full text, score, name)."""
+def brute_clauses(line):
+    """The longest runs of words of notices in a line's sentences."""
+    known = set(licenses.clause_words([t for ts in licenses.TEMPLATES.values() for t in ts]))
+    found = set()
+    for sentence in re.split(r"(?<=[.;!?])[ \t]+(?=[A-Z])", line):
+        found |= {" ".join(run) for is_known, run in itertools.groupby(licenses.terms_of(sentence), known.__contains__) if is_known}
+    return found
+
+
+def brute_license(units, templates, idf, rarest, clauses=frozenset()):
+    """The best of all templates by plain cosines over all units: (is a full text, is a reference, score, name)."""
     found = []
     for unit in units:
         held = set(licenses.terms_of(unit))
         for name, text, notice in templates:
             needed, barred = licenses.marks(text, notice)
-            if set(needed) <= held and not held & set(barred) and (score := round(brute_cosine(unit, text, idf, rarest), 9)) >= 0.8:
-                found.append((notice, -score, name))
+            if (name, unit in clauses) != ("LicenseRef-Proprietary", True) and set(needed) <= held and not held & set(barred) and (score := round(brute_cosine(unit, text, idf, rarest), 9)) >= 0.8:
+                found.append((notice, name.startswith("LicenseRef-"), -score, name))
     return min(found, default=None)
 
 
@@ -271,9 +281,10 @@ def test_scores_equal_brute_force(spark, sf_dir):
     notices = [x for x in templates if x[2]]
     for i, text in texts.items():
         lines = {line for line in (text or "").split("\n") if re.search("licen|rights|granted|released|subject|redistribution|software|gnu|cc|spdx|domain", line, re.I)}
-        best = brute_license(lines, notices, idf, math.log(1 + n) + 1)
-        assert (got[i].license, got[i].declared) == ((best[2], True) if best else (None, False)), (i, best)
-        assert best is None or math.isclose(got[i].score, -best[1], abs_tol=1e-6)
+        clauses = set().union(*map(brute_clauses, lines)) - lines
+        best = brute_license(lines | clauses, notices, idf, math.log(1 + n) + 1, clauses)
+        assert (got[i].license, got[i].declared) == ((best[3], True) if best else (None, False)), (i, best)
+        assert best is None or math.isclose(got[i].score, -best[2], abs_tol=1e-6)
     assert got[10_006].license is None and got[10_007].license == "LGPL-2.1"
 
 
@@ -305,7 +316,7 @@ BSD_HEADER = """/*
 def test_full_texts_and_wrapped_headers(spark):
     rows = [(i, f"{name}/LICENSE", f"{name} licence\n\nCopyright (c) 2020 Jane Doe\n\n" + texts[0]) for i, (name, texts) in enumerate(sorted(licenses.TEXTS.items()))]
     names = [r[1].split("/")[0] for r in rows]
-    assert names == ["AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"]
+    assert names == ["AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"]
     rows += [(30 + i, f"{name}/src/x.py", "code") for i, name in enumerate(names)]
     rows += [(20, "a/gpl.py", "#!/bin/python\n# Copyright 2020 Jane Doe\n" + GPL_HEADER + "\nimport os\n"), (21, "a/bsd.c", BSD_HEADER + "int main() { return 0; }\n")]
     rows += [(100 + i, f"b/{i}.txt", f"some words of file {i} that say nothing of the terms on which the work is given to others") for i in range(200)]
@@ -324,9 +335,50 @@ WRAPPED = {
 }
 
 
+BSD_TWO = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice,
+ *    this list of conditions and the following disclaimer.
+ * 2. Redistributions in binary form must reproduce the above copyright notice,
+ *    this list of conditions and the following disclaimer in the documentation
+ *    and/or other materials provided with the distribution.
+"""
+BSD_THREE = BSD_TWO + """ * 3. Neither the name of the copyright holder nor the names of its
+ *    contributors may be used to endorse or promote products derived from
+ *    this software without specific prior written permission.
+"""
+BSD_FOUR = BSD_TWO + " * 3. All advertising materials mentioning features or use of this software\n *    must display the following acknowledgement:\n"
+BOOST = "Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation covered by\nthis license (the Software) to use, reproduce, display, distribute,\nexecute, and transmit the Software, and to prepare derivative works"
+
+
 @pytest.mark.parametrize(
     "text,name",
     [
+        (f"/* Copyright 2001 Some One\n{BSD_TWO} */\nint x;", "BSD-2-Clause"),
+        (f"/* Copyright 2001 Some One\n{BSD_THREE} */\nint x;", "BSD-3-Clause"),
+        (f"/* Copyright 2001 Some One\n{BSD_FOUR} */\nint x;", "BSD-4-Clause"),
+        (BOOST, "BSL-1.0"),
+        ("//          Distributed under the Boost Software License, Version 1.0.\n//    (See accompanying file LICENSE_1_0.txt)", "BSL-1.0"),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0", "MIT OR Apache-2.0"),
+        ("// SPDX-License-Identifier: GPL-2.0-or-later\nint x;", "GPL-2.0-or-later"),
+        ("/* SPDX-License-Identifier: GPL-2.0-only WITH  Linux-syscall-note */", "GPL-2.0-only WITH Linux-syscall-note"),
+        ("# SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSL-1.0.\n# SPDX-License-Identifier: ISC", "(MIT OR Apache-2.0) AND BSL-1.0"),
+        ("(SPDX-License-Identifier: MIT)", "MIT"),
+        ("All rights reserved.\nReleased under the MIT License.", "MIT"),
+        ("All rights reserved.", "LicenseRef-Proprietary"),
+        ("Copyright (c) 2020 Jane Doe. All rights reserved.", None),
+        ("Copyright (c) Some Corporation. All rights reserved. Licensed under the MIT License. See License.txt in the project root.", "MIT"),
+        ("Foo is released under the MIT License. See the LICENSE file for details.", "MIT"),
+        ("Foo is licensed under the terms of the MIT license", "MIT"),
+        ("Foo is not licensed under the MIT license.", None),
+        ("Released under the License", None),
+        ("# License: MIT", "MIT"),
+        ('{"name": "foo",\n "license": "MIT OR Apache-2.0",\n "main": "x"}', "MIT OR Apache-2.0"),
+        ('license = "GPL-3.0-or-later"', "GPL-3.0-or-later"),
+        ("License: see the file MIT", None),
+        ("// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.", "BSD-3-Clause"),
         ("GNU General Public License, version 2", "GPL-2.0"),
         ("GNU General Public License, version 3", "GPL-3.0"),
         ("GNU General Public License, version 1", None),
