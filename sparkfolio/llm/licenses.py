@@ -257,14 +257,15 @@ def scan(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", path_col
     order = [F.col("full").desc(), F.col("tag").desc(), reference, F.col("score").desc(), F.col("license")]
     rank = Window.partitionBy("id", "path").orderBy(*order)
     declared = staged(declared.withColumn("rank", F.row_number().over(rank)).where("rank = 1").drop("rank"), "best")
-    # What a file says further on tells the licences of a shared notice apart.
-    same = lambda name: F.col("id").eqNullSafe(F.col(f"id{name}")) & F.col("path").eqNullSafe(F.col(f"path{name}"))
-    unclear = F.broadcast(_literal(spark, "shared string", [(name,) for name in SHARED]))
-    unclear = declared.where("not full and not tag").join(unclear, F.col("license") == F.col("shared")).select(F.col("id").alias("id_"), F.col("path").alias("path_"), "shared")
+    # What a file says further on tells the licences of a shared notice apart: texts are read where they lie, names are joined.
     said = F.array_join(_terms(F.col("text")), " ")
-    other = F.coalesce(*[F.when((F.col("shared") == name) & F.contains(said, F.lit(held)) & (~F.contains(said, F.lit(missing)) if missing else F.lit(True)), F.lit(other)) for name, ways in SHARED.items() for other, held, missing in ways])
-    told = files.join(unclear, same("_")).groupBy("id_", "path_").agg(F.max(other).alias("other"))
-    declared = staged(declared.join(told, same("_"), "left").withColumn("license", F.coalesce("other", "license")).drop("id_", "path_", "other"), "declared")
+    telling = sorted({max(held.split(" "), key=len) for ways in SHARED.values() for _, held, _ in ways})
+    ways = [(name, F.coalesce(*[F.when(F.contains("said", F.lit(held)) & (~F.contains("said", F.lit(missing)) if missing else F.lit(True)), F.lit(other)) for other, held, missing in ways])) for name, ways in SHARED.items()]
+    told = files.where(F.lower("text").rlike("|".join(telling))).select(F.col("id").alias("id_"), F.col("path").alias("path_"), said.alias("said"))
+    told = told.select("id_", "path_", F.explode(F.array(*[F.struct(F.lit(name).alias("shared"), other.alias("other")) for name, other in ways])).alias("w")).select("id_", "path_", "w.*")
+    told = told.where("other is not null").groupBy("id_", "path_", "shared").agg(F.max("other").alias("other"))
+    same = F.col("id").eqNullSafe(F.col("id_")) & F.col("path").eqNullSafe(F.col("path_")) & (F.col("license") == F.col("shared")) & ~F.col("full") & ~F.col("tag")
+    declared = staged(declared.join(told, same, "left").withColumn("license", F.coalesce("other", "license")).drop("id_", "path_", "shared", "other"), "declared")
 
     # Directories of licence files, one licence each; then, per directory that a file lies in, the nearest one above.
     folder = F.regexp_replace(F.col("path"), "/?[^/]*$", "")
