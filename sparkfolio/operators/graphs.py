@@ -323,6 +323,76 @@ def rebuilt_topics(memberships: DataFrame, vectors: DataFrame, folder: str, thre
     return True
 
 
+def tag_marks(memberships: DataFrame) -> DataFrame:
+    """Rows (tag_id, mark): a hash of each tag's labels and papers, repeats and order aside."""
+    line = F.xxhash64("label", "paper_id").cast("decimal(38,0)")
+    rows = memberships.select("tag_id", "label", "paper_id").distinct()
+    return rows.groupBy("tag_id").agg(F.concat_ws("|", F.count("*").cast("string"), F.sum(line).cast("string"), F.sum(F.xxhash64("paper_id", "label").cast("decimal(38,0)")).cast("string")).alias("mark"))
+
+
+def cooccurrence_of(changed: DataFrame, memberships: DataFrame) -> DataFrame:
+    """Rows (a, b, weight), a < b, of the pairs with a tag of ``changed`` (tag_id, once each): only papers of these are joined."""
+    m = memberships.select("tag_id", "paper_id").distinct()
+    m = m.join(changed.select("tag_id", F.lit(True).alias("new")), "tag_id", "left").withColumn("new", F.coalesce("new", F.lit(False)))
+    near = m.join(m.where("new").select("paper_id").distinct(), "paper_id", "left_semi")
+    one, two = m.where("new").select(F.col("tag_id").alias("x"), "paper_id"), near.select(F.col("tag_id").alias("y"), "paper_id", "new")
+    # A pair of two changed tags is counted from its lesser one.
+    pairs = one.join(two, "paper_id").where("(not new and x <> y) or x < y")
+    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").cast("double").alias("weight"))
+
+
+def refreshed_topics(memberships: DataFrame, vectors: DataFrame, folder: str, threshold: float = TOPIC_SIMILARITY, keep: int = TOPIC_NEIGHBOURS) -> int:
+    """Brings a folder's tables links (topic_id, paper_id), together and semantic (a, b, weight) up to the memberships (tag_id, label,
+    paper_id) in one commit; the number of tags that changed since the last one.
+
+    A mark per tag tells which changed, came or went; only pairs with one of these are counted anew, and only rows of a lesser tag
+    with such a pair are replaced.  Similar pairs are compared again if a vector changed, else the stored ones are read.  Nothing is
+    written if neither changed.  Null tags or papers form no pair; ``topic_table`` reads the edges.
+    """
+    spark, base = memberships.sparkSession, versions.opened(memberships.sparkSession, folder)
+    stage = lambda df, label: (lambda path: (df.write.parquet(path), spark.read.parquet(path))[1])(stage_path(spark, label))
+    rows = memberships.where("tag_id is not null and paper_id is not null")
+    marks, first = stage(tag_marks(rows), "marks"), base.version < 0
+    old = marks.limit(0) if first else base.table("marks")
+    both = marks.select("tag_id", F.col("mark").alias("now")).join(old.select("tag_id", F.col("mark").alias("then")), "tag_id", "full")
+    changed = stage(both.where("not (now <=> then)").select("tag_id"), "changed")
+    n = changed.count()
+    seen = vectors.agg(F.count("*").alias("n"), F.sum(F.xxhash64("id", "embedding").cast("decimal(38,0)")).alias("h"), F.lit(float(threshold)).alias("threshold"), F.lit(keep).alias("keep"))
+    seen = stage(seen.select(F.concat_ws("|", *[F.col(c).cast("string") for c in seen.columns]).alias("mark")), "seen")
+    same = not first and base.table("vectors").first().mark == seen.first().mark
+    if same and n == 0:
+        return 0
+    fresh = stage(cooccurrence_of(changed, rows), "fresh")
+    before = fresh.limit(0) if first else base.table("together")
+    ends = changed.select(F.col("tag_id").alias("b"))
+    # Lesser ends of all pairs that came, went or changed; their other pairs stay as they are.
+    lesser = changed.select(F.col("tag_id").alias("a")).union(before.join(ends, "b", "left_semi").select("a")).union(fresh.select("a")).distinct()
+    untouched = before.join(ends, "b", "left_anti").join(ends.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b", "weight")
+    replaced = stage(untouched.join(lesser, "a", "left_semi").select("a", "b", "weight").unionByName(fresh.select("a", "b", "weight")), "together")
+    together = untouched.unionByName(fresh.select("a", "b", "weight"))
+    alike = base.table("alike") if same else stage(cells.similar_pairs(vectors, threshold, "id", "embedding").select("a", "b", "score"), "alike")
+    apart = alike.join(together.select("a", "b"), ["a", "b"], "left_anti")
+    semantic = undirected_top(apart, keep).select("a", "b", F.col("score").alias("weight"))
+    links = rows.join(changed, "tag_id", "left_semi").select(F.col("tag_id").alias("topic_id"), "paper_id").distinct()
+    changes = {
+        "links": versions.Change("topic_id", links, changed.select(F.col("tag_id").alias("topic_id"))),
+        "together": versions.Change("a", replaced, lesser),
+        "semantic": versions.Change("a", stage(semantic, "semantic"), everything=True),
+        "marks": versions.Change("tag_id", marks.join(changed, "tag_id", "left_semi").select("tag_id", "mark"), changed),
+    }
+    if not same:
+        changes |= {"alike": versions.Change("a", alike, everything=True), "vectors": versions.Change("mark", seen, everything=True)}
+    versions.commit(base, changes)
+    return n
+
+
+def topic_table(spark, folder: str) -> DataFrame:
+    """Edges (a, b, kind, weight) as the last refresh left them, like those of ``topic_edges``."""
+    now = versions.opened(spark, folder)
+    kinds = [now.table(name).select("a", "b", F.lit(kind).alias("kind"), "weight") for name, kind in (("together", "cooccurrence"), ("semantic", "semantic"))]
+    return kinds[0].unionByName(kinds[1])
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """Rows (id, neighbours): sorted names on the other ends of undirected edges (a, b)."""
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(edges.select("b", "a"))

@@ -397,6 +397,18 @@ def topic_graph_edges(spark, sf):
     return out.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "kind", F.round("weight", 6).alias("weight"))
 
 
+@query("WITH " + _TOPICS.replace(" AND paper_id % 7 = 0", "") + " SELECT a, b, 'cooccurrence' AS kind, w AS weight FROM co UNION ALL SELECT DISTINCT least(x, y), greatest(x, y), 'semantic', round(w, 6) FROM best")
+def topics_refreshed(spark, sf):
+    """Edges of topics built while two tags lacked papers and another was absent, then refreshed: only pairs of these three are counted anew."""
+    from sparkfolio.session import stage_path
+
+    folder, vectors = stage_path(spark, "topics"), _topic_vectors(spark, sf)
+    rows = _memberships(spark, sf).select("tag_id", F.col("tag_id").cast("string").alias("label"), "paper_id")
+    for state in (rows.where("not (tag_id < 2 and paper_id % 2 = 0) and tag_id <> 3"), rows):
+        graphs.refreshed_topics(state, vectors, folder, -0.05, 4)
+    return graphs.topic_table(spark, folder).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "kind", F.round("weight", 6).alias("weight"))
+
+
 @query("WITH mem AS (SELECT label AS tag_id, count(DISTINCT vec_id // 2) AS n FROM embeddings GROUP BY 1) SELECT FALSE AS again, TRUE AS after_change, tag_id::BIGINT AS tag_id, n AS n_papers FROM mem")
 def topics_rebuilt(spark, sf):
     """Topics written, not written again while nothing changed, and again after a change; then as the first time."""
