@@ -21,6 +21,9 @@ import functools
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -154,17 +157,59 @@ def _blocks_for(rows: int) -> int:
     return max(1, -(-rows // BLOCK_ROWS))
 
 
+def _write_blocks(packed: DataFrame, path: str, total: int) -> None:
+    parts = max(1, min(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 100_000)), -(-total // FILE_ROWS))
+    packed.repartitionByRange(parts, "token", "block").sortWithinPartitions("token", "block").write.mode("overwrite").parquet(path)
+
+
+def _write_texts(docs: DataFrame, path: str, blocks: int, total: int, id_col: str, text_col: str) -> None:
+    """Writes the postings of texts in blocks: a block's texts meet in one group, so single postings aren't shuffled."""
+    dealt = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).alias("block")).repartition("block").sortWithinPartitions("block")
+    split = dealt.select("block", "id", tokens(F.col("text")).alias("tokens"))
+    kind = split.schema["id"].dataType.simpleString()
+    schema = f"token string, block long, ids array<{kind}>, tfs array<int>, lengths array<int>, positions array<array<int>>, max_tf int, min_length int"
+    _write_blocks(split.groupBy("block").applyInArrow(_pack_block, schema), path, total)
+
+
+def _pack_block(rows: pa.Table) -> pa.Table:
+    """Postings of one block of rows (block, id, tokens), ids and positions ascending."""
+    rows = rows.filter(pc.is_valid(rows.column("tokens"))).sort_by("id").combine_chunks()
+    lists = rows.column("tokens").combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int32)
+    words = lists.flatten().dictionary_encode()
+    code = words.indices.to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    order = np.argsort(code, kind="stable")  # by token, then by id and position
+    code, row, place = code[order], row[order], place[order]
+    new_token = np.diff(code, prepend=-1) != 0
+    first = np.flatnonzero(new_token | (np.diff(row, prepend=-1) != 0))  # of each posting
+    ends = np.append(first, len(code))
+    tf, held, length = np.diff(ends).astype(np.int32), row[first], lengths[row[first]]
+    start = np.flatnonzero(new_token[first])  # of each token, in postings
+    offsets = pa.array(np.append(start, len(first)), pa.int32())
+    listed = lambda values: pa.ListArray.from_arrays(offsets, values)
+    positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place, pa.int32()))
+    ids = rows.column("id").take(pa.array(held, pa.int64())).combine_chunks()
+    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    columns = {
+        "token": words.dictionary.take(pa.array(code[first][start], pa.int64())), "block": pa.array(np.full(len(start), rows.column("block")[0].as_py() if len(start) else 0), pa.int64()),
+        "ids": listed(ids), "tfs": listed(pa.array(tf, pa.int32())), "lengths": listed(pa.array(length, pa.int32())), "positions": listed(positions),
+        "max_tf": pa.array(np.maximum.reduceat(tf, start) if len(start) else [], pa.int32()), "min_length": pa.array(np.minimum.reduceat(length, start) if len(start) else [], pa.int32()),
+    }
+    return pa.table(columns)
+
+
 def _write_postings(each: DataFrame, path: str, blocks: int, total: int) -> None:
     """Writes postings (token, id, length, positions) in blocks."""
-    spark = each.sparkSession
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 100_000)), -(-total // FILE_ROWS))
     hashed = each.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     sorted_ = F.sort_array(F.collect_list(F.struct("id", F.size("positions").alias("tf"), "length", "positions"))).alias("p")
     packed = hashed.groupBy("token", "block").agg(sorted_).select(
         "token", "block", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"), F.col("p.positions").alias("positions"),
         F.array_max("p.tf").alias("max_tf"), F.array_min("p.length").alias("min_length"),
     )
-    packed.repartitionByRange(parts, "token", "block").sortWithinPartitions("token", "block").write.mode("overwrite").parquet(path)
+    _write_blocks(packed, path, total)
 
 
 def _term_rows(spark: SparkSession, folder: str, number: int) -> DataFrame:
@@ -197,7 +242,7 @@ def _write_segment(docs: DataFrame, folder: str, number: int, id_col: str, text_
     split = _tokenized(docs, id_col, text_col)
     split.select("id", "length", F.array_distinct("tokens").alias("words")).write.mode("overwrite").parquet(f"{folder}/rows/{number}")
     n, total = spark.read.parquet(f"{folder}/rows/{number}").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    _write_postings(postings(docs, id_col, text_col), f"{folder}/postings/{number}", _blocks_for(n), total)
+    _write_texts(docs, f"{folder}/postings/{number}", _blocks_for(n), total, id_col, text_col)
     return n, total
 
 
