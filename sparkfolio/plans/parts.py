@@ -168,8 +168,10 @@ e AS (SELECT *, lead(base) OVER (PARTITION BY k ORDER BY n) - base > 10 * 1.6 OR
 SELECT k AS paper_id, n AS line_no, coalesce(sum(coalesce(ends, FALSE)::INT) OVER (PARTITION BY k ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS paragraph FROM e"""
 )
 def paragraph_breaks(spark, sf):
-    first = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey"))
-    rows = M.table(spark, sf, "lineitem").withColumn("_r", first).where("_r = 1")
+    # Of rows that tie, the first of the file, so that the dealing of rows to tasks doesn't decide.
+    items = M.table(spark, sf, "lineitem").withColumns({"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.row_index")})
+    first = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "_file", "_at"))
+    rows = items.withColumn("_r", first).where("_r = 1")
     lines = rows.select(F.col("l_orderkey").alias("paper_id"), F.lit(1).alias("page_number"), F.lit(0).alias("column"), F.col("l_linenumber").alias("line_no"), F.when(F.col("l_quantity") > 25, "Ends here.").otherwise("goes on").alias("text"),
         F.expr("l_linenumber * 12.0D + l_partkey % 9").alias("baseline"), F.expr("(l_suppkey % 10) / 10.0D").alias("right"), F.lit(10.0).alias("height_pt"))
     return layout.paragraphs(lines).select("paper_id", "line_no", "paragraph")
