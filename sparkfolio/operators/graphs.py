@@ -279,9 +279,16 @@ def merge_tags(paper_tags: DataFrame, merged: DataFrame) -> DataFrame:
     return paper_tags.join(merged, "tag_id").select(F.col("keep_id").alias("tag_id"), "paper_id").distinct()
 
 
+#: Memberships that a task pairs.
+TASK_ROWS = 500_000
+
+
 def cooccurrence(memberships: DataFrame, item: str = "tag_id", basket: str = "paper_id") -> DataFrame:
-    """Rows (a, b, weight), a < b: baskets that hold both items. A basket is a paper with its few tags."""
-    m = memberships.select(item, basket).distinct()
+    """Rows (a, b, weight), a < b: baskets that hold both items. A basket is a paper with its few tags.
+
+    Memberships are dealt by basket once, to as many tasks as they need, so that a task's share stays the same as they grow."""
+    parts = max(int(memberships.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-memberships.count() // TASK_ROWS))
+    m = memberships.select(item, basket).repartition(parts, basket).distinct()
     one, two = m.select(F.col(item).alias("a"), basket), m.select(F.col(item).alias("b"), basket)
     return one.join(two, basket).where("a < b").groupBy("a", "b").agg(F.count("*").cast("double").alias("weight"))
 
