@@ -7,7 +7,9 @@ join lines (first fit) runs per page on Arrow tables.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from statistics import median_high
 
 import pyarrow as pa
@@ -41,13 +43,12 @@ def footnotes(items: DataFrame) -> DataFrame:
 def column_gutters(items: DataFrame, least_items: int = 12) -> DataFrame:
     """Rows (page, gutter): where a second column starts, judged by left edges: both sides hold a quarter of the items and the
     band left of the candidate is the emptiest, and nearly empty."""
-    content = items.where(F.trim("text") != "")
-    counts = content.groupBy(*PAGE).agg(F.count("*").alias("n")).where(F.col("n") >= least_items)
-    tries = content.select(*PAGE, "x", F.explode(F.transform(F.sequence(F.lit(42), F.lit(62)), lambda i: i / 100.0)).alias("gutter"))
-    band = (F.col("x") >= F.col("gutter") - 0.045) & (F.col("x") < F.col("gutter") - 0.005)
-    sums = tries.groupBy(*PAGE, "gutter").agg(F.sum(band.cast("int")).alias("band"), F.sum((F.col("x") < F.col("gutter")).cast("int")).alias("left"))
-    ok = sums.join(counts, PAGE).where((F.col("left") >= F.col("n") * 0.25) & (F.col("n") - F.col("left") >= F.col("n") * 0.25))
-    best = ok.groupBy(*PAGE, "n").agg(F.min(F.struct("band", "gutter")).alias("b"))
+    content, tries, x = items.where(F.trim("text") != ""), [i / 100.0 for i in range(42, 63)], F.col("x")
+    bands = [F.count_if((x >= F.lit(g) - 0.045) & (x < F.lit(g) - 0.005)).alias(f"band{k}") for k, g in enumerate(tries)]
+    sums = content.groupBy(*PAGE).agg(F.count("*").alias("n"), *bands, *[F.count_if(x < g).alias(f"left{k}") for k, g in enumerate(tries)]).where(F.col("n") >= least_items)
+    tried = F.array(*[F.struct(F.col(f"band{k}").alias("band"), F.lit(g).alias("gutter"), F.col(f"left{k}").alias("left")) for k, g in enumerate(tries)])
+    ok = F.filter(tried, lambda t: (t["left"] >= F.col("n") * 0.25) & (F.col("n") - t["left"] >= F.col("n") * 0.25))
+    best = sums.select(*PAGE, "n", F.array_min(ok).alias("b"))
     return best.where(F.col("b.band") < F.col("n") * 0.03).select(*PAGE, F.col("b.gutter").alias("gutter"))
 
 
@@ -63,11 +64,38 @@ def _per_page(df: DataFrame, keys: list[str], fn: Callable[[list[dict]], list[di
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
     fields = {name: kinds[kind] for name, kind in (s.split(" ") for s in schema.split(", "))}
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = fn(table.to_pylist())
-        return pa.table({n: pa.array([r[n] for r in rows], k) for n, k in fields.items()})
+    def run(rows: list[dict]) -> list[tuple]:
+        return [tuple(r[n] for n in fields) for r in fn(rows)]
 
-    return df.groupBy(*keys).applyInArrow(run, schema)
+    return _by_page(df, keys, run, fields, schema)
+
+
+#: Rows that a Python worker turns into objects at a time, beside those of one page.
+SLICE = 2_000
+
+
+def _by_page(df: DataFrame, keys: list[str], run: Callable[[list[dict]], list[tuple]], fields: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """What ``run`` makes of the rows of each page. Pages are small, so a call takes many of them: rows stand in the order of
+    their pages, and one that a batch ends in goes on in the next."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(fields.values())], names=list(fields))
+
+        held: list[dict] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                out: list[tuple] = []
+                for page, rows in groupby(batch.slice(at, SLICE).to_pylist(), key=lambda r: tuple(r[k] for k in keys)):
+                    if held and tuple(held[0][k] for k in keys) != page:
+                        out += run(held)
+                        held = []
+                    held += rows
+                yield made(out)
+        if held:
+            yield made(run(held))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, schema)
 
 
 def first_fit(items: list[dict], same: Callable[[dict, dict], bool], join: Callable[[dict, dict], None]) -> list[dict]:
@@ -85,7 +113,21 @@ def first_fit(items: list[dict], same: Callable[[dict, dict], bool], join: Calla
 def lines_of(items: list[dict]) -> list[dict]:
     """Lines of a column: items whose baselines lie within part of an item's height, each line by x, lines from the top."""
     start = [{"baseline": i["baseline"], "items": [i]} for i in sorted(items, key=lambda i: i["item_no"])]
-    lines = first_fit(start, lambda g, i: abs(g["baseline"] - i["baseline"]) <= i["items"][0]["height_pt"] * LINE_TOLERANCE, lambda g, i: g["items"].append(i["items"][0]))
+    lines: list[dict] = []
+    placed: list[tuple[float, int]] = []  # baselines of lines, which don't move, with their numbers
+    for one in start:
+        base, reach = one["baseline"], one["items"][0]["height_pt"] * LINE_TOLERANCE
+        fit = len(lines)
+        for k in range(bisect_left(placed, (base - reach * 1.01 - 1e-6, -1)), len(placed)):
+            if placed[k][0] - base > reach:
+                break
+            if abs(placed[k][0] - base) <= reach:
+                fit = min(fit, placed[k][1])
+        if fit == len(lines):
+            insort(placed, (base, fit))
+            lines.append(dict(one))
+        else:
+            lines[fit]["items"].append(one["items"][0])
     for line in lines:
         line["items"] = sorted(line["items"], key=lambda i: i["left_pt"])
         line["text"] = "".join(i["text"] for i in line["items"]).strip()
@@ -181,8 +223,8 @@ def extracted(items: DataFrame) -> DataFrame:
     sentences, and for each the rectangles of its items, one per line. Pages are independent: one is read by one task."""
     columns = reading_columns(items)
 
-    def run(table: pa.Table) -> pa.Table:
-        rows, out, paragraph = table.to_pylist(), [], 0
+    def run(rows: list[dict]) -> list[tuple]:
+        out, paragraph = [], 0
         for column in sorted({r["column"] for r in rows}):
             lines = [x for x in lines_of([r for r in rows if r["column"] == column]) if x["text"]]
             for held in paragraphs_of(lines):
@@ -193,10 +235,10 @@ def extracted(items: DataFrame) -> DataFrame:
                     if text[start:end].strip() and rects:
                         out.append((rows[0]["paper_id"], rows[0]["page_number"], len(out), paragraph, text[start:end].strip(), merge_rects(rects)))
                 paragraph += len(out) > before
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([(n, pa.float64()) for n in ("x", "y", "width", "height")]))]
-        return pa.table({n: pa.array([r[k] for r in out], kind) for k, (n, kind) in enumerate(zip(("paper_id", "page_number", "order_index", "paragraph_index", "text", "rects"), kinds))})
+        return out
 
-    return columns.groupBy(*PAGE).applyInArrow(run, SENTENCES)
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([(n, pa.float64()) for n in ("x", "y", "width", "height")]))]
+    return _by_page(columns, PAGE, run, dict(zip(("paper_id", "page_number", "order_index", "paragraph_index", "text", "rects"), kinds)), SENTENCES)
 
 
 def layout_titles(items: DataFrame) -> DataFrame:
