@@ -233,13 +233,19 @@ def sentence_ranges(text: str) -> list[tuple[int, int]]:
     return out + [(start, len(text))] * (start < len(text))
 
 
+#: Texts whose sentences a Python worker holds at a time.
+SENTENCE_ROWS = 64
+
+
 def sentence_table(docs: DataFrame, id_col: str = "paper_id", text_col: str = "text") -> DataFrame:
     """Rows (id, order_index, start, end, text) of a text's sentences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         for batch in batches:
-            rows = [(i, n, a, b, t[a:b].strip()) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for n, (a, b) in enumerate(sentence_ranges(t))]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["id", "order_index", "start", "end", "text"])
+            for at in range(0, batch.num_rows, SENTENCE_ROWS):
+                part = batch.slice(at, SENTENCE_ROWS)
+                rows = [(i, n, a, b, t[a:b].strip()) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if t for n, (a, b) in enumerate(sentence_ranges(t))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["id", "order_index", "start", "end", "text"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, order_index long, start long, end long, text string")
