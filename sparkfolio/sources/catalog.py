@@ -30,6 +30,7 @@ def keyword_search(spark: SparkSession, index: Stored, name: str = "keyword_sear
     scores first; and views ``<name>_terms``, ``<name>_postings`` and ``<name>_totals`` of what it reads.
 
     Words of the question are single tokens here, each as often as it stands; the index stays as it was when it was opened.
+    The words asked are few and are sent to all tasks, so that postings and terms are filtered where they are read.
     """
     index.terms.createOrReplaceTempView(f"{name}_terms")
     index.postings.select("token", "id", "tf", "length").createOrReplaceTempView(f"{name}_postings")
@@ -39,7 +40,7 @@ def keyword_search(spark: SparkSession, index: Stored, name: str = "keyword_sear
     id_type = index.postings.schema["id"].dataType.simpleString()
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(question STRING) RETURNS TABLE (id {id_type}, score DOUBLE, rank INT) RETURN
         WITH words AS (SELECT token, count(*) AS times FROM (SELECT explode({tokens}) AS token) GROUP BY token),
-        weighed AS (SELECT w.token, w.times * greatest(1e-6D, ln((t.n - d.df + 0.5D) / (d.df + 0.5D))) AS idf, t.average FROM words w JOIN {name}_terms d ON d.token = w.token CROSS JOIN {name}_totals t),
-        scored AS (SELECT p.id, round(-sum(w.idf * p.tf * {K1 + 1}D / (p.tf + {K1}D * ({1 - B}D + {B}D * p.length / w.average))), 6) AS score FROM weighed w JOIN {name}_postings p ON p.token = w.token GROUP BY p.id),
+        weighed AS (SELECT /*+ BROADCAST(w) */ w.token, w.times * greatest(1e-6D, ln((t.n - d.df + 0.5D) / (d.df + 0.5D))) AS idf, t.average FROM words w JOIN {name}_terms d ON d.token = w.token CROSS JOIN {name}_totals t),
+        scored AS (SELECT /*+ BROADCAST(w) */ p.id, round(-sum(w.idf * p.tf * {K1 + 1}D / (p.tf + {K1}D * ({1 - B}D + {B}D * p.length / w.average))), 6) AS score FROM weighed w JOIN {name}_postings p ON p.token = w.token GROUP BY p.id),
         ranked AS (SELECT id, score, row_number() OVER (ORDER BY score, id) AS rank FROM scored)
         SELECT id, score, rank FROM ranked WHERE rank <= {most}""")
