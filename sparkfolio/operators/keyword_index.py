@@ -56,6 +56,11 @@ def lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _tokenized(docs, id_col, text_col).select("id", "length")
 
 
+def words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, words) of all rows: the distinct tokens of each."""
+    return _tokenized(docs, id_col, text_col).select("id", F.array_distinct("tokens").alias("words"))
+
+
 @dataclass(frozen=True)
 class Keywords:
     """What a search reads: postings, and one row (N, total) with the number of rows and of all their tokens."""
