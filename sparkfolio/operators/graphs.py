@@ -54,6 +54,8 @@ def peer_edges(vectors: DataFrame, threshold: float = PEER_SIMILARITY, keep: int
 
 #: Bytes of DOIs and titles up to which one automaton of all of them is sent to every task.
 AUTOMATON_BYTES = 32 << 20
+#: Bytes of the texts' words by which titles are sought, with these titles, up to which they are sent to every task.
+HITS_BYTES = 32 << 20
 
 
 def citations(texts: DataFrame, targets: DataFrame, least_title_bytes: int = 20, least_doi_bytes: int = 7, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
@@ -148,18 +150,25 @@ def _titles_by_keys(texts: DataFrame, titles: DataFrame, least_title_bytes: int)
     sought by the rarest of those; a title of two by the start of its second word or the end of its first; and one word,
     which must be long, among texts' long words.
     """
+    spark = texts.sparkSession
+
+    def written(df: DataFrame, label: str) -> DataFrame:
+        path = stage_path(spark, label)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     titles = titles.select("target", F.col("sought").alias("title"), F.split("sought", " ").alias("words"))
-    plain = texts.select(F.col("id").alias("source"), normalize_title(F.col("text")).alias("plain"))
-    words = plain.select("source", F.explode(F.array_distinct(F.split("plain", " "))).alias("word"))
+    plain = written(texts.select(F.col("id").alias("source"), normalize_title(F.col("text")).alias("plain")), "plain")
+    word = F.explode(F.array_distinct(F.split("plain", " "))).alias("word")
+    vocabulary = written(plain.select(word).groupBy("word").agg(F.count("*").alias("df")), "words")
     inner_words = titles.where(F.size("words") > 2).select("target", F.explode(F.array_distinct(F.slice("words", F.lit(2), F.size("words") - 2))).alias("word"))
-    seen = words.join(inner_words.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
-    rarest = inner_words.join(seen, "word").groupBy("target").agg(F.min_by("word", F.struct("df", "word")).alias("key"))
+    rarest = inner_words.join(vocabulary, "word").groupBy("target").agg(F.min_by("word", F.struct("df", "word")).alias("key"))
     keyed = titles.join(rarest, "target").select("target", "title", F.concat(F.lit("w:"), F.col("key")).alias("key"))
     two = titles.where(F.size("words") == 2)
     first, second = F.col("words")[0], F.col("words")[1]
     keyed = keyed.unionByName(two.select("target", "title", F.when(F.length(second) >= 6, F.concat(F.lit("p:"), F.substring(second, 1, 6))).otherwise(F.concat(F.lit("s:"), F.expr("right(words[0], 6)"))).alias("key")))
     keyed = keyed.unionByName(titles.where(F.size("words") == 1).select("target", "title", F.concat(F.lit("p:"), F.substring("title", 1, 6)).alias("key")))
-    # A text's word offers itself, its start and its end; a long word also each place where a one-word title may begin.
+    # A word of the texts offers itself, its start and its end; a long word also each place where a one-word title may begin.
     w = F.col("word")
     offers = F.array_distinct(
         F.concat(
@@ -167,10 +176,14 @@ def _titles_by_keys(texts: DataFrame, titles: DataFrame, least_title_bytes: int)
             F.when(F.octet_length(w) >= least_title_bytes, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.lit("p:"), F.substring(w, i, F.lit(6))))).otherwise(F.array().cast("array<string>")),
         )
     )
-    wanted = keyed.select("key").distinct()
-    offered = words.select("source", F.explode(offers).alias("key")).join(wanted, "key", "left_semi").distinct()
-    candidates = offered.join(keyed, "key").select("source", "target", "title").distinct()
-    return candidates.join(plain, "source").where(F.contains("plain", "title")).select("source", "target", F.lit(1).alias("kind"))
+    # Each word offers once, however many texts hold it; the texts' words then meet the few that a title is sought by.
+    hits = written(vocabulary.select("word", F.explode(offers).alias("key")).join(keyed, "key").select("word", "target", "title").distinct(), "title-words")
+    size = hits.agg(F.coalesce(F.sum(F.octet_length("word") + F.octet_length("title")), F.lit(0))).first()[0]
+    if size <= HITS_BYTES:
+        found = plain.select("source", "plain", word).join(F.broadcast(hits), "word")
+    else:
+        found = plain.select("source", word).join(hits, "word").select("source", "target", "title").distinct().join(plain, "source")
+    return found.where(F.contains("plain", "title")).select("source", "target", F.lit(1).alias("kind"))
 
 
 def citation_neighbours(relations: DataFrame, centres: DataFrame) -> DataFrame:
